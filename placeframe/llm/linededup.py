@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeframe.llm.columns import ascii_lower, digest, strip
+from placeframe.llm.scratch import table
 
 LEAST_CHARS, LEAST_DOCUMENTS = 1, 10
 
@@ -36,7 +37,8 @@ def drop_common_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, l
         .where(F.col("k.k1").isNotNull())
         .select("k.k1", "k.k2")
     )
-    common = in_text.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_documents).drop("n")
+    # written, so that its size decides how it is joined: broadcast, or by a shuffle whose hot keys can be split
+    common = table(in_text.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_documents).drop("n"), "lines")
     places = lines.join(common, ["k1", "k2"]).groupBy("_t1", "_t2").agg(F.sort_array(F.collect_set("at")).alias("_drop"))
     joined = docs.withColumns({"_t1": t1, "_t2": t2}).join(places, ["_t1", "_t2"], "left")
     joined = joined.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeframe.llm.columns import SPACE, ascii_lower, digest, strip, words
+from placeframe.llm.scratch import table
 
 
 @dataclass(frozen=True)
@@ -89,8 +90,10 @@ def common_line_words(docs: DataFrame, rules: Rules) -> DataFrame:
     lines = lines.select("host", "t1", "t2", l1.alias("l1"), l2.alias("l2"), F.size(words(F.col("line"))).alias("n"))
     seen = lines.groupBy("host", "l1", "l2", "t1", "t2").agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n"))
     common = seen.groupBy("host", "l1", "l2").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > rules.line_limit)
+    # written, so that its size decides how it is joined: broadcast, or by a shuffle whose hot keys can be split
+    common = table(common.select("host", "l1", "l2"), "lines")
     return (
-        seen.join(common.select("host", "l1", "l2"), ["host", "l1", "l2"])
+        seen.join(common, ["host", "l1", "l2"])
         .groupBy("host", "t1", "t2")
         .agg(F.sum(F.col("n") * F.col("times")).alias("n_common"))
     )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeframe.llm import linededup, quality
+from placeframe.llm import chat, jaccard, linededup, mixing, packing, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,11 +23,76 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op8_line_dedup)}
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_read(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
+
+
+def op5_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each even conversation is the chosen one, the next odd one the rejected one of a pair."""
+    turns = _read(spark, sf_dir, "conversations")
+    conv = F.col("conv_id").cast("long")
+    sides = turns.withColumns({"pair_id": F.floor(conv / 2).cast("long"), "side": F.when(conv % 2 == 0, "chosen").otherwise("rejected")})
+    pairs = chat.preferences(sides)
+    digests = [
+        x
+        for side in ("chosen", "rejected")
+        for x in (
+            F.sha2(chat.rendered(side), 256).alias(f"{side}_sha256"),
+            F.length(chat.rendered(side)).cast("long").alias(f"{side}_chars"),
+            F.sha2(chat.loss_text(side), 256).alias(f"{side}_loss_sha256"),
+        )
+    ]
+    return pairs.select("pair_id", "n_prompt_turns", F.sha2("prompt", 256).alias("prompt_sha256"), *digests)
+
+
+def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "copy", "block", "place")
+
+
+QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op5_preference_formatting, op9_temperature_mixing, op6_ngram_jaccard_join, op7_quality_rules, op8_line_dedup)}
 
 _WS = "[\\x20\\x09-\\x0D]"
 
 SQL = {
+    "op5_preference_formatting": """
+WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations),
+c AS (SELECT * FROM t WHERE side = 0), r AS (SELECT * FROM t WHERE side = 1),
+both_sides AS (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.i, r.i) AS i,
+                 coalesce(c.role = r.role AND c.text = r.text, false) AS same
+          FROM c FULL JOIN r ON c.pair_id = r.pair_id AND c.i = r.i),
+n AS (SELECT pair_id, coalesce(min(CASE WHEN NOT same THEN i END) - 1, max(i)) AS n FROM both_sides GROUP BY pair_id),
+p AS (SELECT t.*, n.n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS whole,
+             text || '<|end|>' || chr(10) AS body FROM t JOIN n USING (pair_id)),
+f AS (SELECT pair_id, any_value(n) AS n_prompt_turns,
+  coalesce(string_agg(CASE WHEN side = 0 AND i <= n THEN whole END, '' ORDER BY i), '') AS prompt,
+  coalesce(string_agg(CASE WHEN side = 0 AND i > n THEN whole END, '' ORDER BY i), '') AS chosen,
+  coalesce(string_agg(CASE WHEN side = 1 AND i > n THEN whole END, '' ORDER BY i), '') AS rejected,
+  coalesce(string_agg(CASE WHEN side = 0 AND i > n AND role = 'assistant' THEN body END, '' ORDER BY i), '') AS cl,
+  coalesce(string_agg(CASE WHEN side = 1 AND i > n AND role = 'assistant' THEN body END, '' ORDER BY i), '') AS rl
+  FROM p GROUP BY pair_id)
+SELECT pair_id, n_prompt_turns, sha256(prompt) AS prompt_sha256, sha256(chosen) AS chosen_sha256,
+       length(chosen) AS chosen_chars, sha256(cl) AS chosen_loss_sha256, sha256(rejected) AS rejected_sha256,
+       length(rejected) AS rejected_chars, sha256(rl) AS rejected_loss_sha256 FROM f
+""",
+    "op6_ngram_jaccard_join": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, chr(1))
+                                   ELSE w[i] || chr(1) || w[i+1] || chr(1) || w[i+2] END AS g
+      FROM w, unnest(range(1, greatest(len(w) - 1, 2))) AS r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN links ON x = r)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, c AS component_id
+FROM (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id) LEFT JOIN n USING (doc_id)
+""",
     "op7_quality_rules": f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
