@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeframe.llm import chat, jaccard, linededup, mixing, packing, quality
+from placeframe.llm import chat, jaccard, linededup, mixing, packing, phrases, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_read(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.drop_repeats(_read(spark, sf_dir, "documents"), width=13)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
 
@@ -53,11 +57,23 @@ def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "copy", "block", "place")
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op5_preference_formatting, op9_temperature_mixing, op6_ngram_jaccard_join, op7_quality_rules, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_best_fit_packing, op5_preference_formatting, op9_temperature_mixing, op6_ngram_jaccard_join, op7_quality_rules, op8_line_dedup)}
 
 _WS = "[\\x20\\x09-\\x0D]"
 
 SQL = {
+    "op2_substring_dedup": """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i+12], chr(1)) AS g FROM w, unnest(range(1, len(w) - 11)) AS r(i)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS own FROM win) WHERE own < doc_id),
+cov AS (SELECT DISTINCT doc_id, i + k AS i FROM rep, unnest(range(13)) AS o(k)),
+each AS (SELECT doc_id, i, w[i] AS word FROM w, unnest(range(1, len(w) + 1)) AS r(i)),
+kept AS (SELECT each.doc_id, count(cov.i) AS n_removed,
+                string_agg(CASE WHEN cov.i IS NULL THEN word END, ' ' ORDER BY each.i) AS kept
+         FROM each LEFT JOIN cov ON each.doc_id = cov.doc_id AND each.i = cov.i GROUP BY each.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""",
     "op5_preference_formatting": """
 WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
                   row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations),
