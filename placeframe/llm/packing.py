@@ -26,7 +26,7 @@ from placeframe.llm.scratch import table
 
 CAPACITY, END = 4096, 1
 #: Chunks of text whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 # a mark after an ASCII letter and before white space is a token of its own either way
 _MARK = re.compile(rb"(?<=[a-z])([.,!?;:])(?=[ \n])")
@@ -50,17 +50,19 @@ def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
     """
     tokenizer, known = _tokenizer(path)
     end = END.to_bytes(4, "little")
-    for start in range(0, len(texts), 500):
+    for start in range(0, len(texts), 200):
         chunks = []
-        for text in texts[start : start + 500]:
+        for text in texts[start : start + 200]:
             raw = text.encode()
             chunks.append((raw if b"<|" in raw else _MARK.sub(rb" \1", raw.lower())).split())
         new = list({c for cs in chunks for c in cs if c not in known})
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = list({c for cs in chunks for c in cs})
-        for c, e in zip(new, tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, "<u4").tobytes()
+        for at in range(0, len(new), 4000):  # an encoding holds far more than its ids
+            some = new[at : at + 4000]
+            for c, e in zip(some, tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False), strict=True):
+                known[c] = np.array(e.ids, "<u4").tobytes()
         for cs in chunks:
             yield b"".join(map(known.__getitem__, cs)) + end
 
