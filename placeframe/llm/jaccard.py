@@ -19,7 +19,6 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placeframe.llm import tokens
@@ -133,56 +132,81 @@ def _held(batches: Iterable[pa.RecordBatch], size: int, seed: int) -> Iterator[p
             yield from tokens.rows_of([{"v": np.array(v), "held": list(held)}], _HELD)
 
 
-def _similar(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        linked = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            linked.append(100 * common >= percent * (len(x) + len(y) - common))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+_MET = pa.schema([("p", pa.int64()), ("v", pa.int64()), ("deg", pa.int64()), ("linked", pa.bool_()), ("keys", pa.list_(pa.int64()))])
 
 
-def _verify(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    x = held.select(F.col("v").alias("a"), F.col("held").alias("x"))
-    y = held.select(F.col("v").alias("b"), F.col("held").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(partial(_similar, percent=percent), "a long, b long, linked boolean")
+def meet(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[bool, np.ndarray]:
+    """Whether the sets x (a bucket's pivot) and y link, and the keys at which y can still meet others of the bucket.
+
+    Write D for the elements in which a set differs from the pivot. Two sets differ in |D1| + |D2| - 2 |D1 & D2|
+    elements, and similar sets in at most r (s1 + s2) of them, r = (100 - percent) / (100 + percent); so a pair that
+    links has at least t = (|D1| + |D2| - r (s1 + s2)) / 2 elements of D in common, and then the first |D| - t + 1 of
+    either, in one order, meet. t is bounded from below for each set alone, by what its partners have at least; it is
+    above 0 unless both link with the pivot, and those are connected. The order puts elements that the pivot lacks
+    first, as they are rare. Keys are for partners that don't link with the pivot, and for those that do.
+    """
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    linked = 100 * common >= percent * (len(x) + len(y) - common)
+    own, gone = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+    order = np.concatenate([own, gone])
+    n, less, more = len(order), 100 - percent, 100 + percent
+
+    def first(t2: int, scale: int) -> np.ndarray:
+        """The first of the order for at least t2 / scale elements in common."""
+        return order[: n - max(1, -(-t2 // scale)) + 1]
+
+    to_unlinked = first(more * n + less * (len(x) - len(y)), 2 * more)
+    if linked:
+        return True, tokens.mix(to_unlinked + np.uint64(1))
+    near = more * n - less * (len(x) + len(y))
+    far = 2 * (more * n * percent - less * len(y) * (100 + percent))
+    to_linked = first(max(near * percent, far), 2 * more * percent)
+    return False, np.concatenate([tokens.mix(to_unlinked), tokens.mix(to_linked + np.uint64(1))])
+
+
+def _met(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        linked, keys = [], []
+        for p, alone, x, y in zip(*(batch.column(c) for c in ("p", "alone", "x", "y")), strict=True):
+            both, made = meet(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
+            linked.append(both)
+            here = tokens.mix(np.array([p.as_py()], np.int64).view(np.uint64))
+            keys.append([] if alone.as_py() else tokens.mix(made ^ here).view(np.int64))
+        arrays = [batch.column("p"), batch.column("v"), batch.column("deg"), pa.array(linked, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, schema=_MET)
 
 
 def _linked_sets(live: DataFrame, held: DataFrame, percent: int) -> DataFrame | None:
-    """(v, c) for the sets that have a link: c is one id for all that links connect.
+    """(v, c) for the sets that have a link: c is one id for all that links connect; none without a link.
 
-    A bucket is the sets that share a signature. Each round pairs some pivots of a bucket, those that share most
-    signatures first, with its other members, verifies the pairs that are new and lets go of the buckets whose sets are
-    connected by now and of the pivots, which have met all others. So every pair is verified or connected otherwise,
-    and the pairs of a round are linear in a bucket.
+    A bucket is the sets that share a key, at first a signature. Its pivot, the set that shares most signatures, meets
+    all others of the bucket, which costs one row for each. What meet() leaves open goes to the next round in smaller
+    buckets, keyed by the elements in which sets differ from their pivot. So each pair that shares a signature is
+    verified, or shown not to link, or connected through a pivot; a group of near copies never becomes all its pairs.
     """
     shared = live.groupBy("v").agg(F.count(F.lit(1)).alias("deg"))
-    rows = live.join(shared, "v").withColumn("c", F.col("v"))
-    labels = tested = None
-    pivots = 1
+    rows = live.withColumnRenamed("sig", "key").join(shared, "v").select("key", "v", "deg")
+    links = None
     while True:
         rows = table(rows, "buckets")
         if rows.isEmpty():
-            return labels
-        order = W.partitionBy("sig").orderBy(F.desc("deg"), "v")
-        chosen = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
-        chosen = chosen.select("sig", F.col("v").alias("p"), F.col("c").alias("pc"))
-        pairs = rows.join(chosen, "sig").where("c <> pc").select(F.least("p", "v").alias("a"), F.greatest("p", "v").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        verified = table(_verify(pairs, held, percent), "verified")
-        links = verified.where("linked").select("a", "b")
-        if labels is not None:
-            links = links.unionByName(labels.select(F.col("v").alias("a"), F.col("c").alias("b")))
-        labels = table(components(links), "labels")
-        tested = verified.select("a", "b") if tested is None else tested.unionByName(verified.select("a", "b"))
-        rest = rows.drop("c").join(chosen.select("sig", F.col("p").alias("v")), ["sig", "v"], "left_anti")
-        rest = rest.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
-        # what is left of a bucket is open while it holds two components
-        mixed = rest.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-        rows = rest.join(mixed, "sig")
-        pivots = min(4 * pivots, 64)
+            break
+        rank = F.shiftleft(F.least("deg", F.lit(1 << 22)), 40) + F.col("v").bitwiseAND((1 << 40) - 1)
+        pivots = rows.groupBy("key").agg(F.max_by("v", rank).alias("p"))
+        star = rows.join(pivots, "key").where("v <> p").groupBy("p", "v").agg(F.max("deg").alias("deg"))
+        star = table(star, "star")
+        size = star.groupBy("p").agg((F.count(F.lit(1)) == 1).alias("alone"))
+        x = held.select(F.col("v").alias("p"), F.col("held").alias("x"))
+        y = held.select("v", F.col("held").alias("y"))
+        pairs = star.join(size, "p").join(x, "p").join(y, "v").select("p", "v", "deg", "alone", "x", "y")
+        met = table(pairs.mapInArrow(partial(_met, percent=percent), "p long, v long, deg long, linked boolean, keys array<long>"), "met")
+        new = met.where("linked").select(F.col("p").alias("a"), F.col("v").alias("b"))
+        links = new if links is None else links.unionByName(new)
+        rows = met.select(F.explode("keys").alias("key"), "v", "deg", "linked")
+        still = rows.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.min("linked").alias("all_linked"))
+        still = still.where("lo <> hi AND NOT all_linked").select("key")
+        rows = rows.join(still, "key").groupBy("key", "v").agg(F.max("deg").alias("deg"))
+    return None if links is None or links.isEmpty() else components(links)
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
