@@ -123,5 +123,13 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of docs that judge() keeps, with their own columns."""
-    return judge(docs, rules).where("kept").select(*docs.columns)
+    """The rows of docs that judge() keeps, with their own columns.
+
+    A verdict depends on host and text alone. The verdicts are written without the texts and then picked out from docs:
+    a filter right on the measures would be pushed into them and compute each measure again wherever it is named.
+    """
+    t1, t2 = digest(F.col("text"))
+    keys = {"_host": F.coalesce("source", F.lit("")), "_t1": t1, "_t2": t2}
+    judged = judge(docs.select("text", "source").withColumns(keys), rules).select(*keys, "kept")
+    kept = table(judged, "verdicts").where("kept").select(*keys).distinct()
+    return docs.withColumns(keys).join(kept, list(keys), "left_semi").select(*docs.columns)
