@@ -1,32 +1,5 @@
-"""Connected components of a table of links, without collecting it."""
+"""Connected components, as in the rest of the library."""
 
-from __future__ import annotations
+from placeframe.operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from placeframe.llm.scratch import table
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(v, c): each end of a link (a, b), and the smallest id reachable from it.
-
-    Alternating large-star and small-star rounds (Kiveris and others, 2014): every step is a minimum that is
-    pre-aggregated before its shuffle and an equi-join, so that a vertex with very many links is no group in memory.
-    Each round is written to the shared folder.
-    """
-    edges = table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).where("u <> w").distinct(), "edges")
-    mark = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("w").alias("u"), F.col("u").alias("w")))
-        least = both.groupBy("u").agg(F.min("w").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("w > u").select(F.col("w").alias("u"), F.col("m").alias("w")).distinct()
-        least = large.groupBy("u").agg(F.min("w").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("w") == F.col("m"), F.col("u")).otherwise(F.col("w")).alias("u"), F.col("m").alias("w"))
-        edges = table(small.unionByName(least.withColumnRenamed("m", "w")).distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "w") % 1_000_000_007)).first()
-        if now == mark:
-            break
-        mark = now
-    roots = edges.select("w").distinct()
-    return edges.select(F.col("u").alias("v"), F.col("w").alias("c")).unionByName(roots.select(F.col("w").alias("v"), F.col("w").alias("c")))
+__all__ = ["components"]

@@ -1,34 +1,5 @@
-"""Intermediate tables in the folder that the cluster names in spark.checkpoint.dir."""
+"""Written intermediate tables, as in the rest of the library."""
 
-from __future__ import annotations
+from placeframe.storage import shared_folder, table
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read; a fresh local one only where the setting is missing (tests)."""
-    folder = spark.conf.get(SETTING, None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(SETTING, folder)
-    return folder
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs the tasks that read the table, not the jobs that made it. The files go
-    when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_folder", "table"]
