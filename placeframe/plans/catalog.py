@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from placeframe.plans import places, scores
+from placeframe.plans import places, scores, tables
 
 QUERIES, SQL = {}, {}
-for part in (scores, places):
+for part in (scores, places, tables):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
