@@ -13,12 +13,13 @@ covered: one part that agrees is left out by neither side, as what agrees is equ
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placeframe.llm import tokens
@@ -28,6 +29,8 @@ from placeframe.llm.scratch import table
 #: Ids that may be broadcast to pick out texts (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 PIECES, SMALL = 3, 2
+#: Sets of a bucket that meet all others of it in the first round.
+PIVOTS = 4
 
 
 class Bands:
@@ -95,7 +98,7 @@ def signatures(s: np.ndarray, band: int, bands: Bands) -> np.ndarray:
 
 _SET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("v2", pa.int64())])
 _SIG = pa.schema([("sig", pa.int64()), ("v", pa.int64())])
-_HELD = pa.schema([("v", pa.int64()), ("held", pa.binary())])
+_HELD = pa.schema([("v", pa.int64()), ("held", pa.binary()), ("n", pa.int64()), *((f"s{i}", pa.int64()) for i in range(8))])
 
 
 def _sets(batches: Iterable[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -126,87 +129,82 @@ def _signature_rows(batches: Iterable[pa.RecordBatch], size: int, seed: int, per
 
 def _held(batches: Iterable[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [(fingerprint(s, seed)[0], s.tobytes()) for _, s in shingle_sets(batch, size)]
-        if made:
-            v, held = zip(*made, strict=True)
-            yield from tokens.rows_of([{"v": np.array(v), "held": list(held)}], _HELD)
+        sets = [s for _, s in shingle_sets(batch, size)]
+        if sets:
+            drawn = np.stack([sketch(s) for s in sets])
+            row = {"v": np.array([fingerprint(s, seed)[0] for s in sets]), "held": [s.tobytes() for s in sets], "n": [len(s) for s in sets]}
+            yield from tokens.rows_of([row | {f"s{i}": drawn[:, i] for i in range(8)}], _HELD)
 
 
-_MET = pa.schema([("p", pa.int64()), ("v", pa.int64()), ("deg", pa.int64()), ("linked", pa.bool_()), ("keys", pa.list_(pa.int64()))])
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Four bits for each of 128 pieces of the domain: pieces that differ are no more than the elements that do."""
+    at = np.searchsorted(s, _PIECE_EDGES)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tokens.mix(s + np.uint64(7)), dtype=np.uint64)))
+    bits = (tokens.mix(sums[np.append(at, len(s))] - sums[np.concatenate(([0], at))]) & np.uint64(15)).reshape(8, 16)
+    return (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
 
 
-def meet(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[bool, np.ndarray]:
-    """Whether the sets x (a bucket's pivot) and y link, and the keys at which y can still meet others of the bucket.
+_PIECE_EDGES = np.array([i << 57 for i in range(1, 128)], np.uint64)
+_HELD_SQL = "v long, held binary, n long, " + ", ".join(f"s{i} long" for i in range(8))
+SKETCH = [f"s{i}" for i in range(8)]
 
-    Write D for the elements in which a set differs from the pivot. Two sets differ in |D1| + |D2| - 2 |D1 & D2|
-    elements, and similar sets in at most r (s1 + s2) of them, r = (100 - percent) / (100 + percent); so a pair that
-    links has at least t = (|D1| + |D2| - r (s1 + s2)) / 2 elements of D in common, and then the first |D| - t + 1 of
-    either, in one order, meet. t is bounded from below for each set alone, by what its partners have at least; it is
-    above 0 unless both link with the pivot, and those are connected. The order puts elements that the pivot lacks
-    first, as they are rare. Keys are for partners that don't link with the pivot, and for those that do.
-    """
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    linked = 100 * common >= percent * (len(x) + len(y) - common)
-    own, gone = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
-    order = np.concatenate([own, gone])
-    n, less, more = len(order), 100 - percent, 100 + percent
-
-    def first(t2: int, scale: int) -> np.ndarray:
-        """The first of the order for at least t2 / scale elements in common."""
-        return order[: n - max(1, -(-t2 // scale)) + 1]
-
-    to_unlinked = first(more * n + less * (len(x) - len(y)), 2 * more)
-    if linked:
-        return True, tokens.mix(to_unlinked + np.uint64(1))
-    near = more * n - less * (len(x) + len(y))
-    far = 2 * (more * n * percent - less * len(y) * (100 + percent))
-    to_linked = first(max(near * percent, far), 2 * more * percent)
-    return False, np.concatenate([tokens.mix(to_unlinked), tokens.mix(to_linked + np.uint64(1))])
-
-
-def _met(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+
+def _differing(a: str, b: str) -> Column:
+    """How many pieces of two sketches differ."""
+    total = F.lit(0)
+    for c in SKETCH:
+        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
+        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        total += F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def _similar(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        linked, keys = [], []
-        for p, alone, x, y in zip(*(batch.column(c) for c in ("p", "alone", "x", "y")), strict=True):
-            both, made = meet(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
-            linked.append(both)
-            here = tokens.mix(np.array([p.as_py()], np.int64).view(np.uint64))
-            keys.append([] if alone.as_py() else tokens.mix(made ^ here).view(np.int64))
-        arrays = [batch.column("p"), batch.column("v"), batch.column("deg"), pa.array(linked, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, schema=_MET)
+        keep = []
+        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(100 * common >= percent * (len(x) + len(y) - common))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    x = held.select(F.col("v").alias("a"), F.col("held").alias("x"))
+    y = held.select(F.col("v").alias("b"), F.col("held").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(partial(_similar, percent=percent), "a long, b long")
 
 
 def _linked_sets(live: DataFrame, held: DataFrame, percent: int) -> DataFrame | None:
     """(v, c) for the sets that have a link: c is one id for all that links connect; none without a link.
 
-    A bucket is the sets that share a key, at first a signature. Its pivot, the set that shares most signatures, meets
-    all others of the bucket, which costs one row for each. What meet() leaves open goes to the next round in smaller
-    buckets, keyed by the elements in which sets differ from their pivot. So each pair that shares a signature is
-    verified, or shown not to link, or connected through a pivot; a group of near copies never becomes all its pairs.
+    A bucket is the sets that share a signature. In a round its pivots, those that share most signatures, are joined with
+    its other members; the join's condition lets only pairs through that are not connected by now and whose sketches
+    allow a link, and these are verified. Then buckets that are one component by now are let go, and in the others the
+    pivots, which have met all. So every pair that shares a signature is verified, excluded by its sketches, or connected
+    otherwise. Pivots grow eightfold, so that the rounds are few.
     """
     shared = live.groupBy("v").agg(F.count(F.lit(1)).alias("deg"))
-    rows = live.withColumnRenamed("sig", "key").join(shared, "v").select("key", "v", "deg")
-    links = None
+    rows = live.withColumnRenamed("sig", "key").join(shared, "v").join(held.drop("held"), "v").withColumn("c", F.col("v"))
+    labels, pivots = None, PIVOTS
     while True:
         rows = table(rows, "buckets")
         if rows.isEmpty():
-            break
-        rank = F.shiftleft(F.least("deg", F.lit(1 << 22)), 40) + F.col("v").bitwiseAND((1 << 40) - 1)
-        pivots = rows.groupBy("key").agg(F.max_by("v", rank).alias("p"))
-        star = rows.join(pivots, "key").where("v <> p").groupBy("p", "v").agg(F.max("deg").alias("deg"))
-        star = table(star, "star")
-        size = star.groupBy("p").agg((F.count(F.lit(1)) == 1).alias("alone"))
-        x = held.select(F.col("v").alias("p"), F.col("held").alias("x"))
-        y = held.select("v", F.col("held").alias("y"))
-        pairs = star.join(size, "p").join(x, "p").join(y, "v").select("p", "v", "deg", "alone", "x", "y")
-        met = table(pairs.mapInArrow(partial(_met, percent=percent), "p long, v long, deg long, linked boolean, keys array<long>"), "met")
-        new = met.where("linked").select(F.col("p").alias("a"), F.col("v").alias("b"))
-        links = new if links is None else links.unionByName(new)
-        rows = met.select(F.explode("keys").alias("key"), "v", "deg", "linked")
-        still = rows.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.min("linked").alias("all_linked"))
-        still = still.where("lo <> hi AND NOT all_linked").select("key")
-        rows = rows.join(still, "key").groupBy("key", "v").agg(F.max("deg").alias("deg"))
-    return None if links is None or links.isEmpty() else components(links)
+            return labels
+        order = W.partitionBy("key").orderBy(F.desc("deg"), "v")
+        chosen = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots).drop("r")
+        near = _differing("p", "q") * (100 + percent) <= (F.col("p.n") + F.col("q.n")) * (100 - percent)
+        both = chosen.alias("p").join(rows.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & near)
+        pairs = both.select(F.least("p.v", "q.v").alias("a"), F.greatest("p.v", "q.v").alias("b")).distinct()
+        new = table(_links(pairs, held, percent), "links")
+        if not new.isEmpty():
+            known = [] if labels is None else [labels.select(F.col("v").alias("a"), F.col("c").alias("b"))]
+            labels = table(components(reduce(DataFrame.unionByName, known, new)), "labels")
+        rest = rows.drop("c").join(chosen.select("key", "v"), ["key", "v"], "left_anti")
+        rest = rest.withColumn("c", F.col("v")) if labels is None else rest.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
+        mixed = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        rows = rest.join(mixed, "key")
+        pivots *= 8
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -233,7 +231,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     ids = live.select("v").distinct().join(first, "v").select("doc_id")
     ids = table(ids, "ids")
     texts = given.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    held = texts.mapInArrow(partial(_held, size=size, seed=seed), "v long, held binary").dropDuplicates(["v"])
+    held = texts.mapInArrow(partial(_held, size=size, seed=seed), _HELD_SQL).dropDuplicates(["v"])
     labels = _linked_sets(live, table(held, "held"), percent)
     if labels is None:
         named = first.select("v", F.col("doc_id").alias("component_id"))
