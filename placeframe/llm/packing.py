@@ -26,7 +26,7 @@ from placeframe.llm.scratch import table
 
 CAPACITY, END = 4096, 1
 #: Chunks of text whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 # a mark after an ASCII letter and before white space is a token of its own either way
 _MARK = re.compile(rb"(?<=[a-z])([.,!?;:])(?=[ \n])")
