@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 from placeframe.config import LARGE_PEOPLE, METRO_PEOPLE, Factor, Scoring
 
-ZERO = F.lit(0.0)
+
+
+def zero() -> Column:
+    return F.lit(0.0)
+
 
 
 def observed(value: Column) -> Column:
@@ -45,7 +49,7 @@ def tier(people: Column) -> Column:
 
 
 def _total(columns: list[Column]) -> Column:
-    return reduce(add, columns, ZERO)
+    return reduce(add, columns, zero())
 
 
 def area_score(cfg: Scoring, preset: str, sub: dict[str, Column]) -> dict[str, Column]:
@@ -54,7 +58,7 @@ def area_score(cfg: Scoring, preset: str, sub: dict[str, Column]) -> dict[str, C
     Factors that are null or weigh nothing are left out and the other weights scaled up; all is null where none is left.
     """
     weights = {f: w for f, w in cfg.presets[preset].items() if w > 0}
-    seen = {f: F.when(sub[f].isNotNull(), F.lit(w)).otherwise(ZERO) for f, w in weights.items()}
+    seen = {f: F.when(sub[f].isNotNull(), F.lit(w)).otherwise(zero()) for f, w in weights.items()}
     coverage = _total(list(seen.values()))
     whole = F.when(coverage > 0, coverage)
     points = {f: F.when(sub[f].isNotNull(), F.lit(w) * sub[f] / whole) for f, w in weights.items()}
@@ -63,9 +67,9 @@ def area_score(cfg: Scoring, preset: str, sub: dict[str, Column]) -> dict[str, C
     momentum = [sub[f.name] for f in cfg.factors if f.group == "momentum"]
     count = _total([F.when(m.isNotNull(), 1.0).otherwise(0.0) for m in momentum])
     return {
-        "score": F.when(whole.isNotNull(), _total([F.coalesce(p, ZERO) for p in points.values()])),
-        "access": F.when(whole.isNotNull() & (access_weight > 0), _total([F.coalesce(F.lit(weights[f]) * sub[f], ZERO) for f in access]) / access_weight),
-        "momentum": F.when(whole.isNotNull() & (count > 0), _total([F.coalesce(m, ZERO) for m in momentum]) / count),
+        "score": F.when(whole.isNotNull(), _total([F.coalesce(p, zero()) for p in points.values()])),
+        "access": F.when(whole.isNotNull() & (access_weight > 0), _total([F.coalesce(F.lit(weights[f]) * sub[f], zero()) for f in access]) / access_weight),
+        "momentum": F.when(whole.isNotNull() & (count > 0), _total([F.coalesce(m, zero()) for m in momentum]) / count),
         "coverage": whole,
         "confidence": F.lit(cfg.confidence) * whole,
     } | {f"p_{f}": points.get(f, F.lit(None).cast("double")) for f in cfg.names}

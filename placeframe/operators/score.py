@@ -41,7 +41,7 @@ def city_scores(members: DataFrame, cfg: Scoring, preset: str) -> DataFrame:
     total = F.sum("pop")
     sums = [(F.sum(F.col(c) * F.col("pop")) / total).alias(c) for c in ("score", "coverage", "confidence")]
     sums += [_weighted(c).alias(c) for c in ("access", "momentum")]
-    sums += [F.when(F.count(f"p_{f}") > 0, F.sum(F.coalesce(f"p_{f}", S.ZERO) * F.col("pop")) / total).alias(f"p_{f}") for f in cfg.names]
+    sums += [F.when(F.count(f"p_{f}") > 0, F.sum(F.coalesce(f"p_{f}", S.zero()) * F.col("pop")) / total).alias(f"p_{f}") for f in cfg.names]
     sums += [_weighted(f"s_{f}").alias(f"s_{f}") for f in cfg.names]
     out = own.groupBy("city").agg(total.alias("people"), F.count(F.lit(1)).alias("areas"), *sums)
     points, sub = ({f: F.col(f"{x}_{f}") for f in cfg.names} for x in "ps")
