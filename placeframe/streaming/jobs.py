@@ -81,7 +81,7 @@ _SPENT = "key long, event_id long, over boolean, retry_after double"
 
 def budget(events: DataFrame, key: str, limit: int, seconds: float) -> DataFrame:
     """key, event_id, over, retry_after for events(event_id, ts): on a table or, with state by key, on a stream."""
-    own = events.select(F.col(key).cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), (F.unix_micros("ts") / 1e6).alias("at"))
+    own = events.select(F.col(key).cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     if own.isStreaming:
         return own.groupBy("key").transformWithStateInPandas(_Budget(limit, seconds), outputStructType=_SPENT, outputMode="Append", timeMode="None")
 
