@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from placeframe.plans import more, places, scores, tables
+from placeframe.plans import composite, more, places, scores, tables
 
 QUERIES, SQL = {}, {}
-for part in (scores, places, tables, more):
+for part in (scores, places, tables, more, composite):
     QUERIES |= part.QUERIES
     SQL |= part.SQL

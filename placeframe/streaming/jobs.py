@@ -12,9 +12,14 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 from placeframe.operators.rank import first_per
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """A watermark needs a timestamp with a time zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def windowed_counts(events: DataFrame, key: str, width: str, late: str | None = None, least: int = 1) -> DataFrame:
     """key, start, n of tumbling windows over ts; counts below `least` are null. On a stream, `late` bounds the wait."""
-    own = events.withWatermark("ts", late) if late else events
+    own = _timed(events).withWatermark("ts", late) if late else events
     counts = own.groupBy(F.window("ts", width), F.col(key)).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(key, F.col("window.start").alias("start"), F.when(F.col("n") >= least, F.col("n")).alias("n"))
 
@@ -26,7 +31,7 @@ def latest(events: DataFrame, key: str, values: list[str]) -> DataFrame:
 
 def unseen(docs: DataFrame, key: str = "doc_id", late: str = "1 day") -> DataFrame:
     """A stream's rows whose key has not come before inside the watermark on ts."""
-    return docs.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    return _timed(docs).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
 def upsert(batches: DataFrame, path: str, key: str, *order: F.Column, checkpoint: str) -> DataStreamWriter:
