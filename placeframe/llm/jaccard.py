@@ -108,6 +108,17 @@ def _sets(batches: Iterable[pa.RecordBatch], size: int, seed: int) -> Iterator[p
         yield from tokens.rows_of([{"doc_id": batch.column(0), "n": n.astype(np.int64), "v": v, "v2": v2}], _SET)
 
 
+def _prefix_rows(batches: Iterable[pa.RecordBatch], size: int, seed: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The smallest hashes of each set: similar sets share one of the first |s| - ceil(similarity |s|) + 1 of either."""
+    for batch in batches:
+        keys, ids = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        for _, s in shingle_sets(batch, size):
+            if len(s):
+                keys.append(s[: len(s) + (-percent * len(s)) // 100 + 1])
+                ids.append(np.full(len(keys[-1]), fingerprint(s, seed)[0]))
+        yield from tokens.rows_of([{"sig": np.concatenate(keys), "v": np.concatenate(ids)}], _SIG)
+
+
 def _signature_rows(batches: Iterable[pa.RecordBatch], size: int, seed: int, percent: int) -> Iterator[pa.RecordBatch]:
     bands = Bands(percent)
     for batch in batches:
@@ -207,6 +218,11 @@ def _linked_sets(live: DataFrame, held: DataFrame, percent: int) -> DataFrame |
         pivots *= 8
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows with one of the ids, a written table: broadcast if they are few enough."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of docs(doc_id, text).
 
@@ -225,12 +241,16 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
         if first.where("lo <> hi").isEmpty():
             break
     first = first.select("v", "doc_id")
+    # a set without a partner for any of its smallest hashes has no link and makes no signatures
+    prefix = given.mapInArrow(partial(_prefix_rows, size=size, seed=seed, percent=percent), "sig long, v long")
+    common = prefix.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
+    partnered = prefix.join(common, "sig").select("v").distinct().join(first, "v").select("doc_id")
+    given = _only(given, table(partnered, "partnered"))
     sigs = given.mapInArrow(partial(_signature_rows, size=size, seed=seed, percent=percent), "sig long, v long")
     shared = sigs.groupBy("sig").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("sig")
     live = table(sigs.join(shared, "sig").groupBy("sig", "v").agg(F.lit(1).alias("one")).drop("one"), "live")
     ids = live.select("v").distinct().join(first, "v").select("doc_id")
-    ids = table(ids, "ids")
-    texts = given.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    texts = _only(given, table(ids, "ids"))
     held = texts.mapInArrow(partial(_held, size=size, seed=seed), _HELD_SQL).dropDuplicates(["v"])
     labels = _linked_sets(live, table(held, "held"), percent)
     if labels is None:
