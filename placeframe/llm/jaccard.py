@@ -109,12 +109,15 @@ def _sets(batches: Iterable[pa.RecordBatch], size: int, seed: int) -> Iterator[p
 
 
 def _prefix_rows(batches: Iterable[pa.RecordBatch], size: int, seed: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """The smallest hashes of each set: similar sets share one of the first |s| - ceil(similarity |s|) + 1 of either."""
+    """The smallest |s| - o + l hashes of each set, o = ceil(similarity |s|), l = ceil(|s| / 10).
+
+    Similar sets have o elements in common at least; the l smallest of these are among the first |s| - o + l of either.
+    """
     for batch in batches:
         keys, ids = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
         for _, s in shingle_sets(batch, size):
             if len(s):
-                keys.append(s[: len(s) + (-percent * len(s)) // 100 + 1])
+                keys.append(s[: len(s) + (-percent * len(s)) // 100 - (-len(s) // 10)])
                 ids.append(np.full(len(keys[-1]), fingerprint(s, seed)[0]))
         yield from tokens.rows_of([{"sig": np.concatenate(keys), "v": np.concatenate(ids)}], _SIG)
 
@@ -236,15 +239,16 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     given = docs.where("doc_id IS NOT NULL")
     for seed in range(8):
         sets = table(docs.mapInArrow(partial(_sets, size=size, seed=seed), "doc_id long, n long, v long, v2 long"), "sets")
-        first = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.min("v2").alias("lo"), F.max("v2").alias("hi"))
+        first = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.min("v2").alias("lo"), F.max("v2").alias("hi"), F.max("n").alias("n"))
         first = table(first, "first")
         if first.where("lo <> hi").isEmpty():
             break
-    first = first.select("v", "doc_id")
-    # a set without a partner for any of its smallest hashes has no link and makes no signatures
+    first = first.select("v", "doc_id", "n")
+    # a set links only if a tenth of the smaller partner's size, of its own smallest hashes, stand elsewhere too
     prefix = given.mapInArrow(partial(_prefix_rows, size=size, seed=seed, percent=percent), "sig long, v long")
     common = prefix.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
-    partnered = prefix.join(common, "sig").select("v").distinct().join(first, "v").select("doc_id")
+    often = prefix.join(common, "sig").groupBy("v").agg(F.count(F.lit(1)).alias("m"))
+    partnered = often.join(first, "v").where(F.col("m") * 1000 >= F.col("n") * percent).select("doc_id")
     given = _only(given, table(partnered, "partnered"))
     sigs = given.mapInArrow(partial(_signature_rows, size=size, seed=seed, percent=percent), "sig long, v long")
     shared = sigs.groupBy("sig").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("sig")
