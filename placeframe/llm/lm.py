@@ -4,8 +4,9 @@ The vocabulary is cut into CLASSES classes: the end, the most frequent words, an
 by their first letters. The model predicts a class from the two before it; a tail word's probability is its bucket's
 times its smoothed share of the bucket, with one unseen word in each bucket, so that probabilities sum to 1.
 
-All counts are over all training documents. Training takes every STRIDE-th place of each of them, in each task on a copy
-of the parameters; the copies are averaged by their number of places after each round (Zinkevich and others, 2010).
+All counts are over all training documents. Training takes every place of each of them once: a round takes every
+ROUNDS-th place of a text, the rounds together all. Each task trains a copy of the parameters; the copies are averaged by
+their number of places after each round (Zinkevich and others, 2010).
 Because the score is the sum of a term for either context word, all normalisers are one product of two matrices.
 """
 
@@ -26,7 +27,7 @@ from placeframe.llm.scratch import table
 CLASSES, BUCKETS, DIMENSIONS = 2048, 255, 24
 #: At most so many words whose counts every task holds (2 MB); the counts of the others meet the documents in a shuffle.
 FREQUENT = 131_072
-STRIDE, ROUNDS, NOISE, BATCH, RATE = 8, 2, 256, 1024, 0.1
+ROUNDS, NOISE, BATCH, RATE = 2, 256, 1024, 0.1
 #: Copies of the parameters that one task adds up.
 FAN_IN = 64
 
@@ -194,12 +195,15 @@ def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
     return Vocabulary(hashes[order], top["n"].to_numpy(np.int64)[order], classes[order], int(words) + documents, int(different) + (documents > 0), documents, mass)
 
 
-def _places(batch: pa.RecordBatch, known: Vocabulary, phase: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _places(batch: pa.RecordBatch, known: Vocabulary, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Contexts and targets of a round's places, told by the place in the text, so that the cut of batches does not matter."""
     for _, _, data, at in tokens.parts(batch):
         words = tokens.Words(data, at, lower=True)
         classes, row = with_ends(words, known.look_up(words)[1], END)
         one, two = contexts(classes, row)
-        yield one[phase::STRIDE], two[phase::STRIDE], classes[phase::STRIDE]
+        start = words.first[:-1] + np.arange(len(words.first) - 1)
+        own = (np.arange(len(row)) - start[row]) % ROUNDS == turn
+        yield one[own], two[own], classes[own]
 
 
 def train(training: DataFrame, known: Vocabulary) -> Model:
@@ -218,7 +222,7 @@ def train(training: DataFrame, known: Vocabulary) -> Model:
             state = [np.full(p.shape, 1.0, np.float32) for p in own.parts]
             n = 0
             for batch in batches:
-                for one, two, target in _places(batch, words, turn * (STRIDE // ROUNDS)):
+                for one, two, target in _places(batch, words, turn):
                     order = rng.permutation(len(target))
                     own.train(one[order], two[order], target[order], rng, state)
                     n += len(target)

@@ -11,10 +11,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from placeframe.llm import jaccard, langid, lm, media, packing, phrases
+from placeframe.llm import jaccard, langid, lm, media, packing, phrases, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 R = random.Random(7)
@@ -209,3 +210,22 @@ def test_scores_of_odd_tables(spark):
     assert made[0].n_tokens == 1 and made[1].held_out and made[None].n_tokens == 3 and not made[None].held_out
     assert all(math.isfinite(r.score) for r in made.values())
     assert lm.score(d.limit(0), F.lit(False)).count() == 0
+
+
+def test_rounds_together_train_on_every_place():
+    none = np.empty(0, np.int64)
+    known = lm.Vocabulary(none.astype(np.uint64), none, none, 0, 0, 0, np.ones(lm.CLASSES))
+    texts = [t or "" for t in TEXTS]
+    seen = Counter()
+    for turn in range(lm.ROUNDS):
+        for cut in (texts[: 5 + turn], texts[5 + turn :]):  # each round cuts its batches elsewhere
+            for places in lm._places(pa.RecordBatch.from_arrays([pa.array(cut)], names=["text"]), known, turn):
+                seen.update(zip(*(x.tolist() for x in places), strict=True))
+    every = Counter()
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        words = tokens.Words(data, np.array([0, len(data)]), lower=True)
+        classes = [*known.look_up(words)[1].tolist(), lm.END]
+        padded = [lm.END, lm.END, *classes]
+        every.update((padded[i + 1], padded[i], c) for i, c in enumerate(classes))
+    assert seen == every
