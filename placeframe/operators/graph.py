@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from placeframe.operators import spatial
+from placeframe.operators.rank import first_per
 from placeframe.storage import table
 
 
@@ -53,6 +55,16 @@ def dead_ends(links: DataFrame) -> DataFrame:
     return both.groupBy(F.col("a").alias("node_id")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("node_id")
 
 
+def gaps(links: DataFrame, nodes: DataFrame, distance: float) -> DataFrame:
+    """node_id, other, dist: each dead end's nearest of nodes(node_id, lon, lat) at most `distance` away that it has no link to."""
+    places = nodes.select(F.col("node_id").alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    ends = places.join(dead_ends(links).withColumnRenamed("node_id", "id"), "id", "left_semi")
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = spatial.within(ends, places, distance).where("id <> other")
+    apart = near.join(both.select(F.col("a").alias("id"), F.col("b").alias("other")), ["id", "other"], "left_anti")
+    return first_per(apart, ["id"], "dist", "other").withColumnRenamed("id", "node_id")
+
+
 def shortest_paths(links: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
     """source, node, dist: the shortest way from each source along links(a, b, length), both ways, up to the limit.
 

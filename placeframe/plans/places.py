@@ -11,6 +11,7 @@ from placeframe.functions import geo, grid
 from placeframe.operators import graph, spatial
 from placeframe.plans import views
 from placeframe.plans.views import with_
+from placeframe.storage import table
 
 QUERIES, SQL = {}, {}
 
@@ -164,12 +165,25 @@ link AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(1 + (a + b) % 7)::DOU
 both_ways AS (SELECT a, b, length FROM link UNION ALL SELECT b, a, length FROM link)"""
 
 
-def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = graph.edges_of(views.way_nodes(spark, sf_dir).where("way_id % 50 = 0"))
+def _links(way_nodes: DataFrame) -> DataFrame:
+    e = graph.edges_of(way_nodes)
     length = 1.0 + (F.col("a") + F.col("b")) % 7
     return e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), length.alias("length")).groupBy("a", "b").agg(F.min("length").alias("length"))
 
 
+def _some_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every fiftieth way: as many as DuckDB's recursion gets through. The whole network is in _all_links."""
+    return _links(views.way_nodes(spark, sf_dir).where("way_id % 50 = 0"))
+
+
+def _all_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(_links(views.way_nodes(spark, sf_dir)), "links")
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.way_nodes(spark, sf_dir).select("node_id", "lon", "lat").distinct()
+
+
 @query(f"""{with_("way_nodes")}, e AS (SELECT way_id, pos, node_id, lead(node_id) OVER w AS nxt, lon, lat, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0 FROM way_nodes WINDOW w AS (PARTITION BY way_id ORDER BY pos))
 SELECT way_id, count(*) AS nodes, round(sum(coalesce(sqrt(power(lon - lon0, 2) + power(lat - lat0, 2)), 0)), 6) AS length FROM e GROUP BY way_id""")
 def w5_s12_line_length(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,23 +198,51 @@ def w5_s12_line_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_EDGES} SELECT * FROM (WITH RECURSIVE c(id, r) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT c.id, b FROM c JOIN both_ways ON a = r)
 SELECT component, count(*) AS nodes FROM (SELECT id, min(r) AS component FROM c GROUP BY id) GROUP BY component)""")
 def r3_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(_links(spark, sf_dir)).groupBy(F.col("c").alias("component")).agg(F.count(F.lit(1)).alias("nodes"))
+    return graph.components(_some_links(spark, sf_dir)).groupBy(F.col("c").alias("component")).agg(F.count(F.lit(1)).alias("nodes"))
 
 
 @query(f"""{_EDGES} SELECT a AS node_id FROM both_ways GROUP BY a HAVING count(DISTINCT b) = 1""")
 def r5_dead_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.dead_ends(_links(spark, sf_dir))
+    return graph.dead_ends(_some_links(spark, sf_dir))
 
 
 @query(f"""{_EDGES}, src AS (SELECT DISTINCT a AS s FROM both_ways WHERE a % 40 = 0)
 SELECT * FROM (WITH RECURSIVE p(source, node, dist) AS (SELECT s, s, 0::DOUBLE FROM src UNION SELECT source, b, dist + length FROM p JOIN both_ways ON a = node WHERE dist + length <= 14)
 SELECT source, node, min(dist) AS dist FROM p GROUP BY source, node)""")
 def r6_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = _links(spark, sf_dir)
+    links = _some_links(spark, sf_dir)
     nodes = links.select(F.col("a").alias("node_id")).union(links.select("b")).distinct().where("node_id % 40 = 0")
     return graph.shortest_paths(links, nodes, 14.0)
 
 
+@query()
+def r3_network_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all ways with size, length and centre."""
+    made = graph.component_summary(_all_links(spark, sf_dir), _nodes(spark, sf_dir))
+    return made.select("component", "nodes", F.round("length", 6).alias("length"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@query()
+def r5_network_dead_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead ends of all ways."""
+    return graph.dead_ends(_all_links(spark, sf_dir))
+
+
+@query()
+def r5_gap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each dead end of all ways to its nearest node that it has no link to."""
+    made = graph.gaps(_all_links(spark, sf_dir), _nodes(spark, sf_dir), 0.5)
+    return made.withColumn("dist", F.round("dist", 6))
+
+
+@query()
+def r6_network_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest paths over all ways from every twentieth node."""
+    links = _all_links(spark, sf_dir)
+    nodes = links.select(F.col("a").alias("node_id")).union(links.select("b")).distinct().where("node_id % 20 = 0")
+    return graph.shortest_paths(links, nodes, 14.0)
+
+
 @query()
 def r8_thinned_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _points(spark, sf_dir)
