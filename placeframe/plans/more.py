@@ -32,9 +32,19 @@ cut AS (SELECT way_id, pos, node_id FROM n WHERE shared > 35 OR is_first OR is_l
 
 @query(f"""{_NODES}, e AS (SELECT way_id, pos AS start, node_id AS u, lead(node_id) OVER (PARTITION BY way_id ORDER BY pos) AS v FROM cut) SELECT * FROM e WHERE v IS NOT NULL""")
 def w6_junction_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ways cut into edges at their ends and at nodes that many ways share."""
-    nodes = views.way_nodes(spark, sf_dir)
-    busy = nodes.groupBy("node_id").agg(F.count(F.lit(1)).alias("shared")).where("shared > 35")
+    """Ways cut into edges at their ends and at nodes that very many rows share; w6_junction_edges cuts at every junction."""
+    return _cut(views.way_nodes(spark, sf_dir), 36)
+
+
+@query(f"""{_NODES}, j AS (SELECT way_id, pos, node_id FROM n WHERE shared >= 2 OR is_first OR is_last),
+e AS (SELECT way_id, pos AS start, node_id AS u, lead(node_id) OVER (PARTITION BY way_id ORDER BY pos) AS v FROM j) SELECT * FROM e WHERE v IS NOT NULL""")
+def w6_junction_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways cut into edges at their ends and at nodes used twice or more."""
+    return _cut(views.way_nodes(spark, sf_dir), 2)
+
+
+def _cut(nodes: DataFrame, least: int) -> DataFrame:
+    busy = nodes.groupBy("node_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
     way = W.partitionBy("way_id")
     cut = nodes.join(busy, "node_id", "left").withColumn("last", F.max("pos").over(way)).where("shared IS NOT NULL OR pos = 1 OR pos = last")
     edges = cut.select("way_id", F.col("pos").alias("start"), F.col("node_id").alias("u"), F.lead("node_id").over(way.orderBy("pos")).alias("v"))
