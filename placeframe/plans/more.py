@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from placeframe.functions import geo, text
 from placeframe.functions import scoring as S
 from placeframe.operators import quality
+from placeframe.operators.mentions import mentions
 from placeframe.operators.rank import first_per
 from placeframe.plans import views
 from placeframe.plans.views import read, with_
@@ -129,6 +130,15 @@ def j14_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.join(names.withColumn("k", F.lower("word")), "k").select("p_partkey", "word")
 
 
+@query(r"""WITH n AS (SELECT DISTINCT p_name AS name FROM part), a AS (SELECT name, unnest(list_concat([name], string_split(name, ' '))) AS said FROM n)
+SELECT DISTINCT p_partkey, name FROM part JOIN a ON regexp_matches(p_name, '(?i)\b' || regexp_escape(said) || '\b')""")
+def j14_name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name that a text mentions whole or by one of its aliases."""
+    p = read(spark, sf_dir, "part")
+    names = p.select(F.col("p_name").alias("name"), F.split("p_name", " ").alias("aliases")).distinct()
+    return mentions(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), names).withColumnRenamed("id", "p_partkey")
+
+
 @query(f"""{with_("points", "targets")}, c AS (SELECT id, floor(lon / 0.25) AS cx, floor(lat / 0.25) AS cy FROM points) SELECT DISTINCT c.id FROM c JOIN targets t ON abs(cx - floor(t.lon / 0.25)) <= 4 AND abs(cy - floor(t.lat / 0.25)) <= 4""")
 def j19_pixels_near_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-4, 5) for j in range(-4, 5)])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import pytest
 
+from placeframe.operators.mentions import mentions
 from placeframe.plans import catalog
 from test_oracle import TABLES, plain
 
-CHECKED = ["w6_junction_edges"]
+CHECKED = ["w6_junction_edges", "j14_name_mentions"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -29,3 +32,12 @@ def test_a_node_of_two_ways_cuts_both(spark, tmp_path):
     spark.createDataFrame(rows, line).write.parquet(f"{tmp_path}/lineitem.parquet")
     made = {(r.way_id, r.u, r.v) for r in catalog.QUERIES["w6_junction_edges"](spark, str(tmp_path)).collect()}
     assert made == {(1, 1, 3), (1, 3, 4), (2, 5, 3), (2, 3, 7)}
+
+
+def test_mentions_are_those_of_the_reference(spark):
+    texts = ["Metro for NEW DELHI, phase 2", "delhi only", "newdelhi", "In St. Louis (USA)", "Bombay and Navi Mumbai", "C++ a--b", "New York, Delhi", None, "", "K\\E x"]
+    names = [("New Delhi", ["Dilli", "NCT of Delhi"]), ("Mumbai", ["Bombay"]), ("St. Louis", None), ("Navi Mumbai", []), ("--", []), ("York", ["new york"]), ("K\\E x", []), (".*", [])]
+    want = {(i, n) for i, t in enumerate(texts) for n, more in names if t and any(re.search(rf"\b{re.escape(x)}\b", t, re.IGNORECASE) for x in [n, *(more or [])])}
+    made = mentions(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame(names, "name string, aliases array<string>"))
+    assert {(r.id, r.name) for r in made.collect()} == want
+    assert made.count() == len(want)
