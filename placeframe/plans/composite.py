@@ -227,3 +227,9 @@ def q5_layers_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p24_published_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer").where("c_custkey % 2 = 0")
     return c.select("c_custkey", S.published(F.col("c_acctbal") / 7, 1).alias("shown"))
+
+
+@query("""SELECT c_custkey, round_even(c_acctbal / 7, 1) + 0.0 AS shown FROM customer""")
+def p24_published_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    return c.select("c_custkey", S.published(F.col("c_acctbal") / 7, 1).alias("shown"))

@@ -100,6 +100,18 @@ def g1_g3_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("id", F.round(geo.haversine_km(*ends), 4).alias("haversine"), F.round(geo.flat_km(*ends), 4).alias("flat"))
 
 
+@query(f"""{_PT}, near AS (SELECT p.id, t.id AS target, row_number() OVER (PARTITION BY p.id ORDER BY {_D}, t.id) AS r FROM points p, targets t)
+SELECT p.id, near.target, round({_HAV}, 4) AS haversine, round(111.2 * sqrt(power((t.lon - p.lon) * cos(radians((p.lat + t.lat) / 2)), 2) + power(t.lat - p.lat, 2)), 4) AS flat
+FROM points p JOIN near ON near.id = p.id AND r = 1 JOIN targets t ON t.id = near.target""")
+def g1_g3_nearest_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each point and its nearest of all targets."""
+    near = spatial.nearest(_points(spark, sf_dir), _targets(spark, sf_dir), 0.5).select("id", "target")
+    t = views.targets(spark, sf_dir).select(F.col("id").alias("target"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    both = views.points(spark, sf_dir).join(near, "id").join(t, "target")
+    ends = [F.col(c) for c in ("lon", "lat", "lon2", "lat2")]
+    return both.select("id", "target", F.round(geo.haversine_km(*ends), 4).alias("haversine"), F.round(geo.flat_km(*ends), 4).alias("flat"))
+
+
 @query(f"""{with_("points")} SELECT id, CASE WHEN floor((lon - 70) / 0.25) BETWEEN 0 AND 79 THEN floor((lon - 70) / 0.25)::BIGINT END AS col,
  CASE WHEN floor((lat - 8) / 0.5) BETWEEN 0 AND 39 THEN floor((lat - 8) / 0.5)::BIGINT END AS "row" FROM points""")
 def g6_pixel_of_point(spark: SparkSession, sf_dir: str) -> DataFrame:

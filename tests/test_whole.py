@@ -11,7 +11,7 @@ from placeframe.operators.mentions import mentions
 from placeframe.plans import catalog
 from test_oracle import TABLES, plain
 
-CHECKED = ["w6_junction_edges", "j14_name_mentions"]
+CHECKED = ["w6_junction_edges", "j14_name_mentions", "p24_published_all", "g1_g3_nearest_distances"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -41,3 +41,9 @@ def test_mentions_are_those_of_the_reference(spark):
     made = mentions(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame(names, "name string, aliases array<string>"))
     assert {(r.id, r.name) for r in made.collect()} == want
     assert made.count() == len(want)
+
+
+def test_rounding_and_distances_leave_no_customer_out(spark, sf):
+    n = spark.read.parquet(f"{sf}/customer.parquet").count()
+    assert catalog.QUERIES["p24_published_all"](spark, sf).count() == n
+    assert catalog.QUERIES["g1_g3_nearest_distances"](spark, sf).count() == n
