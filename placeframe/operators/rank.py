@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placeframe.functions import scoring as S
+from placeframe.storage import table
 
 
 def first_per(rows: DataFrame, by: list[str], *order: Column | str) -> DataFrame:
@@ -22,6 +23,15 @@ def ranked(rows: DataFrame, by: list[str], limit: int, *order: Column | str) ->
     return out.where(F.col("rank") <= limit)
 
 
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """The rows with their place, from 1, in a total order: places within ranges of the order behind the rows before them."""
+    dealt = table(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "dealt")
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, place).drop("_part", "_before")
+
+
 def competition_rank(rows: DataFrame, by: list[str], score: str) -> DataFrame:
     """rank: 1 + how many of the group score higher."""
     return rows.withColumn("rank", F.rank().over(W.partitionBy(*by).orderBy(F.desc(score))))
@@ -55,5 +65,4 @@ def search(rows: DataFrame, text: str) -> DataFrame:
     names = names.withColumn("_n", plain(F.col("matched"))).where(F.col("_n").contains(text))
     names = names.withColumn("prefix", F.col("_n").startswith(text))
     best = first_per(names, ["id"], F.desc("prefix"), "pos")
-    w = W.orderBy(F.desc("prefix"), F.desc("people"), "id")
-    return best.withColumn("rank", F.row_number().over(w)).select("id", "matched", "prefix", "people", "rank")
+    return numbered(best, "rank", F.desc("prefix"), F.desc("people"), "id").select("id", "matched", "prefix", "people", "rank")

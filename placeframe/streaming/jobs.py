@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
@@ -74,25 +76,44 @@ def spend(events: pd.DataFrame, start: float, n: int, limit: int, seconds: float
     """event_id, over, retry_after of one key's ordered events, and the window they leave open."""
     rows = []
     for event, at in zip(events["event_id"], events["at"], strict=True):
-        if at - start >= seconds:
-            start, n = at, 0
-        n += 1
-        rows.append((event, n > limit, start + seconds - at if n > limit else 0.0))
+        start, n, over, after = step(at, start, n, limit, seconds)
+        rows.append((event, over, after))
     return pd.DataFrame(rows, columns=["event_id", "over", "retry_after"]), start, n
 
 
+def step(at: float, start: float, n: int, limit: int, seconds: float) -> tuple[float, int, bool, float]:
+    """start and n of the window after an event, and the event's over and retry_after."""
+    if at - start >= seconds:
+        start, n = at, 0
+    n += 1
+    return start, n, n > limit, start + seconds - at if n > limit else 0.0
+
+
 _SPENT = "key long, event_id long, over boolean, retry_after double"
 
 
 def budget(events: DataFrame, key: str, limit: int, seconds: float) -> DataFrame:
-    """key, event_id, over, retry_after for events(event_id, ts): on a table or, with state by key, on a stream."""
+    """key, event_id, over, retry_after for events(event_id, ts): on a table or, with state by key, on a stream.
+
+    A table's rows are walked in order of key and time; only the open window goes from batch to batch, so no key's events
+    are held together.
+    """
     own = events.select(F.col(key).cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     if own.isStreaming:
         return own.groupBy("key").transformWithStateInPandas(_Budget(limit, seconds), outputStructType=_SPENT, outputMode="Append", timeMode="None")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out, _, _ = spend(rows.sort_values(["at", "event_id"]), float("-inf"), 0, limit, seconds)
-        out.insert(0, "key", rows["key"].iloc[0])
-        return out
-
-    return own.groupBy("key").applyInPandas(fold, _SPENT)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, start, n = object(), float("-inf"), 0
+        for batch in batches:
+            over, after = [], []
+            for key, at in zip(batch.column("key").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                if key != last:
+                    last, start, n = key, float("-inf"), 0
+                start, n, o, a = step(float("nan") if at is None else at, start, n, limit, seconds)
+                over.append(o)
+                after.append(None if math.isnan(a) else a)
+            columns = [batch.column("key"), batch.column("event_id"), pa.array(over, pa.bool_()), pa.array(after, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "event_id", "over", "retry_after"])
+
+    order = ["key", F.col("at").asc_nulls_last(), F.col("event_id").asc_nulls_last()]
+    return own.repartition("key").sortWithinPartitions(*order).mapInArrow(fold, _SPENT)

@@ -51,3 +51,22 @@ def test_budget_opens_with_the_first_event(spark):
     df = spark.createDataFrame(rows, "user_id long, event_id long, t string").withColumn("ts", F.to_timestamp("t"))
     made = {r.event_id: (r.over, r.retry_after) for r in jobs.budget(df, "user_id", 2, 10).collect()}
     assert made == {0: (False, 0.0), 1: (False, 0.0), 2: (True, 1.0), 3: (False, 0.0), 4: (False, 0.0)}
+
+
+def test_budget_of_a_table_holds_no_group(spark):
+    rows = [(u, e, float(e * 37 % 101)) for e in range(300) for u in ((1, 2, None)[e % 3] if e % 5 else 1,)]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, t double").withColumn("ts", F.timestamp_seconds("t"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # windows stay open over batches
+    try:
+        spent = jobs.budget(df, "user_id", 2, 10)
+        made = {r.event_id: (r.key, r.over, r.retry_after) for r in spent.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, windows = {}, {}
+    for u, e, t in sorted(rows, key=lambda r: (r[2], r[1])):
+        start, n = windows.get(u, (float("-inf"), 0))
+        start, n = (t, 1) if t - start >= 10 else (start, n + 1)
+        windows[u] = (start, n)
+        want[e] = (u, n > 2, start + 10 - t if n > 2 else 0.0)
+    assert made == want
+    assert "InPandas" not in spent._jdf.queryExecution().toString()

@@ -7,6 +7,7 @@ import re
 import duckdb
 import pytest
 
+from placeframe.operators import rank
 from placeframe.operators.mentions import mentions
 from placeframe.plans import catalog
 from test_oracle import TABLES, plain
@@ -47,3 +48,11 @@ def test_rounding_and_distances_leave_no_customer_out(spark, sf):
     n = spark.read.parquet(f"{sf}/customer.parquet").count()
     assert catalog.QUERIES["p24_published_all"](spark, sf).count() == n
     assert catalog.QUERIES["g1_g3_nearest_distances"](spark, sf).count() == n
+
+
+def test_search_numbers_rows_by_ranges(spark):
+    rows = [(i, "river", [], i * 37 % 1009) for i in range(3000)]
+    made = rank.search(spark.createDataFrame(rows, "id long, name string, aliases array<string>, people long").repartition(5), "riv")
+    assert "row_number() windowspecdefinition(prefix" not in made._jdf.queryExecution().toString()
+    order = sorted(rows, key=lambda r: (-r[3], r[0]))
+    assert {r.id: r["rank"] for r in made.collect()} == {r[0]: i for i, r in enumerate(order, 1)}
