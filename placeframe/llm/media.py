@@ -4,6 +4,9 @@ A frame is a baseline grey-scale JPEG of SIDE x SIDE pixels. A block's 63 AC coe
 of size category 8 has eight extra bits, which are the byte as it is, and its Huffman code is given eight bits too. So a
 payload byte is one quantised coefficient (the format's unit), entropy-coded data stay aligned to bytes, and whole frames
 are coded and decoded by array operations. Every quantiser step is 1, so reading back is lossless.
+
+Only images of this profile are read: their header is compared byte by byte, and no quantiser or Huffman table of a file is
+parsed. A file with images of another size, with colour or with other tables gives an error row.
 """
 
 from __future__ import annotations
