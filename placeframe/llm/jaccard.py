@@ -226,15 +226,8 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of docs(doc_id, text).
-
-    Two texts link when the Jaccard similarity of their sets of `size`-word shingles (A-Z in lower case) is at least
-    percent / 100; component_id is the smallest doc_id reachable by links. Equal sets are one vertex, so copies are
-    never expanded into pairs. A text without words, or null, has no shingles and links with nothing. A row without
-    doc_id has component_id null. Repeated rows stay repeated. Sets stand for texts by hashes of 64 bits; if two
-    different sets should share one, all is hashed again with another seed.
-    """
+def _candidates(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The set of each row, the first document of each set, the signatures that sets share, and those sets' elements."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     given = docs.where("doc_id IS NOT NULL")
     for seed in range(8):
@@ -256,7 +249,37 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     ids = live.select("v").distinct().join(first, "v").select("doc_id")
     texts = _only(given, table(ids, "ids"))
     held = texts.mapInArrow(partial(_held, size=size, seed=seed), _HELD_SQL).dropDuplicates(["v"])
-    labels = _linked_sets(live, table(held, "held"), percent)
+    return sets, first, live, table(held, "held")
+
+
+def near_links(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """a, b: every link between different sets, each named by the smallest doc_id that has it; a < b.
+
+    All pairs that share a signature and whose sketches allow a link are verified, so the rows grow with the square of a
+    group of near copies, as the links do.
+    """
+    _, first, live, held = _candidates(docs, size, percent)
+    rows = live.join(held.drop("held"), "v")
+    near = _differing("p", "q") * (100 + percent) <= (F.col("p.n") + F.col("q.n")) * (100 - percent)
+    both = rows.alias("p").join(rows.alias("q"), (F.col("p.sig") == F.col("q.sig")) & (F.col("p.v") < F.col("q.v")) & near)
+    links = _links(both.select(F.col("p.v").alias("a"), F.col("q.v").alias("b")).distinct(), held, percent)
+    names = [first.select(F.col("v").alias(e), F.col("doc_id").alias(f"d{e}")) for e in "ab"]
+    named = links.join(names[0], "a").join(names[1], "b")
+    return named.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of docs(doc_id, text).
+
+    Two texts link when the Jaccard similarity of their sets of `size`-word shingles (A-Z in lower case) is at least
+    percent / 100; component_id is the smallest doc_id reachable by links. Equal sets are one vertex, so copies are
+    never expanded into pairs. A text without words, or null, has no shingles and links with nothing. A row without
+    doc_id has component_id null. Repeated rows stay repeated. Sets stand for texts by hashes of 64 bits; if two
+    different sets should share one, all is hashed again with another seed. It finds what links connect and not all links, as
+    sets that are connected by now are not compared; all links are those of near_links().
+    """
+    sets, first, live, held = _candidates(docs, size, percent)
+    labels = _linked_sets(live, held, percent)
     if labels is None:
         named = first.select("v", F.col("doc_id").alias("component_id"))
     else:

@@ -58,6 +58,20 @@ def test_components_meet_brute_force(spark, size, percent):
     assert made == {i: (len(sets[i]), root[i]) for i in range(n)}
 
 
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
+def test_all_links_meet_brute_force(spark, size, percent):
+    first = {}
+    for i, t in enumerate(TEXTS):
+        w = WORD.findall(lower(t))
+        own = frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset({tuple(w)} - {()})
+        if own:
+            first.setdefault(own, i)
+    want = {(i, j) for x, i in first.items() for y, j in first.items() if i < j and 100 * len(x & y) >= percent * len(x | y)}
+    made = [(r.a, r.b) for r in jaccard.near_links(docs(spark), size, percent).collect()]
+    assert sorted(made) == sorted(want)
+    assert len(want) > len({i for pair in want for i in pair}) - 1  # more links than a tree has
+
+
 def test_similar_sets_always_share_a_signature():
     rng = np.random.default_rng(3)
     for percent in (70, 80, 90):
