@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from placeframe.operators import spatial
 from placeframe.operators.rank import first_per
-from placeframe.storage import table
+from placeframe.storage import release, table
+
+#: Rounds of shortest_paths() whose changes are kept apart.
+MERGE = 8
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,12 +24,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).where("u <> w").distinct(), "edges")
     mark = None
     while True:
+        last = edges
         both = edges.unionByName(edges.select(F.col("w").alias("u"), F.col("u").alias("w")))
         least = both.groupBy("u").agg(F.min("w").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").where("w > u").select(F.col("w").alias("u"), F.col("m").alias("w")).distinct()
         least = large.groupBy("u").agg(F.min("w").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("w") == F.col("m"), F.col("u")).otherwise(F.col("w")).alias("u"), F.col("m").alias("w"))
         edges = table(small.unionByName(least.withColumnRenamed("m", "w")).distinct(), "edges")
+        release(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "w") % 1_000_000_007)).first()
         if now == mark:
             break
@@ -68,19 +73,27 @@ def gaps(links: DataFrame, nodes: DataFrame, distance: float) -> DataFrame:
 def shortest_paths(links: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
     """source, node, dist: the shortest way from each source along links(a, b, length), both ways, up to the limit.
 
-    Parallel links keep the shortest. Each round walks on from the nodes whose distance fell in the last one; the state
-    is a written table.
+    Parallel links keep the shortest. Each round walks on from the nodes whose distance fell in the last one. Only what
+    fell is written; these tables are the state, and are merged into one after every MERGE rounds.
     """
     both = links.select("a", "b", "length").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "length"))
     steps = table(both.groupBy("a", "b").agg(F.min("length").alias("length")), "steps")
     known = table(sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(0.0).alias("dist")), "paths")
-    front = known
+    front, written = known, [known]
     while not front.isEmpty():
         far = front.join(steps, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), (F.col("dist") + F.col("length")).alias("dist"))
         far = far.where(F.col("dist") <= limit).groupBy("source", "node").agg(F.min("dist").alias("dist"))
-        better = far.join(known.withColumnRenamed("dist", "old"), ["source", "node"], "left").where("old IS NULL OR dist < old").drop("old")
+        least = known.groupBy("source", "node").agg(F.min("dist").alias("old"))
+        better = far.join(least, ["source", "node"], "left").where("old IS NULL OR dist < old").drop("old")
         front = table(better, "front")
-        known = table(known.unionByName(front).groupBy("source", "node").agg(F.min("dist").alias("dist")), "paths")
+        written.append(front)
+        known = known.unionByName(front)
+        if len(written) > MERGE:  # rows that a shorter way has replaced are few until then
+            whole = table(known.groupBy("source", "node").agg(F.min("dist").alias("dist")), "paths")
+            release(*(t for t in written if t is not front))
+            known, written = whole, [whole, *(t for t in written if t is front)]
+    known = table(known.groupBy("source", "node").agg(F.min("dist").alias("dist")), "paths")
+    release(steps, *written)
     return known
 
 
@@ -99,13 +112,15 @@ def thinned(rows: DataFrame, near: DataFrame) -> DataFrame:
         best = table(undecided.join(beaten, "id", "left_anti"), "best")
         kept = best if kept is None else kept.unionByName(best)
         gone = both.join(best.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).unionByName(best.select("id")).distinct()
-        undecided = table(undecided.join(gone, "id", "left_anti"), "undecided")
+        last, undecided = undecided, table(undecided.join(gone, "id", "left_anti"), "undecided")
+        release(last)
     return rows.limit(0) if kept is None else rows.join(kept.select("id"), "id", "left_semi")
 
 
 def contiguous(cells: DataFrame, diagonal: bool = True) -> DataFrame:
     """row, col, component for cells(row, col): neighbours by edge, or corner too, share a component (its smallest id)."""
-    ids = cells.select("row", "col", (F.col("row") * 1_000_000 + F.col("col")).alias("id"))
+    # rows and columns are whole numbers of 32 bits
+    ids = cells.select("row", "col", (F.col("row").cast("long") * (1 << 32) + F.col("col") + (1 << 31)).alias("id"))
     offsets = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if diagonal else [])]
     steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in offsets])
     shifted = ids.withColumn("s", F.explode(steps)).select(F.col("id").alias("a"), (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
