@@ -25,7 +25,7 @@ from placeframe.llm import tokens
 from placeframe.llm.scratch import table
 
 CLASSES, BUCKETS, DIMENSIONS = 2048, 255, 24
-#: At most so many words whose counts every task holds (2 MB); the counts of the others meet the documents in a shuffle.
+#: At most so many words whose counts every task holds (3 MB); the counts of the others meet the documents in a shuffle.
 FREQUENT = 131_072
 ROUNDS, NOISE, BATCH, RATE = 2, 256, 1024, 0.1
 #: Copies of the parameters that one task adds up.
@@ -44,9 +44,10 @@ def bucket_of(words: tokens.Words) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """Frequent words by hash, with count and class (-1: by bucket); total and different training tokens."""
+    """Frequent words by name (128 bits), with count and class (-1: by bucket); total and different training tokens."""
 
     hashes: np.ndarray
+    seconds: np.ndarray
     counts: np.ndarray
     classes: np.ndarray
     total: int
@@ -54,15 +55,15 @@ class Vocabulary:
     end_count: int
     class_mass: np.ndarray
 
-    def look_up(self, words: tokens.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Count (-1: not among the frequent), class and hash of each word."""
-        h = words.hashes()
+    def look_up(self, words: tokens.Words) -> tuple[np.ndarray, np.ndarray, tokens.Lanes]:
+        """Count (-1: not among the frequent), class and name of each word."""
+        h, g = words.names()
         if not len(self.hashes):
-            return np.full(len(h), -1, np.int64), _HEAD + 1 + bucket_of(words), h
+            return np.full(len(h), -1, np.int64), _HEAD + 1 + bucket_of(words), (h, g)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        found = self.hashes[at] == h
+        found = (self.hashes[at] == h) & (self.seconds[at] == g)
         named = np.where(found, self.classes[at], -1)
-        return np.where(found, self.counts[at], -1), np.where(named >= 0, named, _HEAD + 1 + bucket_of(words)), h
+        return np.where(found, self.counts[at], -1), np.where(named >= 0, named, _HEAD + 1 + bucket_of(words)), (h, g)
 
 
 def with_ends(words: tokens.Words, values: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
@@ -152,35 +153,61 @@ class Model:
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("h", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64())])
     for batch in batches:
-        held, buckets = [np.empty(0, np.uint64)], [np.empty(0, np.int32)]
-        for _, _, data, at in tokens.parts(batch):
+        for _, _, data, at in tokens.parts(batch, most=4 * tokens.PART_BYTES):
             words = tokens.Words(data, at, lower=True)
-            held.append(words.hashes())
-            buckets.append(bucket_of(words))
-        h, first, n = np.unique(np.concatenate(held), return_index=True, return_counts=True)
-        yield from tokens.rows_of([{"h": h, "bucket": np.concatenate(buckets)[first], "n": n.astype(np.int64)}], schema)
+            h, g = words.names()
+            order, starts = _groups(h, g)
+            first = order[starts]
+            yield from tokens.rows_of([{"h": h[first], "g": g[first], "bucket": bucket_of(words)[first], "n": np.diff(np.append(starts, len(h))).astype(np.int64)}], schema)
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which equal keys are neighbours, and where each different one begins."""
+    order = np.lexsort(keys[::-1]) if len(keys) > 2 else np.argsort(keys[0], kind="stable")
+    if len(keys) == 2:  # the first key alone nearly always tells them apart
+        x, y = (k[order] for k in keys)
+        if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():
+            order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    return order, np.flatnonzero(new)
 
 
 def count(training: DataFrame) -> DataFrame:
-    """h, bucket, n: how often each word stands in training(text); added up by batch before the shuffle. A written table."""
-    rows = training.select("text").mapInArrow(_counted, "h long, bucket int, n long")
-    return table(rows.groupBy("h", "bucket").agg(F.sum("n").alias("n")), "counts")
+    """h, g, bucket, n: how often each word stands in training(text); added up by part before the shuffle. A written table."""
+    rows = training.select("text").mapInArrow(_counted, "h long, g long, bucket int, n long")
+    return table(rows.groupBy("h", "g", "bucket").agg(F.sum("n").alias("n")), "counts")
 
 
-def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
-    """documents: how many ends the training tokens hold."""
-    words, different = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # words by the logarithm of their count: some thousand groups say from which count on there are few enough
+def frequent(counts: DataFrame, most: int = FREQUENT) -> DataFrame:
+    """The rows of at most about `most` words of the highest counts.
+
+    Counts are taken by levels of 64 to an octave, so that some thousand groups tell where to stop. Of the level in which
+    `most` is reached, the words with the smallest hashes are taken, as many as are missing by their share.
+    """
     level = F.floor(F.log2("n") * 64).cast("int")
-    least, held = 1 << 30, 0
+    held = 0
     for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["level"]):
+        if held + r["n"] > most:
+            share = (most - held) / r["n"]
+            return counts.where((level > r["level"]) | ((level == r["level"]) & (F.col("h") / F.lit(2.0**64) + 0.5 < share)))
         held += r["n"]
-        if held > FREQUENT:
-            break
-        least = r["level"]
-    top = counts.where(level >= least).toPandas().sort_values(["n", "h"], ascending=[False, True])
+    return counts
+
+
+def vocabulary(counts: DataFrame, documents: int, most: int = FREQUENT) -> Vocabulary:
+    """documents: how many ends the training tokens hold.
+
+    The _HEAD most frequent words are classes of their own, all others share the tail buckets: a word of a bucket has
+    the model's probability of the bucket times its smoothed share of it.
+    """
+    words, different = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    top = frequent(counts, most).toPandas().sort_values(["n", "h", "g"], ascending=[False, True, True])
     classes = np.full(len(top), -1, np.int64)
     classes[:_HEAD] = np.arange(1, min(_HEAD, len(top)) + 1)
     head = top[:_HEAD]
@@ -192,7 +219,7 @@ def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
     np.subtract.at(mass, _HEAD + 1 + head["bucket"].to_numpy(np.int64), head["n"].to_numpy() + 0.5)
     hashes = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], top["n"].to_numpy(np.int64)[order], classes[order], int(words) + documents, int(different) + (documents > 0), documents, mass)
+    return Vocabulary(hashes[order], top["g"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.int64)[order], classes[order], int(words) + documents, int(different) + (documents > 0), documents, mass)
 
 
 def _places(batch: pa.RecordBatch, known: Vocabulary, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -229,10 +256,11 @@ def train(training: DataFrame, known: Vocabulary) -> Model:
             if n:
                 yield _copy(own.flat() * np.float32(n), n)
 
-        copies = training.select("text").mapInArrow(local, "sum binary, n long")
-        groups = max(1, training.rdd.getNumPartitions() // FAN_IN)
-        for parts in dict.fromkeys((groups, 1)):
-            copies = copies.repartition(parts).mapInArrow(_added, "sum binary, n long")
+        copies = trained = training.select("text").mapInArrow(local, "sum binary, n long")
+        left = max(1, training.rdd.getNumPartitions())
+        while left > 1 or copies is trained:  # a tree: no task adds up more than about FAN_IN copies
+            left = -(-left // FAN_IN)
+            copies = copies.repartition(left).mapInArrow(_added, "sum binary, n long")
         for r in copies.collect():
             model.load(np.frombuffer(r["sum"], np.float32)[:size] / np.float32(r["n"]))
         held.unpersist()
@@ -254,7 +282,7 @@ def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _copy(total, n)
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, counted double, model double, rest array<struct<h:long,tf:long>>"
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, counted double, model double, rest array<struct<h:long,g:long,tf:long>>"
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -263,7 +291,9 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     Words are runs of other characters than white space with A-Z in lower case, and each text has one end; null text is
     empty. Learns from the rows that are not held out. base_score: log10 of the smoothed unigram counts; score: the
     model's log10 probability of the text. Repeated rows repeat. Without training rows the base is that of counts 0 and
-    the model that of its start. An empty table gives an empty result. Words are told apart by 64-bit hashes.
+    the model that of its start. An empty table gives an empty result. Words are told apart by keyed names of 128 bits.
+    A very long text is worked on whole, some 60 bytes a byte in a worker. Other columns of docs, whatever their names,
+    are ignored.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     training = own.where("NOT held_out")
@@ -282,7 +312,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
             for row, end, data, at in tokens.parts(batch):
                 words = tokens.Words(data, at, lower=True)
                 n_rows = end - row
-                count_of, classes, h = known.look_up(words)
+                count_of, classes, (h, g) = known.look_up(words)
                 tail = classes > _HEAD
                 seen, rows = with_ends(words, classes, END)
                 one, two = contexts(seen, rows)
@@ -294,8 +324,12 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                 # words of a tail bucket owe the model their counts' logarithm; those that are not here get it later
                 by_model += np.bincount(words.row[here & tail], log_count[here & tail], n_rows)
                 n_known = np.bincount(words.row[here], minlength=n_rows) + (known.end_count > 0)
-                away, tf, cuts = _tally(words.row[~here], h[~here], n_rows)
-                rest = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(away.view(np.int64)), pa.array(tf)], ["h", "tf"]))
+                away = words.row[~here], h[~here], g[~here]
+                order, starts = _groups(*away)
+                tf = np.diff(np.append(starts, len(order))).astype(np.int64)
+                row_of, *names_of = (x[order[starts]] for x in away)
+                cuts = np.searchsorted(row_of, np.arange(n_rows + 1)).astype(np.int32)
+                rest = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([*(pa.array(x.view(np.int64)) for x in names_of), pa.array(tf)], ["h", "g", "tf"]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, n_rows),
@@ -312,9 +346,9 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     # written once: the rare words go to meet their counts, the rest waits
     done = own.mapInArrow(scored, _SCORED).withColumn("row", F.monotonically_increasing_id())
     done = table(done, "scored")
-    rare = done.select("row", F.explode("rest").alias("r")).select("row", "r.h", "r.tf")
+    rare = done.select("row", F.explode("rest").alias("r")).select("row", "r.h", "r.g", "r.tf")
     logs = F.when(F.col("n").isNull(), F.lit(floor)).otherwise(F.log10(F.col("n") + 0.5))
-    found = rare.join(counts.select("h", "n"), "h", "left").groupBy("row").agg(
+    found = rare.join(counts.select("h", "g", "n"), ["h", "g"], "left").groupBy("row").agg(
         F.sum(F.col("tf") * logs).alias("later"), F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("known_later")
     )
     norm = math.log10(known.total + 0.5 * (known.different + 1))
@@ -329,12 +363,3 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         (F.col("model") + later).alias("score"),
     )
 
-
-def _tally(row: np.ndarray, h: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different hashes of each row with their counts, and where each row's begin."""
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-    at = np.flatnonzero(new)
-    return h[at], np.diff(np.append(at, len(row))).astype(np.int64), np.searchsorted(row[at], np.arange(n_rows + 1)).astype(np.int32)

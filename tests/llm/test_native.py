@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from placeframe.llm import chat, linededup, mixing, quality
+from placeframe.llm import chat, jaccard, linededup, mixing, quality
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean"
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -38,17 +38,27 @@ def test_measures_meet_plain_python(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == measures(t), t
 
 
-def test_common_lines_deplete_and_copies_count_once(spark):
-    own = [f"{' '.join(f'own{i}x{k}' for k in range(60))}\nshared menu line" for i in range(8)]
-    empty = [f"shared menu line {'pad ' * 60}\nlast{i}" for i in range(8)]
-    rules = quality.Rules(line_limit=3, repeat_share=2)
-    made = {r.doc_id: r.kept for r in quality.judge(docs(spark, own + empty + [own[0]] * 9), rules).collect()}
-    assert all(made[i] for i in range(8)) and not any(made[i] for i in range(8, 16) if i % 3) and all(made[i] for i in range(16, 25))
-    kept = quality.keep_good(docs(spark, own + empty), rules)
-    assert kept.columns == DOCS.replace(",", "").split()[::2]
+def test_common_lines_deplete(spark):
+    own = [f"{' '.join(f'own{i}x{k}' for k in range(60))}\nShared menu line" for i in range(8)]
+    empty = [f" shared MENU line\n{' '.join(f'pad{k}' for k in range(60))}\nlast{i}" for i in range(8)]
+    made = {r.doc_id: r for r in quality.judge(docs(spark, own + empty)).collect()}
+    assert all(made[i].kept and made[i].n_common_lines == 1 and made[i].n_common == 3 for i in range(8))
+    # of the documents without a source there are too few to share the long line
+    assert {i for i in range(8, 16) if not made[i].kept} == {i for i in range(8, 16) if i % 3}
+    kept = quality.keep_good(docs(spark, own + empty))
+    assert kept.columns == DOCS.replace(",", "").split()[::2] and kept.count() == 8 + 3
+    clean = {r.doc_id: r.text for r in quality.without_common_lines(docs(spark, own + empty + [None])).collect()}
+    assert clean[1] == own[1].split("\n")[0] and clean[8] == "last0" and clean[16] is None
     assert quality.judge(docs(spark, own).limit(0)).count() == 0
 
 
+def test_repeated_ids_are_one_document_of_a_host(spark):
+    body = " ".join(f"w{k}" for k in range(60))
+    d = spark.createDataFrame([(1, f"{body} {i}\nmenu", "s", 5) for i in range(6)] + [(None, f"{body}\nmenu", "s", 5)] * 6, "doc_id long, text string, source string, host int")
+    made = quality.judge(d).collect()
+    assert len(made) == 12 and all(r.n_common_lines == 0 and r.host == 5 for r in made)
+
+
 def test_lines_meet_plain_python(spark):
     texts = [f"Menu \nbody {i}\n\tMENU" for i in range(4)] + ["menu", "", None, "\n\n", "body 1"]
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
@@ -63,9 +73,23 @@ def test_lines_meet_plain_python(spark):
     assert linededup.drop_common_lines(docs(spark, texts).limit(0)).count() == 0
 
 
-def test_repeated_rows_are_documents(spark):
-    d = spark.createDataFrame([(1, "x")] * 3 + [(None, "y")], "doc_id long, text string")
-    assert sorted(r.n_dropped for r in linededup.drop_common_lines(d, 3).collect()) == [0, 1, 1, 1]
+def test_repeated_ids_are_one_document(spark):
+    d = spark.createDataFrame([(1, "x")] * 10 + [(None, "x"), (2, "x"), (None, "y")], "doc_id long, text string")
+    assert {r.n_dropped for r in linededup.drop_common_lines(d, 3).collect()} == {0}
+    assert sorted(r.n_dropped for r in linededup.drop_common_lines(d, 2).collect()) == [0] + [1] * 12
+
+
+CLASHES = ["_lines", "_t1", "_t2", "_drop", "n_lines", "n_dropped", "kept_text", "host", "copy", "place", "block", "n_tokens", "row", "id", "t1", "key", "anchors", "component_id", "kept", "places", "n_words"]
+
+
+def test_columns_of_any_name_pass(spark):
+    given = docs(spark, [*TEXTS, " ".join(f"good{k}" for k in range(80))]).drop("kept").select("*", *(F.lit(7 + i).alias(c) for i, c in enumerate(CLASHES)))
+    want = {c: 7 + i for i, c in enumerate(CLASHES)}
+    for stage in (quality.keep_good, linededup.dedup_lines, mixing.mixed, jaccard.keep_one, quality.without_common_lines):
+        out = stage(given)
+        assert out.columns == given.columns
+        rows = out.collect()
+        assert rows and all(r[c] == v for r in rows for c, v in want.items()), stage
 
 
 def turn(pair, side, n, role, text):
@@ -101,6 +125,26 @@ def test_mixture_keeps_all_and_repeats_the_rare(spark):
     assert mixing.exponent(sources, entropy=1.0) == pytest.approx(0.0, abs=1e-3)
 
 
+def test_mixture_meets_plain_python(spark):
+    rows = [(i, "w " * (1 + i % 13), "abcd"[(i * i) % 7 % 4]) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    made = mixing.mix(d, repetition=1.5, block_tokens=40).toPandas()
+    total = Counter()
+    for i, text, source in rows:
+        total[source] += len(text.split()) + 1
+    share = {s: n / sum(total.values()) for s, n in total.items()}
+    # the smallest-difference exponent by a fine scan, and the budgets it gives
+    a = max(x / 20000 for x in range(20001) if max(share[s] ** (x / 20000 - 1) for s in share) / min(share[s] ** (x / 20000 - 1) for s in share) > 1.5)
+    scale = max(n ** (1 - a) for n in total.values())
+    for s, own in made.groupby("source"):
+        limit = total[s] ** a * scale
+        assert limit - 15 <= own.n_tokens.sum() <= limit + 15
+        ordered = own.sort_values(["copy", "block", "place"])
+        before = ordered.n_tokens.cumsum() - ordered.n_tokens
+        assert (ordered.place.to_numpy() - before.to_numpy() / limit * 1e9).max() < 2e5 and ordered.place.is_monotonic_increasing
+        assert (own.groupby("doc_id").copy.nunique() == own.groupby("doc_id").size()).all()
+
+
 def test_mixture_of_odd_tables(spark):
     d = spark.createDataFrame([(1, None, None, 7), (1, None, None, 7), (2, "", "a", 7)], "doc_id long, text string, source string, copy int")
     assert mixing.mixed(d).columns == d.columns and mixing.mixed(d).count() >= 3

@@ -228,7 +228,7 @@ def test_scores_of_odd_tables(spark):
 
 def test_rounds_together_train_on_every_place():
     none = np.empty(0, np.int64)
-    known = lm.Vocabulary(none.astype(np.uint64), none, none, 0, 0, 0, np.ones(lm.CLASSES))
+    known = lm.Vocabulary(none.astype(np.uint64), none.astype(np.uint64), none, none, 0, 0, 0, np.ones(lm.CLASSES))
     texts = [t or "" for t in TEXTS]
     seen = Counter()
     for turn in range(lm.ROUNDS):
@@ -243,3 +243,149 @@ def test_rounds_together_train_on_every_place():
         padded = [lm.END, lm.END, *classes]
         every.update((padded[i + 1], padded[i], c) for i, c in enumerate(classes))
     assert seen == every
+
+
+def thue_morse():
+    """Two different words that a polynomial hash modulo 2**64 can't tell apart."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_made_to_collide_are_told_apart(spark):
+    a, b = thue_morse()
+    lead = " ".join(f"w{i}" for i in range(12))
+    d = spark.createDataFrame([(1, f"{lead} {a}"), (2, f"{lead} {b}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in phrases.drop_repeats(d).collect()} == {1: 0, 2: 0}
+    d = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(d).collect()} == {1: 1, 2: 2}
+    assert {r.doc_id: r.n_known for r in lm.score(d, F.col("doc_id") == 2).collect()} == {1: 2, 2: 1}
+
+
+def test_links_are_decided_by_words():
+    texts = ["a b c d e f g h i j", "a b c d e f g h i J", "a b", "A b", "a b", "a c", "", "", "a b c", "a b", "x y z", "x y z w"]
+    assert jaccard.similar(pa.array(texts), 3, 90).tolist() == [True, True, False, False, False, False]
+    assert jaccard.similar(pa.array(texts), 3, 50).tolist() == [True, True, False, False, False, True]
+
+
+def test_passages_go_where_the_automaton_finds_them():
+    """The names only choose passages: a shard's result is what its automaton finds in whole texts."""
+    held = " ".join(BASE[:30])
+    texts = pa.table({"id": pa.array([5, 6, 7], pa.int64()), "doc": pa.array([50, 10, 70], pa.int64()), "text": [f"x {held} y", f"{held} z", " ".join(BASE[:12])]})
+    told = pa.table({"first": pa.array([10], pa.int64()), "passage": pa.array([" ".join(BASE[:20]).encode()])})
+    assert phrases._locate(texts, told, 13).column("n_removed").to_pylist() == [20, 0, 0]
+    assert phrases._locate(texts, told.slice(0, 0), 13).column("n_removed").to_pylist() == [0, 0, 0]
+    shard, read, _ = phrases.compile_shard([" ".join(BASE[:20]).encode()], [10], pa.array([f"x {held} y"]), 13)
+    assert len(shard) == 8 and len(list(shard.iter(read[0]))) == 8
+
+
+def test_clashing_columns_and_long_texts_are_ignored(spark):
+    long = " ".join(f"v{i * i % 7919}" for i in range(60_000))
+    own = docs(spark, [*TEXTS[:6], long, long + " end", None]).withColumn("lang", F.lit("en"))
+    odd = own.select("doc_id", "text", "lang", *(F.lit("x").alias(c) for c in ("t1", "t2", "anchors", "id", "h", "g", "n", "row", "bucket", "rank", "shard", "key", "media", "held_out", "score")))
+    for make in (
+        jaccard.near_duplicates,
+        phrases.drop_repeats,
+        media.round_trip,
+        lambda d: packing.pack(d, TOKENIZER).drop("sequence_id", "offset"),
+        lambda d: langid.identify(d, F.lit(False)),
+        lambda d: lm.score(d, F.lit(False)).drop("score"),
+    ):
+        assert sorted(map(str, make(odd).collect())) == sorted(map(str, make(own).collect()))
+    assert {r.doc_id: r.n_removed for r in phrases.drop_repeats(own).collect()}[7] == 60_000
+
+
+def test_first_of_repeated_ids_stays(spark):
+    d = spark.createDataFrame([(5, "a b c"), (5, "a b c"), (5, "q r s t"), (7, "A b c"), (8, ""), (8, None), (None, "a b c")], "doc_id long, text string")
+    made = sorted((str(r.doc_id), r.text or "") for r in jaccard.keep_one(d).collect())
+    assert made == [("5", "a b c"), ("5", "q r s t"), ("8", ""), ("None", "a b c")]
+
+
+def test_many_languages_are_all_learned(spark):
+    words = {k: [f"{chr(97 + k // 26)}{chr(97 + k % 26)}{x}" for x in ("ga", "lo", "mi")] for k in range(130)}
+    rows = [(100 * k + i, " ".join(words[k][(i + j) % 3] for j in range(12)), f"l{k:03}") for k in words for i in range(6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    made = langid.identify(d, F.lit(False)).join(d, "doc_id").where("lang = lang_pred")
+    assert made.select("lang").distinct().count() == 130
+
+
+def slow_groups(means):
+    groups = [[i] for i in range(len(means))]
+    while len(groups) > max(1, round(len(means) ** 0.5)):
+        pairs = [(i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))]
+        close = [np.mean([means[x] @ means[y] for x in groups[i] for y in groups[j]]) for i, j in pairs]
+        i, j = pairs[int(np.argmax(close))]
+        groups[i] += groups.pop(j)
+    return groups
+
+
+def test_families_and_decisions_meet_a_slow_version():
+    rng = np.random.default_rng(5)
+    x = rng.random((90, langid.WIDTH)).astype(np.float32)
+    labels = np.array([f"l{i % 9}" for i in range(90)], object)
+    for i in range(90):
+        x[i, (i % 9) * 20 : (i % 9) * 20 + 20] += 2
+        x[i, 500 + (i % 9) // 3 * 50 : 550 + (i % 9) // 3 * 50] += 2
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = langid.Model(x, labels)
+    means = np.stack([x[labels == n].mean(axis=0) for n in model.names])
+    means /= np.linalg.norm(means, axis=1, keepdims=True)
+    assert model.groups == slow_groups(means) and sorted(map(len, model.groups)) == [3, 3, 3]
+    best, score = model.predict(x)
+    for i in range(90):
+        margins = [float(x[i] @ w[:-1] + w[-1]) for w in model.family]
+        group = model.groups[int(np.argmax(margins))]
+        votes = {a: 0 for a in group}
+        for (a, b), w in model.pair.items():
+            if a in group:
+                votes[a if x[i] @ w[:-1] + w[-1] > 0 else b] += 1
+        assert votes[best[i]] == max(votes.values()) and 0 <= score[i] <= 1
+    assert (np.array(model.names, object)[best] == labels).all()
+
+
+def test_frequent_words_have_a_bound(spark):
+    counts = spark.createDataFrame([(i * 0x9E3779B97F4A7C15 % 2**64 - 2**63, i, 0, 1 if i % 2 else 9) for i in range(1000)], "h long, g long, bucket int, n long")
+    assert lm.frequent(counts, 10_000).count() == 1000
+    made = [r.n for r in lm.frequent(counts, 600).collect()]
+    assert made.count(9) == 500 and 0 < made.count(1) < 250
+    one_level = lm.frequent(counts.where("n = 1"), 100).count()
+    assert 0 < one_level < 250
+    known = lm.vocabulary(counts, 3, 0)
+    assert len(known.hashes) == 0 and known.total == 5003 and known.different == 1001
+
+
+def test_any_baseline_jpeg_is_decoded():
+    rng = np.random.default_rng(1)
+    for payload in (b"\x00" * 64, rng.integers(0, 256, 3000, np.uint8).tobytes()):
+        for frame in media.encode_frames(payload):
+            held = media.decode_frame(frame)
+            made = media.read_jpeg(frame)
+            blocks = made[1].reshape(-1, 64)
+            value = held.astype(int)
+            assert (blocks[:, 1:] == np.where(value < 128, value - 255, value)).all() and not blocks[:, 0].any()
+            own = media.pixels(held).reshape(4, 4, 8, 8).swapaxes(1, 2).reshape(32, 32).astype(int)
+            assert np.abs(made[0].astype(int) - own).max() <= 4  # the array path rounds its waves to whole numbers
+
+
+def bits(*pairs):
+    line = "".join(f"{v:0{n}b}" for v, n in pairs)
+    line += "1" * (-len(line) % 8)
+    return int(line, 2).to_bytes(len(line) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+
+def test_colour_with_standard_tables_and_restarts():
+    """Flat 16 x 16 colour units, 2 x 2 sampled luma, standard tables left out: DC 1 of category 1 is code 010, end 1010."""
+    luma, flat = [(0b010, 3), (1, 1), (0b1010, 4)], [(0b00, 2), (0b1010, 4)]
+    chroma = [(0b00, 2), (0b00, 2)]
+    unit = bits(*luma, *flat * 3, *chroma * 2)
+    head = b"\xff\xd8" + media._segment(0xDB, bytes([0]) + bytes([16] * 64)) + media._segment(0xDB, bytes([1]) + bytes([16] * 64))
+    head += media._segment(0xC0, bytes([8, 0, 16, 0, 30, 3, 1, 0x22, 0, 2, 0x11, 1, 3, 0x11, 1])) + media._segment(0xDD, b"\x00\x01")
+    head += media._segment(0xDA, bytes([3, 1, 0x00, 2, 0x11, 3, 0x11, 0, 63, 0]))
+    frame = head + unit + b"\xff\xd0" + unit + b"\xff\xd9"
+    made = media.read_jpeg(frame)
+    assert made[0].shape == (16, 30) and (made[0] == 130).all() and made[2].shape == (1, 2, 64)
+    with pytest.raises(ValueError):
+        media.read_jpeg(frame[:-6])
+    with pytest.raises(ValueError):
+        media.read_jpeg(frame.replace(b"\xff\xc0", b"\xff\xc2"))
