@@ -1,15 +1,16 @@
-"""Substring dedup: repeated phrases, confirmed over all documents and located by Aho-Corasick automata.
+"""Substring dedup: recurring passages are confirmed, compiled into sharded Aho-Corasick automata, and located.
 
-1. Texts that are equal are one text; all but the one with the smallest id are copies, wholly repeated.
+1. Equal texts are one text; its first document stands for it, the others are copies, wholly repeated.
 2. Each window of `width` words has an anchor: the smallest hash of its ANCHOR-word runs. Equal windows have equal
    anchors, and neighbours mostly share one, so a fifth as many anchors as windows are counted. An anchor in one text only
    rules its windows out.
-3. The other windows are confirmed: their hashes are grouped, and the smallest doc_id of each that is in more than one
-   document owns it.
-4. The confirmed phrases come to the documents that hold them. The phrases of some thousand documents are compiled into
-   one automaton (a shard), and those documents' whole texts are streamed through it, to locate every occurrence.
+3. The other windows are confirmed by one shuffle of their 128-bit names, which finds for each later text an earlier
+   owner of the window. The owner cuts the confirmed passages out of its text, as words.
+4. Texts are dealt to shards of about SHARD_BYTES. A shard's passages, as far as some of its texts may hold them, are
+   compiled into one automaton of words, and all its texts, whole, are streamed through it. A passage is found where
+   its words stand, whatever the names say: no name decides that a word goes.
 
-Counting is pre-aggregated, lists are per document, and texts are moved only where they hold something shared.
+Keys that one batch holds several times are settled before the shuffle, so a hot passage sends one row a batch.
 """
 
 from __future__ import annotations
@@ -26,164 +27,237 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeframe.llm import tokens
-from placeframe.llm.columns import digest
-from placeframe.llm.scratch import table
+from placeframe.llm.meeting import shared_keys
+from placeframe.llm.scratch import release, stored_bytes, table
 
 WIDTH, ANCHOR = 13, 5
-#: Ids that may be broadcast to pick out texts (16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: A written table of at most so many bytes may be broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
+#: Text of a shard, in bytes; a longer text is a shard's whole. Its automaton takes some ten times as much.
+SHARD_BYTES = 1 << 20
 
-_FACTS = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())])
-_ANCHORS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64())])
-_WINDOWS = pa.schema([("w", pa.int64()), ("doc_id", pa.int64())])
+_WINDOWS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("anchor", pa.int64()), ("id", pa.int64()), ("doc", pa.int64()), ("owner", pa.int64())])
+_FOUND = pa.schema([("id", pa.int64()), ("anchor", pa.int64()), ("owner", pa.int64()), ("w1", pa.int64())])
+_PASSAGES = pa.schema([("anchor", pa.int64()), ("owner", pa.int64()), ("first", pa.int64()), ("passage", pa.binary())])
+_LOCATED = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _facts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, sha = [], []
-        for text in batch.column(3).fill_null("").to_pylist():
-            held = text.encode().split()
-            n.append(len(held))
-            sha.append(hashlib.sha256(b" ".join(held)).hexdigest())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(sha)], schema=_FACTS)
-
-
-def _windows(words: tokens.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, hash and anchor of each window of the part; the first word is found by flatnonzero of the same test."""
-    h = words.hashes()
-    grams = tokens.sequences(h, width)
-    if not len(grams):
-        return np.empty(0, np.int64), grams, grams
-    inside = words.row[: len(grams)] == words.row[width - 1 :]
-    runs = tokens.sequences(h, ANCHOR)
-    span = width - ANCHOR + 1
-    anchors = runs[: len(grams)].copy()
-    for i in range(1, span):
-        np.minimum(anchors, runs[i : i + len(grams)], out=anchors)
-    return words.row[: len(grams)][inside], grams[inside], anchors[inside]
-
-
-def _distinct(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Once for each row."""
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-    return row[new], value[new]
-
-
-def _anchors(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for row, _, data, at in tokens.parts(batch):
-            rows, _, anchors = _windows(tokens.Words(data, at, lower=False), width)
-            change = np.ones(len(rows), bool)  # runs of windows share their anchor
-            change[1:] = (rows[1:] != rows[:-1]) | (anchors[1:] != anchors[:-1])
-            rows, anchors = _distinct(rows[change], anchors[change])
-            yield from tokens.rows_of([{"anchor": anchors, "doc_id": ids[row + rows]}], _ANCHORS)
+class Windows:
+    """Row, first word, names and anchor of each window of a part."""
+
+    def __init__(self, words: tokens.Words, width: int):
+        names = words.names()
+        w1, w2 = tokens.sequences(names, width)
+        inside = words.row[: len(w1)] == words.row[width - 1 :] if len(w1) else np.empty(0, bool)
+        runs = tokens.sequences(names, ANCHOR)[0]
+        anchors = runs[: len(w1)].copy()
+        for i in range(1, width - ANCHOR + 1):
+            np.minimum(anchors, runs[i : i + len(w1)], out=anchors)
+        self.first = np.flatnonzero(inside)
+        self.row, self.w1, self.w2, self.anchor = words.row[: len(w1)][inside], w1[inside], w2[inside], anchors[inside]
+
+
+def _anchors(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    ids = batch.column(batch.schema.get_field_index("id")).to_numpy()
+    for row, end, data, at in tokens.parts(batch):
+        w = Windows(tokens.Words(data, at, lower=False), width)
+        cuts = np.searchsorted(w.row, np.arange(end - row + 1))
+        for i in range(end - row):
+            x = np.sort(w.anchor[cuts[i] : cuts[i + 1]])
+            if len(x):
+                yield ids[row + i], x[np.r_[True, x[1:] != x[:-1]]]
 
 
 def _candidates(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Windows, once for each document, whose anchor is shared."""
+    """Windows whose anchor is shared, once for each text. Of those that several texts of the batch hold, the first
+    document's goes on; the others have it for an owner by now."""
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        held = []
+        ids, docs = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("id", "doc"))
+        anchors = batch.column(batch.schema.get_field_index("anchors"))
         for row, end, data, at in tokens.parts(batch):
-            rows, grams, anchors = _windows(tokens.Words(data, at, lower=False), width)
-            cuts = np.searchsorted(rows, np.arange(end - row + 1))
-            keep = np.zeros(len(rows), bool)
+            w = Windows(tokens.Words(data, at, lower=False), width)
+            cuts = np.searchsorted(w.row, np.arange(end - row + 1))
+            keep = np.zeros(len(w.row), bool)
             for i in range(end - row):
-                shared = np.asarray(batch.column(2)[row + i].values).view(np.uint64)
-                keep[cuts[i] : cuts[i + 1]] = np.isin(anchors[cuts[i] : cuts[i + 1]], shared)
-            rows, grams = _distinct(rows[keep], grams[keep])
-            yield from tokens.rows_of([{"w": grams, "doc_id": ids[row + rows]}], _WINDOWS)
+                shared = np.asarray(anchors[row + i].values).view(np.uint64)
+                keep[cuts[i] : cuts[i + 1]] = np.isin(w.anchor[cuts[i] : cuts[i + 1]], shared)
+            held.append((w.w1[keep], w.w2[keep], w.anchor[keep], ids[row + w.row[keep]], docs[row + w.row[keep]]))
+        w1, w2, anchor, text, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((text, doc, w2, w1))
+        w1, w2, anchor, text, doc = (x[order] for x in (w1, w2, anchor, text, doc))
+        new = np.ones(len(w1), bool)
+        new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(w1)), 0))
+        later = doc > doc[lead]
+        yield from tokens.rows_of([{"w1": w1[new], "w2": w2[new], "anchor": anchor[new], "id": text[new], "doc": doc[new], "owner": pa.nulls(int(new.sum()), pa.int64())}], _WINDOWS)
+        if later.any():
+            yield from tokens.rows_of([{"w1": w1[later], "w2": w2[later], "anchor": anchor[later], "id": text[later], "doc": doc[later], "owner": text[lead][later]}], _WINDOWS)
+
+
+def _owned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of window and document: text, anchor, an earlier text with the window (owner), and w1."""
+    last = None  # name, document and text of the first row of the window before
+    for batch in batches:
+        w1, w2, anchor, text, doc = (batch.column(i).to_numpy() for i in range(5))
+        owner = batch.column(5)
+        told = np.asarray(owner.is_valid())
+        known = owner.fill_null(-1).to_numpy()
+        out = [{"id": text[told], "anchor": anchor[told], "owner": known[told], "w1": w1[told]}]
+        w1, w2, anchor, text, doc = (x[~told] for x in (w1, w2, anchor, text, doc))
+        if len(w1):
+            new = np.ones(len(w1), bool)
+            new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(w1)), 0))
+            first_doc, first_text = doc[lead], text[lead]
+            if last is not None and (w1[0], w2[0]) == last[:2]:
+                first_doc, first_text = np.where(lead == 0, last[2], first_doc), np.where(lead == 0, last[3], first_text)
+            later = doc > first_doc
+            out.append({"id": text[later], "anchor": anchor[later], "owner": first_text[later], "w1": w1[later]})
+            last = (w1[-1], w2[-1], first_doc[-1], first_text[-1])
+        yield from tokens.rows_of(out, _FOUND)
 
 
-def _locate(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, t1, n_removed and the kept words' digest of documents that hold confirmed phrases (phrase, owner)."""
+def _passages(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The words of each run of an owner's confirmed windows (names) that have one anchor."""
     for batch in batches:
-        out: list[list] = [[], [], [], []]
-        ids = batch.column(0).to_pylist()
+        ids, docs = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("id", "doc"))
+        names = batch.column(batch.schema.get_field_index("names"))
+        anchor, owner, first, passage = [], [], [], []
         for row, end, data, at in tokens.parts(batch):
             words = tokens.Words(data, at, lower=False)
-            rows, grams, _ = _windows(words, width)
-            starts = np.flatnonzero(words.row[: len(words.row) - width + 1] == words.row[width - 1 :]) if len(words.row) >= width else rows
-            cuts = np.searchsorted(rows, np.arange(end - row + 1))
-            codes = np.unique(words.hashes(), return_inverse=True)[1].tolist()
-            shard = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-            owners: list[int] = []
-            known: set[int] = set()
+            w = Windows(words, width)
+            cuts = np.searchsorted(w.row, np.arange(end - row + 1))
             for i in range(end - row):
-                confirmed = batch.column(3)[row + i].values
-                names = np.asarray(confirmed.field("w")).view(np.uint64)
-                owner = dict(zip(names.tolist(), confirmed.field("owner").to_pylist(), strict=True))
                 span = slice(cuts[i], cuts[i + 1])
-                for k in np.flatnonzero(np.isin(grams[span], names)):
-                    name = int(grams[span][k])
-                    if name not in known:
-                        known.add(name)
-                        first = starts[span][k]
-                        shard.add_word(tuple(codes[first : first + width]), len(owners))
-                        owners.append(owner[name])
-            if known:
-                shard.make_automaton()
-            for i in range(end - row):
-                a, b = int(words.first[i]), int(words.first[i + 1])
-                covered = np.zeros(b - a + 1, np.int64)
-                if known:
-                    for last, phrase in shard.iter(tuple(codes[a:b])):
-                        if owners[phrase] < ids[row + i]:
-                            covered[last - width + 1] += 1
-                            covered[last + 1] -= 1
-                kept = np.cumsum(covered[:-1]) == 0
-                held = data[at[i] : at[i + 1]].tobytes().split()
-                for x, v in zip(out, (ids[row + i], batch.column(2)[row + i].as_py(), int(len(kept) - kept.sum()), hashlib.sha256(b" ".join(compress(held, kept))).hexdigest()), strict=True):
-                    x.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["doc_id", "t1", "n_removed", "kept_sha256"])
-
-
-def _only(texts: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """texts with, or without, these (doc_id, t1); ids is a written table."""
-    few = ids.count() <= BROADCAST_IDS
-    return texts.join(F.broadcast(ids) if few else ids, ["doc_id", "t1"], how)
+                k = np.flatnonzero(np.isin(w.w1[span], np.asarray(names[row + i].values).view(np.uint64))) + cuts[i]
+                if not len(k):
+                    continue
+                new = np.r_[True, (np.diff(k) > 1) | (w.anchor[k[1:]] != w.anchor[k[:-1]])]
+                begins, ends = k[new], k[np.r_[new[1:], True]]
+                for b, e in zip(begins.tolist(), ends.tolist(), strict=True):
+                    passage.append(data[words.starts[w.first[b]] : words.ends[w.first[e] + width - 1]].tobytes())
+                anchor.append(w.anchor[begins].view(np.int64))
+                owner.append(np.full(len(begins), ids[row + i]))
+                first.append(np.full(len(begins), docs[row + i]))
+        if passage:
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in (anchor, owner, first)), pa.array(passage, pa.binary())], schema=_PASSAGES)
+
+
+def _spelled(codes: np.ndarray, most: int) -> tuple[str, int]:
+    """Two letters for each word's number, the first ones and the second ones of different alphabets: an automaton's
+    node then has few branches, and no match begins inside a word. Number 0 stands for all words of no passage."""
+    root = int(most**0.5) + 1
+    letters = np.empty(2 * len(codes), "<u4")
+    letters[::2], letters[1::2] = 0x1000 + codes // root, 0x1000 + root + codes % root
+    return letters.tobytes().decode("utf-32-le"), root
+
+
+def compile_shard(passages: list[bytes], documents: list[int], texts: pa.Array, width: int) -> tuple[ahocorasick.Automaton | None, list[str], list[list[bytes]]]:
+    """The automaton of all windows of the passages, each with the smallest document that is told for it, and the texts
+    as it reads them, and their words."""
+    held = [p.split() for p in passages]
+    number: dict[bytes, int] = {}
+    for words in held:
+        for x in words:
+            number.setdefault(x, len(number) + 1)
+    split = [t.encode().split() for t in texts.to_pylist()]
+    read = [_spelled(np.fromiter((number.get(x, 0) for x in words), np.int64, len(words)), len(number) + 1)[0] for words in split]
+    if not held:
+        return None, read, split
+    shard = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k in sorted(range(len(held)), key=lambda k: -documents[k]):  # the smallest document is told last and stays
+        line = _spelled(np.array([number[x] for x in held[k]], np.int64), len(number) + 1)[0]
+        for i in range(0, len(line) - 2 * width + 2, 2):
+            shard.add_word(line[i : i + 2 * width], documents[k])
+    shard.make_automaton()
+    return shard, read, split
+
+
+def _locate(texts: pa.Table, passages: pa.Table, width: int) -> pa.Table:
+    """Words of a shard's texts covered by a passage's window that an earlier document has, as its automaton finds them."""
+    docs = texts.column("doc").to_pylist()
+    told = passages.column("first").to_pylist()
+    shard, read, split = compile_shard(passages.column("passage").to_pylist(), told, texts.column("text").combine_chunks(), width)
+    removed, sha = [], []
+    for doc, line, words in zip(docs, read, split, strict=True):
+        ends = [e for e, owner in shard.iter(line) if owner < doc] if shard else []
+        if ends:
+            last = np.array(ends) // 2
+            edges = np.bincount(last - width + 1, minlength=len(words) + 1) - np.bincount(last + 1, minlength=len(words) + 1)
+            kept = np.cumsum(edges[:-1]) == 0
+            removed.append(len(words) - int(kept.sum()))
+            words = compress(words, kept.tolist())
+        else:
+            removed.append(0)
+        sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+    return pa.Table.from_arrays([texts.column("id").combine_chunks(), pa.array([len(w) for w in split], pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)], schema=_LOCATED)
+
+
+def _unowned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without doc_id: nothing goes."""
+    for batch in batches:
+        held = [t.encode().split() for t in batch.column(1).to_pylist()]
+        sha = [hashlib.sha256(b" ".join(w)).hexdigest() for w in held]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in held], pa.int64()), pa.array([0] * len(held), pa.int64()), pa.array(sha)], names=["doc_id", *_LOCATED.names[1:]])
+
+
+def _met(texts: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """texts and the columns of a written table, by its key."""
+    return texts.join(F.broadcast(other) if stored_bytes(other) <= BROADCAST_BYTES else other, key)
 
 
 def drop_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 for each row of docs(doc_id, text).
+    """doc_id, n_words, n_removed and kept_sha256 for each row of docs(doc_id, text); other columns are ignored.
 
     A word is removed when a window of `width` consecutive words that covers it starts in a document with a smaller
     doc_id as well. Words are runs of other characters than white space, unchanged; windows are judged on the input.
     kept_sha256: hex digest of the kept words joined by one blank. Null text has no words. Rows that repeat a doc_id are
-    one document and don't make each other's words repeated; a row without doc_id keeps all and owns nothing. An empty
-    table gives an empty result. Windows are told apart by 64-bit hashes when they are confirmed.
+    one document and don't make each other's words repeated; a row without doc_id keeps all and owns nothing. Of equal
+    windows in several earlier documents any is the owner: the result is the same. A very long text is a shard of its
+    own. An empty table gives an empty result.
     """
-    t1, t2 = digest(F.coalesce("text", F.lit("")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), F.col("text").cast("string").alias("text"))
-    facts = table(texts.mapInArrow(_facts, "doc_id long, t1 long, t2 long, n_words long, sha string"), "facts")
-    firsts = facts.where("doc_id IS NOT NULL").groupBy("t1", "t2").agg(F.min("doc_id").alias("first"))
-    facts = table(facts.join(firsts, ["t1", "t2"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))), "facts")
-    texts = texts.drop("t2").where("doc_id IS NOT NULL")
-    copies = facts.where("copy").select("doc_id", "t1").distinct()
-    texts = _only(texts, table(copies, "copies"), "left_anti")
-
-    anchors = texts.select("doc_id", "text").mapInArrow(partial(_anchors, width=width), "anchor long, doc_id long")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("anchor")
-    hits = anchors.join(table(shared, "shared"), "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.unhex(F.sha2(text, 256)).alias("t"), text.alias("text"))
+    rows = table(own.where("doc IS NOT NULL").select("doc", "t", F.octet_length("text").alias("bytes")), "rows")
+    first = rows.groupBy("t").agg(F.min("doc").alias("doc"), F.max("bytes").alias("bytes")).withColumn("id", F.monotonically_increasing_id())
+    first = table(first, "first")
+    shards = max(1, -(-int(first.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
+    few = stored_bytes(first) <= BROADCAST_BYTES
+    known = first.select("doc", "t", "id")
+    texts = own.join(F.broadcast(known) if few else known, ["doc", "t"])
+    texts = table((texts.dropDuplicates(["id"]) if _repeated(rows) else texts).select("id", "doc", "text"), "texts")
+
+    hits = shared_keys(texts, partial(_anchors, width=width)).groupBy("id").agg(F.collect_list("key").alias("anchors"))
     hits = table(hits, "hits")
-    holders = table(facts.where("NOT copy").join(hits.select("doc_id"), "doc_id", "left_semi").select("doc_id", "t1").distinct(), "holders")
-    windows = _only(texts, holders).join(hits, "doc_id").select("doc_id", "text", "anchors")
-    windows = table(windows.mapInArrow(partial(_candidates, width=width), "w long, doc_id long"), "windows")
-    owned = windows.groupBy("w").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("w", "owner")
-    confirmed = windows.join(owned, "w").where("owner < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("w", "owner")).alias("phrases"))
-    confirmed = table(confirmed, "confirmed")
-    losers = table(holders.join(confirmed.select("doc_id"), "doc_id", "left_semi"), "losers")
-    located = _only(texts, losers).join(confirmed, "doc_id").select("doc_id", "text", "t1", "phrases")
-    located = located.mapInArrow(partial(_locate, width=width), "doc_id long, t1 long, n_removed long, kept_sha256 string")
-    located = located.dropDuplicates(["doc_id", "t1"])
-    whole = F.col("copy") & (F.col("n_words") >= width)
-    return facts.join(located, ["doc_id", "t1"], "left").select(
-        "doc_id",
+    windows = _met(texts, hits, "id").select("id", "doc", "text", "anchors").mapInArrow(partial(_candidates, width=width), "w1 long, w2 long, anchor long, id long, doc long, owner long")
+    place = F.when(F.col("owner").isNotNull(), F.xxhash64("w1", "id")).otherwise(F.xxhash64("w1"))
+    windows = windows.withColumn("place", place).repartition("place").drop("place").sortWithinPartitions("w1", "w2", "doc", "id")
+    found = table(windows.mapInArrow(_owned, "id long, anchor long, owner long, w1 long"), "found")
+    release(hits)
+    names = table(found.groupBy(F.col("owner").alias("id")).agg(F.collect_set("w1").alias("names")), "names")
+    passages = _met(texts, names, "id").select("id", "doc", "text", "names").mapInArrow(partial(_passages, width=width), "anchor long, owner long, first long, passage binary")
+    passages = table(passages, "passages")
+    shard = F.pmod(F.xxhash64("id"), F.lit(shards))
+    needs = found.select(shard.alias("shard"), "anchor", "owner").distinct()
+    told = needs.join(passages, ["anchor", "owner"]).select("shard", "first", "passage")
+    located = texts.withColumn("shard", shard).groupBy("shard").cogroup(told.groupBy("shard"))
+    located = table(located.applyInArrow(partial(_locate, width=width), "id long, n_words long, n_removed long, kept_sha256 string"), "located")
+    release(found, names, passages, texts)
+
+    judged = table(located.join(first.select("id", "t", F.col("doc").alias("least")), "id").drop("id"), "judged")
+    release(located, first)
+    copy = (F.col("doc") > F.col("least")) & (F.col("n_words") >= width)
+    out = rows.join(judged, "t").select(
+        F.col("doc").alias("doc_id"),
         "n_words",
-        F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
     )
+    null = own.where("doc IS NULL").select(F.col("doc").alias("doc_id"), "text")
+    return out.unionByName(null.mapInArrow(_unowned, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
+
+
+def _repeated(rows: DataFrame) -> bool:
+    """Whether a document and text stand in several rows."""
+    return not rows.groupBy("doc", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
