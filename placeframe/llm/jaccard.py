@@ -8,6 +8,11 @@ part holds at most one difference, and so some subset of n2 - 1 of its pieces no
 One part more than needed is cut. At least two parts then agree for a similar pair, so a set with at most one part
 that has a nearly empty subset leaves that part's signatures out: they would meet those of unrelated sets. A pair stays
 covered: one part that agrees is left out by neither side, as what agrees is equally full on both.
+
+Steps: 1. A row for each text with the size and 128-bit name of its set; equal sets are one. 2. A screen: a set whose
+smallest hashes hardly stand in other sets has no similar one. 3. Signatures of the sets that are left; those that two
+sets share make candidates. 4. Pairs whose sketches allow a link are verified on the words themselves.
+Names and hashes only choose what is compared; a link is decided by words.
 """
 
 from __future__ import annotations
@@ -23,14 +28,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placeframe.llm import tokens
+from placeframe.llm.columns import digest
 from placeframe.llm.graph import components
-from placeframe.llm.scratch import table
+from placeframe.llm.meeting import shared_counts, shared_keys
+from placeframe.llm.scratch import release, stored_bytes, table
 
-#: Ids that may be broadcast to pick out texts (16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: A written table of at most so many bytes may be broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 PIECES, SMALL = 3, 2
 #: Sets of a bucket that meet all others of it in the first round.
-PIVOTS = 4
+PIVOTS = 1
 
 
 class Bands:
@@ -59,25 +66,37 @@ class Bands:
         return self.cuts[band]
 
 
-def shingle_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes) of each text; a text with fewer words has its whole sequence as one."""
+def _sorted_different(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def shingle_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row, size, sorted different shingle hashes in each lane) of each text.
+
+    A text with fewer words has its whole sequence as its one shingle. The set's size counts names of 128 bits.
+    """
+    none = np.empty(0, np.uint64)
     for row, end, data, at in tokens.parts(batch):
         w = tokens.Words(data, at, lower=True)
-        h = w.hashes()
-        grams = tokens.sequences(h, size)
+        names = w.names()
+        grams = tokens.sequences(names, size)
         for i in range(end - row):
             a, b = w.first[i], w.first[i + 1]
             if b - a >= size:
-                yield row + i, np.unique(grams[a : b - size + 1])
+                x, y = (g[a : b - size + 1] for g in grams)
             elif b > a:
-                yield row + i, tokens.sequences(h[a:b], int(b - a)) + np.uint64(b - a)
+                x, y = tokens.sequences((names[0][a:b], names[1][a:b]), int(b - a))
             else:
-                yield row + i, np.empty(0, np.uint64)
+                x, y = none, none
+            p, q = _sorted_different(x), _sorted_different(y)
+            n = len(p) if len(p) == len(q) else len(np.unique(np.stack([x, y]), axis=1).T)
+            yield row + i, n, p, q
 
 
-def fingerprint(s: np.ndarray, seed: int) -> tuple[np.uint64, np.uint64]:
-    x = tokens.mix(s + np.uint64(2 * seed + 1))
-    return x.sum(dtype=np.uint64), tokens.mix(x).sum(dtype=np.uint64)
+def name_of(p: np.ndarray, q: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits for a set: sums over the elements of either lane."""
+    return tokens.mix(p).sum(dtype=np.uint64), tokens.mix(q ^ np.uint64(len(p))).sum(dtype=np.uint64)
 
 
 def signatures(s: np.ndarray, band: int, bands: Bands) -> np.ndarray:
@@ -96,71 +115,74 @@ def signatures(s: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     return sig[~thin].ravel() if thin.sum() <= 1 else sig.ravel()
 
 
-_SET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("v2", pa.int64())])
-_SIG = pa.schema([("sig", pa.int64()), ("v", pa.int64())])
-_HELD = pa.schema([("v", pa.int64()), ("held", pa.binary()), ("n", pa.int64()), *((f"s{i}", pa.int64()) for i in range(8))])
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Four bits for each of 128 pieces of the domain: pieces that differ are no more than the elements that do."""
+    at = np.searchsorted(s, _PIECE_EDGES)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tokens.mix(s + np.uint64(7)), dtype=np.uint64)))
+    bits = (tokens.mix(sums[np.append(at, len(s))] - sums[np.concatenate(([0], at))]) & np.uint64(15)).reshape(8, 16)
+    return (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
+
+
+_PIECE_EDGES = np.array([i << 57 for i in range(1, 128)], np.uint64)
+SKETCH = [f"s{i}" for i in range(8)]
+
+_SETS = "doc_id long, t1 long, t2 long, n long, v1 long, v2 long"
+_SKETCHES = "id long, text string, n long, " + ", ".join(f"{s} long" for s in SKETCH)
+
 
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
 
-def _sets(batches: Iterable[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
+
+def _sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [(len(s), *fingerprint(s, seed)) for _, s in shingle_sets(batch, size)]
-        n, v, v2 = (np.array(x) for x in zip(*made, strict=True)) if made else (np.empty(0, np.int64), *[np.empty(0, np.uint64)] * 2)
-        yield from tokens.rows_of([{"doc_id": batch.column(0), "n": n.astype(np.int64), "v": v, "v2": v2}], _SET)
+        made = [(n, *name_of(p, q)) for _, n, p, q in shingle_sets(batch, size)]
+        n, v1, v2 = (np.array(x) for x in zip(*made, strict=True)) if made else (np.empty(0, np.int64), *[np.empty(0, np.uint64)] * 2)
+        yield from tokens.rows_of([{"doc_id": batch.column(0), "t1": batch.column(1), "t2": batch.column(2), "n": n.astype(np.int64), "v1": v1, "v2": v2}], _schema(_SETS))
+
+
+def _own(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(id, elements) of the rows whose text has the set of that id; columns id, v1, v2 and text."""
+    ids, v1, v2 = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("id", "v1", "v2"))
+    for row, n, p, q in shingle_sets(batch, size):
+        if tuple(np.array(name_of(p, q)).view(np.int64)) == (v1[row], v2[row]):
+            yield ids[row], p
 
 
-def _prefix_rows(batches: Iterable[pa.RecordBatch], size: int, seed: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """The smallest |s| - o + l hashes of each set, o = ceil(similarity |s|), l = ceil(|s| / 10).
+def _smallest(batch: pa.RecordBatch, size: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The smallest |s| - o + l hashes of each set s, o = ceil(similarity |s|), l = ceil(|s| / 10).
 
     Similar sets have o elements in common at least; the l smallest of these are among the first |s| - o + l of either.
     """
-    for batch in batches:
-        keys, ids = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-        for _, s in shingle_sets(batch, size):
-            if len(s):
-                keys.append(s[: len(s) + (-percent * len(s)) // 100 - (-len(s) // 10)])
-                ids.append(np.full(len(keys[-1]), fingerprint(s, seed)[0]))
-        yield from tokens.rows_of([{"sig": np.concatenate(keys), "v": np.concatenate(ids)}], _SIG)
+    for i, p in _own(batch, size):
+        yield i, p[: len(p) + (-percent * len(p)) // 100 - (-len(p) // 10)]
 
 
-def _signature_rows(batches: Iterable[pa.RecordBatch], size: int, seed: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _signed(batch: pa.RecordBatch, size: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each set's signatures."""
     bands = Bands(percent)
-    for batch in batches:
-        sigs, ids, held = [], [], 0
-        for _, s in shingle_sets(batch, size):
-            if not len(s):
-                continue
-            own = bands.band(len(s))
-            made = np.concatenate([signatures(s, own, bands), signatures(s, own + 1, bands)])
-            sigs.append(made)
-            ids.append(np.full(len(made), fingerprint(s, seed)[0]))
-            held += len(made)
-            if held > 200_000:
-                yield from tokens.rows_of([{"sig": np.concatenate(sigs), "v": np.concatenate(ids)}], _SIG)
-                sigs, ids, held = [], [], 0
-        if held:
-            yield from tokens.rows_of([{"sig": np.concatenate(sigs), "v": np.concatenate(ids)}], _SIG)
-
-
-def _held(batches: Iterable[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [s for _, s in shingle_sets(batch, size)]
-        if sets:
-            drawn = np.stack([sketch(s) for s in sets])
-            row = {"v": np.array([fingerprint(s, seed)[0] for s in sets]), "held": [s.tobytes() for s in sets], "n": [len(s) for s in sets]}
-            yield from tokens.rows_of([row | {f"s{i}": drawn[:, i] for i in range(8)}], _HELD)
+    for i, p in _own(batch, size):
+        if len(p):
+            own = bands.band(len(p))
+            yield i, _sorted_different(np.concatenate([signatures(p, own, bands), signatures(p, own + 1, bands)]))
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Four bits for each of 128 pieces of the domain: pieces that differ are no more than the elements that do."""
-    at = np.searchsorted(s, _PIECE_EDGES)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tokens.mix(s + np.uint64(7)), dtype=np.uint64)))
-    bits = (tokens.mix(sums[np.append(at, len(s))] - sums[np.concatenate(([0], at))]) & np.uint64(15)).reshape(8, 16)
-    return (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
-
-
-_PIECE_EDGES = np.array([i << 57 for i in range(1, 128)], np.uint64)
-_HELD_SQL = "v long, held binary, n long, " + ", ".join(f"s{i} long" for i in range(8))
-SKETCH = [f"s{i}" for i in range(8)]
+def _sketched(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    schema = _schema(_SKETCHES)
+    for batch in batches:
+        ids, v1, v2 = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("id", "v1", "v2"))
+        took, n, drawn = [], [], []
+        for row, k, p, q in shingle_sets(batch, size):
+            if tuple(np.array(name_of(p, q)).view(np.int64)) == (v1[row], v2[row]):
+                took.append(row)
+                n.append(k)
+                drawn.append(sketch(p))
+        if took:
+            at = np.array(took)
+            lanes = np.stack(drawn)
+            text = batch.column(batch.schema.get_field_index("text")).take(pa.array(at))
+            yield from tokens.rows_of([{"id": ids[at], "text": text, "n": np.array(n, np.int64)} | {s: lanes[:, i] for i, s in enumerate(SKETCH)}], schema)
 
 
 def _differing(a: str, b: str) -> Column:
@@ -173,83 +195,129 @@ def _differing(a: str, b: str) -> Column:
     return total
 
 
-def _similar(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * common >= percent * (len(x) + len(y) - common))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    x = held.select(F.col("v").alias("a"), F.col("held").alias("x"))
-    y = held.select(F.col("v").alias("b"), F.col("held").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(partial(_similar, percent=percent), "a long, b long")
-
-
-def _linked_sets(live: DataFrame, held: DataFrame, percent: int) -> DataFrame | None:
-    """(v, c) for the sets that have a link: c is one id for all that links connect; none without a link.
+def similar(texts: pa.Array, size: int, percent: int) -> np.ndarray:
+    """Whether texts 2i and 2i + 1 are similar, for each i: by their words, whatever the hashes say.
 
-    A bucket is the sets that share a signature. In a round its pivots, those that share most signatures, are joined with
-    its other members; the join's condition lets only pairs through that are not connected by now and whose sketches
-    allow a link, and these are verified. Then buckets that are one component by now are let go, and in the others the
-    pivots, which have met all. So every pair that shares a signature is verified, excluded by its sketches, or connected
-    otherwise. Pivots grow eightfold, so that the rounds are few.
+    Words and, word by word, their sequences get numbers that are equal if and only if they are equal.
     """
-    shared = live.groupBy("v").agg(F.count(F.lit(1)).alias("deg"))
-    rows = live.withColumnRenamed("sig", "key").join(shared, "v").join(held.drop("held"), "v").withColumn("c", F.col("v"))
+    out = [np.empty(0, bool)]
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    for row, end, data, at in tokens.parts(batch, most=tokens.PART_BYTES, step=2):
+        w = tokens.Words(data, at, lower=True)
+        rows = end - row
+        words = w.array().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # a text with fewer words is one shingle of that length: its missing words are of a kind of their own
+        n = np.diff(w.first)
+        short = np.where((n > 0) & (n < size), size - n, 0)
+        place = np.repeat(np.cumsum(short) - short, n) + np.arange(len(words))
+        code = np.full(len(words) + short.sum(), -1, np.int64)
+        code[place] = words
+        own = np.repeat(np.arange(rows), n + short)
+        codes = code + 1
+        gram = codes
+        for k in range(1, size):
+            pairs = gram[: len(codes) - k] * (int(codes.max(initial=0)) + 1) + codes[k:]
+            gram = np.unique(pairs, return_inverse=True)[1] if len(pairs) else pairs
+        if len(codes) < size:
+            gram = np.empty(0, np.int64)
+        inside = own[: len(gram)] == own[size - 1 :][: len(gram)]
+        wide = int(gram.max(initial=0)) + 1
+        held = _sorted_different(own[: len(gram)][inside] * wide + gram[inside])
+        count = np.bincount(held // wide, minlength=rows)
+        shared = np.sort((held // wide // 2) * wide + held % wide)
+        both = shared[1:][shared[1:] == shared[:-1]] // wide
+        common = np.bincount(both, minlength=rows // 2)
+        x, y = count[::2], count[1::2]
+        out.append((common > 0) & (100 * common >= percent * (x + y - common)))
+    return np.concatenate(out)
+
+
+def _verified(batches: Iterable[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            n = batch.num_rows
+            both = pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(np.arange(2 * n).reshape(2, n).T.ravel()))
+            yield batch.select(["a", "b"]).filter(pa.array(similar(both, size, percent)))
+
+
+def _links(pairs: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of a written table that are similar."""
+    x = held.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    y = held.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(partial(_verified, size=size, percent=percent), "a long, b long")
+
+
+def _near(percent: int) -> Column:
+    """Whether the sketches of p and q allow a link."""
+    return _differing("p", "q") * (100 + percent) <= (F.col("p.n") + F.col("q.n")) * (100 - percent)
+
+
+def _linked_sets(live: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """(id, c) for the sets that have a link: c is one id for all that links connect; none without a link.
+
+    A bucket is the sets that share a signature. In a round its pivots, those that share most signatures, meet its other
+    members, unless they are connected by now or their sketches, which the rows hold, rule a link out: the join makes no
+    row for these. The pairs left are verified. Then buckets that are one component by now are let go, and in the others the pivots, which have
+    met all. So every pair that shares a signature is verified, excluded by its sketches, or connected otherwise.
+    Pivots grow eightfold, so that the rounds are few.
+    """
+    shared = live.groupBy("id").agg(F.count(F.lit(1)).alias("deg"))
+    kept = ["sig", "id", "deg", "n", *SKETCH]
+    rows = table(live.join(shared, "id").join(held.drop("text"), "id").select(*kept, F.col("id").alias("c")), "buckets")
     labels, pivots = None, PIVOTS
-    while True:
-        rows = table(rows, "buckets")
-        if rows.isEmpty():
-            return labels
-        order = W.partitionBy("key").orderBy(F.desc("deg"), "v")
-        chosen = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots).drop("r")
-        near = _differing("p", "q") * (100 + percent) <= (F.col("p.n") + F.col("q.n")) * (100 - percent)
-        both = chosen.alias("p").join(rows.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & near)
-        pairs = both.select(F.least("p.v", "q.v").alias("a"), F.greatest("p.v", "q.v").alias("b")).distinct()
-        new = table(_links(pairs, held, percent), "links")
+    while not rows.isEmpty():
+        order = W.partitionBy("sig").orderBy(F.desc("deg"), "id")
+        chosen = table(rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots).drop("r"), "pivots")
+        both = chosen.alias("p").join(rows.alias("q"), (F.col("p.sig") == F.col("q.sig")) & (F.col("p.c") != F.col("q.c")) & _near(percent))
+        pairs = table(both.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct(), "pairs")
+        new = table(_links(pairs, held, size, percent), "links")
+        release(pairs)
         if not new.isEmpty():
-            known = [] if labels is None else [labels.select(F.col("v").alias("a"), F.col("c").alias("b"))]
-            labels = table(components(reduce(DataFrame.unionByName, known, new)), "labels")
-        rest = rows.drop("c").join(chosen.select("key", "v"), ["key", "v"], "left_anti")
-        rest = rest.withColumn("c", F.col("v")) if labels is None else rest.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
-        mixed = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        rows = rest.join(mixed, "key")
-        pivots *= 8
-
-
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows with one of the ids, a written table: broadcast if they are few enough."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-
-
-def _candidates(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The set of each row, the first document of each set, the signatures that sets share, and those sets' elements."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    given = docs.where("doc_id IS NOT NULL")
-    for seed in range(8):
-        sets = table(docs.mapInArrow(partial(_sets, size=size, seed=seed), "doc_id long, n long, v long, v2 long"), "sets")
-        first = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.min("v2").alias("lo"), F.max("v2").alias("hi"), F.max("n").alias("n"))
-        first = table(first, "first")
-        if first.where("lo <> hi").isEmpty():
-            break
-    first = first.select("v", "doc_id", "n")
+            known = [] if labels is None else [labels.select(F.col("id").alias("a"), F.col("c").alias("b"))]
+            found = components(reduce(DataFrame.unionByName, known, new)).select(F.col("v").alias("id"), "c")
+            old, labels = labels, table(found, "labels")
+            release(old)
+        rest = rows.drop("c").join(chosen.select("sig", "id"), ["sig", "id"], "left_anti")
+        rest = rest.withColumn("c", F.col("id")) if labels is None else rest.join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
+        rest = table(rest.select(*kept, "c"), "rest")
+        mixed = rest.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
+        left = table(rest.join(mixed, "sig"), "buckets")
+        release(rows, chosen, new, rest)
+        rows, pivots = left, pivots * 8
+    release(rows)
+    return labels
+
+
+def _texts(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, v1, v2, text: the rows of docs with the doc_id of one of the sets, a written table; the set is told by its name."""
+    keyed = sets.select("doc_id", "id", "v1", "v2")
+    few = stored_bytes(sets) <= BROADCAST_BYTES
+    return docs.join(F.broadcast(keyed) if few else keyed, "doc_id").select("id", "v1", "v2", "text")
+
+
+def _different(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: a row for each of docs, and the different sets, each with an id and its first document."""
+    t1, t2 = digest(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), F.col("text").cast("string").alias("text"))
+    rows = table(docs.mapInArrow(partial(_sets, size=size), _SETS), "sets")
+    first = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("v1", "v2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    return rows, table(first.withColumn("id", F.monotonically_increasing_id()), "different")
+
+
+def _candidates(docs: DataFrame, first: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: signatures (sig, id) that sets share; texts, sizes and sketches of those sets."""
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     # a set links only if a tenth of the smaller partner's size, of its own smallest hashes, stand elsewhere too
-    prefix = given.mapInArrow(partial(_prefix_rows, size=size, seed=seed, percent=percent), "sig long, v long")
-    common = prefix.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
-    often = prefix.join(common, "sig").groupBy("v").agg(F.count(F.lit(1)).alias("m"))
-    partnered = often.join(first, "v").where(F.col("m") * 1000 >= F.col("n") * percent).select("doc_id")
-    given = _only(given, table(partnered, "partnered"))
-    sigs = given.mapInArrow(partial(_signature_rows, size=size, seed=seed, percent=percent), "sig long, v long")
-    shared = sigs.groupBy("sig").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("sig")
-    live = table(sigs.join(shared, "sig").groupBy("sig", "v").agg(F.lit(1).alias("one")).drop("one"), "live")
-    ids = live.select("v").distinct().join(first, "v").select("doc_id")
-    texts = _only(given, table(ids, "ids"))
-    held = texts.mapInArrow(partial(_held, size=size, seed=seed), _HELD_SQL).dropDuplicates(["v"])
-    return sets, first, live, table(held, "held")
+    told = shared_counts(_texts(given, first), partial(_smallest, size=size, percent=percent))
+    often = told.groupBy("id").agg(F.sum("m").alias("m")).join(first, "id").where(F.col("m") * 1000 >= F.col("n") * percent)
+    partnered = table(often.select("doc_id", "id", "v1", "v2"), "partnered")
+    texts = table(_texts(given, partnered), "texts")
+    live = table(shared_keys(texts, partial(_signed, size=size, percent=percent)).withColumnRenamed("key", "sig"), "live")
+    ids = live.select("id").distinct()
+    held = table(texts.join(ids, "id", "left_semi").mapInArrow(partial(_sketched, size=size), _SKETCHES).dropDuplicates(["id"]), "held")
+    release(partnered, texts)
+    return live, held
 
 
 def near_links(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -258,42 +326,71 @@ def near_links(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     All pairs that share a signature and whose sketches allow a link are verified, so the rows grow with the square of a
     group of near copies, as the links do.
     """
-    _, first, live, held = _candidates(docs, size, percent)
-    rows = live.join(held.drop("held"), "v")
-    near = _differing("p", "q") * (100 + percent) <= (F.col("p.n") + F.col("q.n")) * (100 - percent)
-    both = rows.alias("p").join(rows.alias("q"), (F.col("p.sig") == F.col("q.sig")) & (F.col("p.v") < F.col("q.v")) & near)
-    links = _links(both.select(F.col("p.v").alias("a"), F.col("q.v").alias("b")).distinct(), held, percent)
-    names = [first.select(F.col("v").alias(e), F.col("doc_id").alias(f"d{e}")) for e in "ab"]
+    rows, first = _different(docs, size)
+    live, held = _candidates(docs, first, size, percent)
+    sides = live.join(held.drop("text"), "id")
+    both = sides.alias("p").join(sides.alias("q"), (F.col("p.sig") == F.col("q.sig")) & (F.col("p.id") < F.col("q.id")) & _near(percent))
+    pairs = both.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+    links = table(_links(pairs, held, size, percent), "links")
+    release(rows, live, held)
+    names = [first.select(F.col("id").alias(e), F.col("doc_id").alias(f"d{e}")) for e in "ab"]
     named = links.join(names[0], "a").join(names[1], "b")
-    return named.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"))
+    return named.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b")).where("a < b").distinct()
+
+
+def _labelled(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' table of _different(), and (v1, v2, c, component_id) of the sets: their component and its least doc_id."""
+    rows, first = _different(docs, size)
+    live, held = _candidates(docs, first, size, percent)
+    labels = _linked_sets(live, held, size, percent)
+    release(live, held)
+    if labels is None:
+        named = first.select("v1", "v2", F.col("id").alias("c"), F.col("doc_id").alias("component_id"))
+    else:
+        labelled = first.join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
+        least = labelled.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+        named = labelled.select("v1", "v2", "c").join(least, "c")
+    named = table(named.select("v1", "v2", "c", "component_id"), "named")
+    release(first, labels)
+    return rows, named
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of docs(doc_id, text).
+    """doc_id, n_shingles and component_id for each row of docs(doc_id, text); other columns are ignored.
 
     Two texts link when the Jaccard similarity of their sets of `size`-word shingles (A-Z in lower case) is at least
     percent / 100; component_id is the smallest doc_id reachable by links. Equal sets are one vertex, so copies are
     never expanded into pairs. A text without words, or null, has no shingles and links with nothing. A row without
-    doc_id has component_id null. Repeated rows stay repeated. Sets stand for texts by hashes of 64 bits; if two
-    different sets should share one, all is hashed again with another seed. It finds what links connect and not all links, as
-    sets that are connected by now are not compared; all links are those of near_links().
+    doc_id has component_id null and links with nothing. Repeated rows stay repeated; rows of one doc_id with different
+    texts are texts of their own. Ties have no part in the result. A very long text is held once in a worker's memory,
+    some 60 bytes a byte. An empty table gives an empty result. Links are decided by the words themselves. It finds what links connect
+    and not all links, as sets that are connected by now are not compared; all links are those of near_links().
     """
-    sets, first, live, held = _candidates(docs, size, percent)
-    labels = _linked_sets(live, held, percent)
-    if labels is None:
-        named = first.select("v", F.col("doc_id").alias("component_id"))
-    else:
-        labelled = first.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
-        least = labelled.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-        named = labelled.join(least, "c").select("v", "component_id")
-    named = named.withColumnRenamed("v", "w")
-    out = sets.join(named, (F.col("v") == F.col("w")) & (F.col("n") > 0), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    rows, named = _labelled(docs, size, percent)
+    out = rows.join(named.select("v1", "v2", "component_id"), ["v1", "v2"], "left")
+    linked = F.when(F.col("n") > 0, F.col("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(linked, "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """The rows of docs whose doc_id names their component, and those without doc_id; repeated rows count once."""
-    found = near_duplicates(docs, size, percent).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(found, "doc_id", "left_semi")
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One row of docs for each component of near_duplicates(): the one with the smallest doc_id.
+
+    If several of its texts have that doc_id, the one with the smallest hash stays; rows that repeat doc_id and text
+    count once. Texts without words stay, once for each doc_id. Rows without doc_id all stay. docs may have columns of
+    any names; null texts, very long texts and an empty table are as in near_duplicates().
+    """
+    rows, named = _labelled(docs, size, percent)
+    given = rows.where("doc_id IS NOT NULL").groupBy("doc_id", "t1", "t2", "v1", "v2").agg(F.count(F.lit(1)).alias("many"), F.max("n").alias("n"))
+    row = F.struct("doc_id", "t1", "t2", "many")
+    led = given.where("n > 0").join(named, ["v1", "v2"]).groupBy("c").agg(F.min(row).alias("row")).select("row.*")
+    bare = given.where("n = 0").groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*")
+    kept = table(led.unionByName(bare), "kept")
+    release(rows, named)
+    # the row goes along whole, so that no column of docs can clash with a name made here
+    t1, t2 = digest(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"))
+    few = stored_bytes(kept) <= BROADCAST_BYTES
+    joined = whole.join(F.broadcast(kept) if few else kept, ["doc_id", "t1", "t2"])
+    out = joined if kept.where("many > 1").isEmpty() else joined.where("many = 1").unionByName(joined.where("many > 1").dropDuplicates(["doc_id", "t1", "t2"]))
+    return out.select("row.*").unionByName(docs.where("doc_id IS NULL"))

@@ -1,5 +1,5 @@
 """Written intermediate tables, as in the rest of the library."""
 
-from placeframe.storage import shared_folder, table
+from placeframe.storage import release, shared_folder, stored_bytes, table
 
-__all__ = ["shared_folder", "table"]
+__all__ = ["release", "shared_folder", "stored_bytes", "table"]
