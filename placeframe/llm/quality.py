@@ -1,4 +1,4 @@
-"""Quality rules: lines that too many documents of one host share, and documents that lose nearly all of theirs.
+"""Quality rules: lines that too many documents of one host share, and documents that little is left of without them.
 
 Native: every step is a DataFrame function.
 """
@@ -11,20 +11,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeframe.llm.columns import SPACE, ascii_lower, digest, strip, words
-from placeframe.llm.scratch import table
+from placeframe.llm.scratch import release, table
 
 
 @dataclass(frozen=True)
 class Rules:
-    """A line found in more than `line_limit` documents of a host is boilerplate there. A document is depleted when
-    fewer than `least_share` of its words stand in other lines."""
+    """A line is boilerplate of a host if at least `least_documents` of its documents have it and more than `line_share`
+    of them. A document is depleted when, without such lines, it keeps fewer than `least_words` words or less than
+    `least_share` of its words."""
 
-    line_limit: int = 200
+    least_documents: int = 5
+    line_share: float = 0.05
     least_share: float = 0.2
     least_words: int = 50
     repeat_share: float = 0.5
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def text_measures(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) to the rows of docs.
 
@@ -73,63 +78,87 @@ def _where_repeated(e: Column, j: Column) -> Column:
     return F.when(same, e["at"])
 
 
-def common_line_words(docs: DataFrame, rules: Rules) -> DataFrame:
-    """host, t1, t2, n_common: words in lines above the limit, for each text (t1, t2: its hash) of a host that has any.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """row: all columns of docs as one struct, so that none can clash with a name made here; id, host, t1, t2, text."""
+    t1, t2 = digest(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    host = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), host.alias("host"), t1.alias("t1"), t2.alias("t2"), F.col("text").cast("string").alias("text"))
+
 
-    A line counts once for each different text of the host, so that exact copies of one page do not make its lines
-    common. The count is pre-aggregated before the shuffle; the joins are shuffle joins that adaptive execution can split.
+def common_lines(keyed: DataFrame, rules: Rules) -> DataFrame:
+    """id, host, t1, t2, places and n_common: where the lines above the host's limit are, and how many words they hold.
+
+    keyed: id, host, t1, t2, text. A line counts once for each document (id) of the host; rows without id are no
+    document of their own. Lines are hashed once, into a written table; counts are pre-aggregated before the shuffle by line.
     """
-    t1, t2 = digest(F.col("text"))
-    lines = (
-        docs.where(F.col("text").isNotNull())
-        .select(F.coalesce("source", F.lit("")).alias("host"), t1.alias("t1"), t2.alias("t2"), F.explode(F.split("text", "\n")).alias("line"))
-        .select("host", "t1", "t2", "line", ascii_lower(strip(F.col("line"))).alias("key"))
-        .where(F.col("key") != "")
-    )
+    lines = keyed.where(F.col("text").isNotNull()).select("id", "host", "t1", "t2", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = lines.withColumn("key", ascii_lower(strip(F.col("line")))).where(F.col("key") != "")
     l1, l2 = digest(F.col("key"))
-    lines = lines.select("host", "t1", "t2", l1.alias("l1"), l2.alias("l2"), F.size(words(F.col("line"))).alias("n"))
-    seen = lines.groupBy("host", "l1", "l2", "t1", "t2").agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n"))
-    common = seen.groupBy("host", "l1", "l2").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > rules.line_limit)
+    lines = table(lines.select("id", "host", "t1", "t2", "at", l1.alias("l1"), l2.alias("l2"), F.size(words(F.col("line"))).alias("n")), "lines")
+    seen = lines.where("id IS NOT NULL").select("host", "l1", "l2", "id").distinct()
+    often = seen.groupBy("host", "l1", "l2").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= rules.least_documents)
+    hosts = table(keyed.where("id IS NOT NULL").select("host", "id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of")), "hosts")
     # written, so that its size decides how it is joined: broadcast, or by a shuffle whose hot keys can be split
-    common = table(common.select("host", "l1", "l2"), "lines")
-    return (
-        seen.join(common, ["host", "l1", "l2"])
-        .groupBy("host", "t1", "t2")
-        .agg(F.sum(F.col("n") * F.col("times")).alias("n_common"))
-    )
+    common = often.join(hosts, "host").where(F.col("documents") > rules.line_share * F.col("of"))
+    common = table(common.select("host", "l1", "l2"), "common")
+    places = lines.join(common, ["host", "l1", "l2"]).select("id", "host", "t1", "t2", "at", "n").distinct()
+    places = places.groupBy("id", "host", "t1", "t2").agg(F.collect_list("at").alias("places"), F.sum("n").alias("n_common"))
+    places = table(places, "places")
+    release(lines, common, hosts)
+    return places
+
+
+def _same(a: str, b: str) -> Column:
+    same = F.lit(True)
+    for c in ("id", "host", "t1", "t2"):
+        same &= F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return same
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """docs with the measures, n_common (words in common lines), base_failed and kept.
+    """docs with the measures, n_common_lines, n_common (words in common lines), base_failed and kept.
 
-    docs needs text and source; other columns pass through, also when their names are those of the result's own
-    (the result's win). Null text is empty and so fails; null source is the host ''. Repeated rows are judged alike,
-    each once. An empty table gives an empty result.
+    docs needs doc_id, text and source; other columns pass through, but for those that have a name of the result's own:
+    the result's win. Null text is empty and so fails; null source is the host ''. Repeated rows are judged alike, each
+    once; rows that repeat a doc_id are one document of the host. Ties: a line on the limit is no boilerplate. A very
+    long text is one array of words in memory. An empty table gives an empty result.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_common", "base_failed", "kept", "host", "t1", "t2"]
-    docs = docs.drop(*made)
-    t1, t2 = digest(F.col("text"))
-    common = common_line_words(docs.select("text", "source"), rules)
-    measured = text_measures(docs).withColumns({"host": F.coalesce("source", F.lit("")), "t1": t1, "t2": t2})
+    keyed = _keyed(docs)
+    places = common_lines(keyed.drop("row"), rules)
+    measured = text_measures(keyed)
     failed = (F.col("n_words") < rules.least_words) | (F.col("n_repeat_words") > rules.repeat_share * F.col("n_words"))
-    left = F.col("n_words") - F.col("n_common")
-    return (
-        measured.join(common, ["host", "t1", "t2"], "left")
-        .withColumn("n_common", F.coalesce("n_common", F.lit(0)).cast("long"))
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (left >= rules.least_share * F.col("n_words")))
-        .drop("host", "t1", "t2")
-    )
+    n_common = F.coalesce("p.n_common", F.lit(0)).cast("long")
+    left = F.col("n_words") - n_common
+    depleted = (left < rules.least_words) | (left < rules.least_share * F.col("n_words"))
+    made = [
+        *MEASURES,
+        F.coalesce(F.size("p.places"), F.lit(0)).cast("long").alias("n_common_lines"),
+        n_common.alias("n_common"),
+        failed.alias("base_failed"),
+        (~failed & ~depleted).alias("kept"),
+    ]
+    own = [c for c in docs.columns if c not in (*MEASURES, "n_common_lines", "n_common", "base_failed", "kept")]
+    joined = measured.alias("m").join(places.alias("p"), _same("m", "p"), "left")
+    return joined.select(*(F.col("m.row").getField(c).alias(c) for c in own), *made)
+
+
+def without_common_lines(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of docs, their text without the lines above the limits of their host; null text stays null."""
+    keyed = _keyed(docs)
+    joined = keyed.alias("m").join(common_lines(keyed.drop("row"), rules).alias("p"), _same("m", "p"), "left")
+    kept = F.filter(F.split("m.text", "\n"), lambda line, at: ~F.array_contains("p.places", at))
+    text = F.when(F.col("p.places").isNull(), F.col("m.text")).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*(text.alias(c) if c == "text" else F.col("m.row").getField(c).alias(c) for c in docs.columns))
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of docs that judge() keeps, with their own columns.
+    """The rows of docs that judge() keeps, with their own columns, of whatever names.
 
-    A verdict depends on host and text alone. The verdicts are written without the texts and then picked out from docs:
-    a filter right on the measures would be pushed into them and compute each measure again wherever it is named.
+    The verdicts are written without the texts and then picked out from docs: a filter right on the measures would be
+    pushed into them and compute each measure again wherever it is named.
     """
-    t1, t2 = digest(F.col("text"))
-    keys = {"_host": F.coalesce("source", F.lit("")), "_t1": t1, "_t2": t2}
-    judged = judge(docs.select("text", "source").withColumns(keys), rules).select(*keys, "kept")
-    kept = table(judged, "verdicts").where("kept").select(*keys).distinct()
-    return docs.withColumns(keys).join(kept, list(keys), "left_semi").select(*docs.columns)
+    keyed = _keyed(docs)
+    narrow = keyed.select(F.col("id").alias("doc_id"), F.col("host").alias("source"), "text", "t1", "t2")
+    verdicts = table(judge(narrow, rules).select(F.col("doc_id").alias("id"), F.col("source").alias("host"), "t1", "t2", "kept"), "verdicts")
+    kept = verdicts.where("kept").drop("kept").distinct()
+    return keyed.alias("m").join(kept.alias("p"), _same("m", "p"), "left_semi").select("row.*")

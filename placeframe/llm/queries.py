@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeframe.llm import chat, jaccard, langid, linededup, lm, media, mixing, packing, phrases, quality
@@ -15,7 +15,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_read(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_common_lines", "n_common", "base_failed", "kept")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(_read(spark, sf_dir, "documents"))
 
 
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A timed row for each shot of each document's stored file."""
+    return media.clips(media.store(_read(spark, sf_dir, "documents")))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
 
@@ -48,10 +53,18 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "wor
 
 
 def op5_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each even conversation is the chosen one, the next odd one the rejected one of a pair."""
+    """Each conversation is a chosen one. Its rejected counterpart goes the same way up to a turn that depends on the pair,
+    and from there on as the next conversation does."""
     turns = _read(spark, sf_dir, "conversations")
     conv = F.col("conv_id").cast("long")
-    sides = turns.withColumns({"pair_id": F.floor(conv / 2).cast("long"), "side": F.when(conv % 2 == 0, "chosen").otherwise("rejected")})
+
+    def side(pair: Column, name: str) -> Column:
+        return F.struct(pair.alias("pair_id"), F.lit(name).alias("side"))
+
+    before = F.col("turn") < conv % 6
+    after = ~(F.col("turn") < (conv - 1) % 6) & (conv > 0)
+    sides = F.array(side(conv, "chosen"), F.when(before, side(conv, "rejected")), F.when(after, side(conv - 1, "rejected")))
+    sides = turns.select(F.explode(F.array_compact(sides)).alias("s"), "turn", "role", "text").select("s.*", "turn", "role", "text")
     pairs = chat.preferences(sides)
     digests = [
         x
@@ -69,7 +82,7 @@ def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "copy", "block", "place")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_media_columns, op4_best_fit_packing, op5_preference_formatting, op9_temperature_mixing, op6_ngram_jaccard_join, op7_quality_rules, op8_line_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_media_columns, op4_best_fit_packing, op5_preference_formatting, op9_temperature_mixing, op6_ngram_jaccard_join, op7_quality_rules, op8_line_dedup, op10_language_id, media_clips)}
 
 _WS = "[\\x20\\x09-\\x0D]"
 
@@ -87,8 +100,11 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, s
 FROM w LEFT JOIN kept USING (doc_id)
 """,
     "op5_preference_formatting": """
-WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
-                  row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations),
+WITH s AS (SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM conversations
+           UNION ALL SELECT conv_id, 1, turn, role, text FROM conversations WHERE turn < conv_id % 6
+           UNION ALL SELECT conv_id - 1, 1, turn, role, text FROM conversations WHERE NOT turn < (conv_id - 1) % 6 AND conv_id > 0),
+t AS (SELECT pair_id, side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS i FROM s),
 c AS (SELECT * FROM t WHERE side = 0), r AS (SELECT * FROM t WHERE side = 1),
 both_sides AS (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.i, r.i) AS i,
                  coalesce(c.role = r.role AND c.text = r.text, false) AS same
@@ -134,17 +150,19 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines
 keyed AS (SELECT doc_id, host, text, translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)),
                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k,
                  len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n FROM lines),
-common AS (SELECT host, k FROM keyed WHERE k <> '' GROUP BY host, k HAVING count(DISTINCT text) > 200),
-gone AS (SELECT doc_id, sum(n) AS n FROM keyed JOIN common USING (host, k) GROUP BY doc_id),
+hosts AS (SELECT host, count(DISTINCT doc_id) AS of FROM d GROUP BY host),
+common AS (SELECT host, k FROM keyed JOIN hosts USING (host) WHERE k <> '' GROUP BY host, k, of
+           HAVING count(DISTINCT doc_id) >= 5 AND 20 * count(DISTINCT doc_id) > of),
+gone AS (SELECT doc_id, count(*) AS lines, sum(n) AS n FROM keyed JOIN common USING (host, k) GROUP BY doc_id),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words,
              length(regexp_replace(text, '{_WS}', '', 'g'))::BIGINT AS word_chars,
              (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-             coalesce(gone.n, 0) AS gone
+             coalesce(gone.lines, 0)::BIGINT AS n_common_lines, coalesce(gone.n, 0)::BIGINT AS n_common
       FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND 10 * (n_words - gone) >= 2 * n_words AS kept FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_common_lines, n_common, base_failed,
+       NOT base_failed AND n_words - n_common >= 50 AND 10 * (n_words - n_common) >= 2 * n_words AS kept FROM f
 """,
     "op8_line_dedup": """
 WITH lines AS (SELECT doc_id, unnest(s) AS line, unnest(range(len(s))) AS pos
