@@ -2,67 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeframe.llm.columns import ascii_lower, digest, strip
-from placeframe.llm.scratch import table
+from placeframe.llm.scratch import release, table
 
 LEAST_CHARS, LEAST_DOCUMENTS = 1, 10
 
 
-def drop_common_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """docs with `kept_text`, `n_lines` and `n_dropped` (long) added.
-
-    A line's key is the line stripped of white space at both ends, A-Z in lower case. Keys of at least `least_chars`
-    code points found in at least `least_documents` documents lose all their lines everywhere; a document counts once
-    for each key, and each row is a document, also when its doc_id or text repeats. Null or empty text is one empty
-    line. Only hashes of lines and their places are shuffled for the count; each text is shuffled once, to meet its
-    own dropped places. What is dropped depends on the text alone, so equal texts meet one list of places.
-    """
-    docs = docs.drop("kept_text", "n_lines", "n_dropped", "_t1", "_t2", "_lines", "_drop")
-    t1, t2 = digest(F.col("text"))
+def _dropped(docs: DataFrame, least_documents: int, least_chars: int) -> DataFrame:
+    """row (all columns of docs as one struct, so that none can clash with a name made here), lines, n_lines, n_dropped, kept."""
+    t1, t2 = digest(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), t1.alias("t1"), t2.alias("t2"), text.alias("text"))
     key = ascii_lower(strip(F.col("line")))
-    k1, k2 = digest(key)
-    lines = (
-        docs.where(F.col("text").isNotNull())
-        .select(t1.alias("_t1"), t2.alias("_t2"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-        .where(F.length(key) >= least_chars)
-        .select("_t1", "_t2", "at", k1.alias("k1"), k2.alias("k2"))
-    )
-    # once for each document: a row's first line with the key
-    in_text = (
-        docs.where(F.col("text").isNotNull())
-        .select(F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.struct(*_key_hashes(x, least_chars))))).alias("k"))
-        .where(F.col("k.k1").isNotNull())
-        .select("k.k1", "k.k2")
-    )
+    k1, k2 = digest(F.col("key"))
+    lines = keyed.select("id", "t1", "t2", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("key", key)
+    lines = table(lines.where(F.length("key") >= least_chars).select("id", "t1", "t2", "at", k1.alias("k1"), k2.alias("k2")), "lines")
+    # once for each document, and then pre-aggregated by key before the shuffle: a line of many documents is no hot key
+    seen = lines.where("id IS NOT NULL").select("k1", "k2", "id").distinct()
+    common = seen.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_documents).drop("n")
     # written, so that its size decides how it is joined: broadcast, or by a shuffle whose hot keys can be split
-    common = table(in_text.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_documents).drop("n"), "lines")
-    places = lines.join(common, ["k1", "k2"]).groupBy("_t1", "_t2").agg(F.sort_array(F.collect_set("at")).alias("_drop"))
-    joined = docs.withColumns({"_t1": t1, "_t2": t2}).join(places, ["_t1", "_t2"], "left")
-    joined = joined.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(
-        F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drop"), lambda at: F.get("_lines", at))
+    common = table(common, "common")
+    places = lines.join(common, ["k1", "k2"]).groupBy("id", "t1", "t2").agg(F.collect_set("at").alias("places"))
+    places = table(places, "places")
+    release(lines, common)
+    same = F.col("m.id").eqNullSafe(F.col("p.id")) & (F.col("m.t1") == F.col("p.t1")) & (F.col("m.t2") == F.col("p.t2"))
+    joined = keyed.alias("m").join(places.alias("p"), same, "left").select("row", F.split("text", "\n").alias("lines"), F.array_sort("places").alias("places"))
+    kept = F.when(F.col("places").isNull(), F.col("lines")).otherwise(
+        F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "places"), lambda at: F.get("lines", at))
     )
-    return joined.withColumns(
-        {
-            "kept_text": F.array_join(kept, "\n"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
-        }
-    ).drop("_t1", "_t2", "_lines", "_drop")
+    return joined.select("row", F.array_join(kept, "\n").alias("kept"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
-def _key_hashes(line, least_chars: int):
-    key = ascii_lower(strip(line))
-    counts = F.length(key) >= least_chars
-    k1, k2 = digest(key)
-    return [F.when(counts, k1).alias("k1"), F.when(counts, k2).alias("k2")]
+def _columns(docs: DataFrame, made: dict[str, Column]) -> list[Column]:
+    return [F.col("row").getField(c).alias(c) for c in docs.columns if c not in made] + [v.alias(k) for k, v in made.items()]
+
+
+def drop_common_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """docs with `kept_text`, `n_lines` and `n_dropped` (long) added; columns of docs with these names give way.
+
+    A line's key is the line stripped of white space at both ends, A-Z in lower case. Keys of at least `least_chars`
+    code points found in at least `least_documents` documents lose all their lines everywhere; a document counts once
+    for each key. Rows that repeat a doc_id are one document; a row without doc_id is none, and loses its lines as
+    others do. Repeated rows repeat. Null or empty text is one empty line; what text is left of a row that loses all is
+    empty. Lines are hashed once; only hashes and places are shuffled for the count, and each text once, to meet its
+    own places, by doc_id and text. A very long text is one array of lines in memory. An empty table gives an empty result.
+    """
+    out = _dropped(docs, least_documents, least_chars)
+    return out.select(*_columns(docs, {"kept_text": F.col("kept"), "n_lines": F.col("n_lines"), "n_dropped": F.col("n_dropped")}))
 
 
 def dedup_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
-    """The rows of docs with the common lines gone from text, and n_chars to match; null text stays null."""
-    out = drop_common_lines(docs, least_documents)
-    text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """The rows of docs with the common lines gone from text, and n_chars, if there is one, to match; null text stays null.
+    All other columns, of whatever names, are as they were."""
+    out = _dropped(docs, least_documents, LEAST_CHARS)
+    text = F.when(F.col("row").getField("text").isNotNull(), F.col("kept"))
+    made = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*_columns(docs, made)).select(*docs.columns)
