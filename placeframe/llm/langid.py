@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from placeframe.llm import tokens
 
 UNKNOWN = "und"
-#: Width of the features; labelled rows that training takes, over all languages; languages it can learn.
-WIDTH, SAMPLE, LANGUAGES = 2048, 4000, 100
+#: Width of the features; labelled rows that training takes, over all languages, and for each one at least if it has them.
+WIDTH, SAMPLE, LEAST = 2048, 4000, 20
+#: Labels that can be learned, as the sample of each comes to the driver: more are an error, none is left out.
+LANGUAGES = 500
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
@@ -60,14 +62,19 @@ def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 150) -
 
 
 def families(means: np.ndarray) -> list[list[int]]:
-    """Groups of languages: the closest groups are joined until their number is the root of the languages'."""
+    """Groups of languages: the closest groups are joined until their number is the root of the languages'.
+
+    Of equally close ones those of the first names are joined.
+    """
     groups = [[i] for i in range(len(means))]
-    near = means @ means.T
+    total = means @ means.T  # sums of the similarities between the members of two groups
     while len(groups) > max(1, round(len(means) ** 0.5)):
-        a, b = max(
-            ((i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))),
-            key=lambda p: near[np.ix_(groups[p[0]], groups[p[1]])].mean(),
-        )
+        size = np.array([len(g) for g in groups])
+        near = np.where(np.triu(np.ones_like(total, bool), 1), total / np.outer(size, size), -np.inf)
+        a, b = np.unravel_index(near.argmax(), near.shape)
+        total[a] += total[b]
+        total[:, a] += total[:, b]
+        total = np.delete(np.delete(total, b, 0), b, 1)
         groups[a] += groups.pop(b)
     return groups
 
@@ -130,10 +137,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from labelled(doc_id, text, lang). A language with more than its even share of `sample` rows gives the
     rows whose hash falls below its rate, about that share; the others give all."""
     own = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labels: not a column of languages")
     if not counts:
         return Model(np.empty((0, WIDTH), np.float32), np.empty(0, object))
-    rates = own.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / len(counts) / r["n"])) for r in counts], "lang string, rate double")
+    rates = own.sparkSession.createDataFrame([(r["lang"], min(1.0, max(LEAST, sample / len(counts)) / r["n"])) for r in counts], "lang string, rate double")
     taken = own.join(F.broadcast(rates), "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 < F.col("rate"))
     rows = taken.select("lang", "text").mapInArrow(_sampled, "lang string, held binary").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["held"])))
@@ -162,7 +171,9 @@ def identify(docs: DataFrame, held_out: Column, sample: int = SAMPLE) -> DataFra
     """doc_id, held_out, lang_pred and score for each row of docs(doc_id, text, lang); learns from rows not held out.
 
     Null text, and text without a letter, is 'und' with score 0, as is all where nothing can be learned; null lang
-    teaches nothing. Only the text is an input of a prediction. Repeated rows repeat; an empty table gives an empty result.
+    teaches nothing. Only the text is an input of a prediction. Of equally sure languages the first by name is taken.
+    Repeated rows repeat; an empty table gives an empty result. A very long text is counted whole, some 60 bytes a byte
+    in a worker. Other columns of docs, whatever their names, are ignored. More labels than LANGUAGES are an error.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"), "lang")
     model = fit(own.where("NOT held_out"), sample)

@@ -13,8 +13,10 @@ from placeframe.llm.scratch import table
 
 #: Tokens of a block, and of the epochs that the rarest source may be read at most.
 BLOCK_TOKENS, REPETITION = 200_000, 2.0
-#: Points tried in each round of the search for the exponent, and rounds: 16**-8 wide at the end.
-POINTS, ROUNDS = 16, 8
+#: Points tried in each round of the search for the exponent, and rounds: 256**-4 wide at the end.
+POINTS, ROUNDS = 256, 4
+#: Blocks whose sums one task adds up in order.
+FAN_IN = 4096
 
 
 def source_tokens(docs: DataFrame) -> DataFrame:
@@ -76,11 +78,21 @@ def mix(
     copies; `place` orders the mixture: tokens before the document as a share of its source's budget, in billionths, so
     that any stretch of the mixture holds the sources by weight.
 
-    Each row is a document, also repeated ones. Null text has one token, its end; null source is the source ''. Sums run
-    over blocks first and then inside them, so a source that holds most rows is many groups.
+    Each row is a document, also repeated ones; equal rows are dealt in one order, any. Null text has one token, its end;
+    null source is the source ''. Columns of docs named as the result's own give way; all others pass, of whatever names.
+    Sums run over groups of blocks, over the blocks of a group and inside a block, so a source that holds most rows is many
+    groups. A very long text is a row as any other. An empty table gives an empty result.
     """
-    docs = docs.drop("n_tokens", "copy", "block", "place", "host")
-    own = docs.withColumns({"host": F.coalesce("source", F.lit("")), "n_tokens": (F.size(words(F.coalesce("text", F.lit("")))) + 1).cast("long")})
+    made = ("n_tokens", "copy", "block", "place")
+    names = [c for c in docs.columns if c not in made]
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    # the row goes along whole, so that none of its columns can clash with a name made here
+    own = docs.select(
+        F.struct(*names).alias("row"),
+        F.coalesce(source, F.lit("")).alias("host"),
+        (F.size(words(F.coalesce(text, F.lit("")))) + 1).cast("long").alias("n_tokens"),
+        F.xxhash64("doc_id", text).alias("h"),
+    )
     sources = table(source_tokens(own), "sources")
     a = exponent(sources, entropy, None if entropy is not None else repetition)
     weighed = sources.withColumn("w", F.pow(F.col("tokens").cast("double"), F.lit(a)))
@@ -92,29 +104,37 @@ def mix(
     limits = weighed.select("host", "tokens", F.round(F.col("w") * F.lit(scale), 3).alias("limit"))
     limits = limits.withColumns({"copies": F.ceil(F.col("limit") / F.col("tokens")), "blocks": F.ceil(F.col("tokens") / F.lit(block_tokens))})
     rows = own.join(limits, "host").where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    key = F.xxhash64(F.lit(seed), "copy", "doc_id", "text")
-    rows = rows.withColumn("_key", key).withColumn("_block", F.floor((F.col("_key") / F.lit(2.0**64) + 0.5) * F.col("blocks")).cast("long"))
-    filled = own_blocks(rows)
-    inner = W.partitionBy("host", "copy", "_block").orderBy("_key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
-    placed = placed.join(filled, ["host", "copy", "_block"]).withColumn("_start", F.col("_before") + F.col("_in"))
-    kept = placed.where(F.col("_start") < F.col("limit"))
+    rows = rows.withColumn("key", F.xxhash64(F.lit(seed), "copy", "h"))
+    rows = rows.withColumn("b", F.least(F.floor((F.col("key") / F.lit(2.0**64) + 0.5) * F.col("blocks")).cast("long"), F.col("blocks") - 1))
+    before = tokens_before(rows)
+    inner = W.partitionBy("host", "copy", "b").orderBy("key", "h").rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
+    placed = placed.join(before, ["host", "copy", "b"]).withColumn("start", F.col("before") + F.col("inside"))
+    kept = placed.where(F.col("start") < F.col("limit"))
     return kept.select(
-        *docs.columns,
+        *(F.col("row").getField(c).alias(c) for c in names),
         "n_tokens",
         "copy",
-        (F.col("copy") * F.col("blocks") + F.least("_block", F.col("blocks") - 1)).alias("block"),
-        F.floor(F.col("_start") / F.col("limit") * 1_000_000_000).cast("long").alias("place"),
+        (F.col("copy") * F.col("blocks") + F.col("b")).alias("block"),
+        F.floor(F.col("start") / F.col("limit") * 1_000_000_000).cast("long").alias("place"),
     )
 
 
-def own_blocks(rows: DataFrame) -> DataFrame:
-    """host, copy, _block, _before: tokens of the source's mixture ahead of each block."""
-    sums = table(rows.groupBy("host", "copy", "_block").agg(F.sum("n_tokens").alias("_n")), "blocks")
-    order = W.partitionBy("host").orderBy("copy", "_block").rowsBetween(W.unboundedPreceding, -1)
-    return sums.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).drop("_n")
+def tokens_before(rows: DataFrame) -> DataFrame:
+    """host, copy, b, before: tokens of the source's mixture ahead of each block; sums of FAN_IN blocks first."""
+    sums = table(rows.groupBy("host", "copy", "b").agg(F.sum("n_tokens").alias("n")), "blocks").withColumn("g", F.floor(F.col("b") / FAN_IN))
+    wide = W.partitionBy("host").orderBy("copy", "g").rowsBetween(W.unboundedPreceding, -1)
+    groups = sums.groupBy("host", "copy", "g").agg(F.sum("n").alias("of")).withColumn("ahead", F.coalesce(F.sum("of").over(wide), F.lit(0))).drop("of")
+    order = W.partitionBy("host", "copy", "g").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    own = sums.withColumn("own", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    return own.join(groups, ["host", "copy", "g"]).select("host", "copy", "b", (F.col("ahead") + F.col("own")).alias("before"))
 
 
 def mixed(docs: DataFrame, repetition: float = REPETITION) -> DataFrame:
-    """The mixture with the columns of docs: a document stands once for each copy."""
-    return mix(docs, repetition=repetition).select(*docs.columns)
+    """The mixture with the columns of docs, in its order: a document stands once for each copy, at its place.
+
+    Rows are dealt to partitions by ranges of place and sorted there, so files written from them are the mixture.
+    """
+    # the row goes along whole: a column of docs may be named place
+    out = mix(docs.select(F.struct("*").alias("row"), "doc_id", "text", "source"), repetition=repetition)
+    return out.select("row", "place").repartitionByRange("place").sortWithinPartitions("place").select("row.*")

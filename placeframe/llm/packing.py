@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from placeframe.llm.scratch import table
 
 CAPACITY, END = 4096, 1
+#: Pieces of one length that one task ranks, about.
+BUCKET_ROWS = 50_000
 #: Chunks of text whose ids a worker remembers.
 REMEMBERED = 600_000
 
@@ -163,16 +165,17 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset for each piece of docs(doc_id, text).
 
     A document is the ids of its text by the tokenizer file, without special tokens, and the end id 1; null text is
-    empty, so its document is the end id alone. Only longer documents than `capacity` are cut. Repeated rows and null
-    doc_ids are packed as any other. An empty table gives an empty result.
+    empty, so its document is the end id alone. Only longer documents than `capacity` are cut; a very long one is held
+    once as ids. Repeated rows and null doc_ids are packed as any other. Pieces of one length are alike: any of them
+    may have any of their places. Other columns of docs, whatever their names, are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         partial(_pieces, path=tokenizer, capacity=capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
-    # the ranks of a length are dealt over buckets: no window holds all pieces of a length
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = table(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))), "pieces")
+    # numbered once, as written: equal rows are told apart, and those of a length fall in even buckets of BUCKET_ROWS
+    pieces = table(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    most = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(-(-most // BUCKET_ROWS) or 1)))
     counts = table(pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
     before = F.sum("n").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     counts = counts.withColumn("before", F.coalesce(before, F.lit(0)))
@@ -181,7 +184,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     slots: dict[int, list] = {}
     for length, *slot in plan(lengths, capacity):
         slots.setdefault(length, []).append([slot[0], slot[2], slot[3], slot[4]])
-    inner = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    inner = F.row_number().over(W.partitionBy("length", "bucket").orderBy("row")) - 1
     ranked = pieces.withColumn("inner", inner).join(counts.drop("n"), ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("inner")).alias("rank"))
     held = {x: np.array(sorted(s), np.int64) for x, s in slots.items()}
