@@ -12,11 +12,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from placeframe.llm import jaccard, linededup, mixing, packing, quality
-from placeframe.llm.scratch import table
+from placeframe.llm.scratch import release, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or keep nearly nothing without their host's common lines, go."""
+    """Documents that fail the base rules, or keep too little without their host's common lines, go."""
     return quality.keep_good(docs)
 
 
@@ -31,7 +31,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rare sources are repeated, at most twice; each document stays at least once."""
+    """Rare sources are repeated, at most twice; each document stays at least once; rows are in the mixture's order."""
     return mixing.mixed(docs)
 
 
@@ -58,5 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = table(docs, name)
+            before, docs = docs, table(docs, name)
+            release(before)
     return docs
