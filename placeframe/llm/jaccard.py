@@ -123,15 +123,30 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
 
 
+def fine_sketch(s: np.ndarray) -> bytes:
+    """A byte for each of about as many pieces of the domain as the set has elements: the sum of what the piece holds."""
+    wide = max(4, int(len(s) - 1).bit_length())
+    return np.bincount((s >> np.uint64(64 - wide)).astype(np.int64), (tokens.mix(s + np.uint64(7)) & np.uint64(255)).astype(np.float64), 1 << wide).astype(np.int64).astype(np.uint8).tobytes()
+
+
+def pieces_differing(x: bytes, y: bytes) -> int:
+    """How many pieces of two fine sketches differ, at the coarser's pieces; no more than the elements that do."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(p) != len(q):
+        n = min(len(p), len(q))
+        p, q = (z.reshape(n, -1).sum(axis=1, dtype=np.uint8) for z in (p, q))
+    return int(np.count_nonzero(p != q))
+
+
 _PIECE_EDGES = np.array([i << 57 for i in range(1, 128)], np.uint64)
 SKETCH = [f"s{i}" for i in range(8)]
 
 _SETS = "doc_id long, t1 long, t2 long, n long, v1 long, v2 long"
-_SKETCHES = "id long, text string, n long, " + ", ".join(f"{s} long" for s in SKETCH)
+_SKETCHES = "id long, text string, fine binary, n long, " + ", ".join(f"{s} long" for s in SKETCH)
 
 
 def _schema(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "string": pa.string()}
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
 
 
@@ -172,17 +187,18 @@ def _sketched(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Recor
     schema = _schema(_SKETCHES)
     for batch in batches:
         ids, v1, v2 = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("id", "v1", "v2"))
-        took, n, drawn = [], [], []
+        took, n, drawn, fine = [], [], [], []
         for row, k, p, q in shingle_sets(batch, size):
             if tuple(np.array(name_of(p, q)).view(np.int64)) == (v1[row], v2[row]):
                 took.append(row)
                 n.append(k)
                 drawn.append(sketch(p))
+                fine.append(fine_sketch(p))
         if took:
             at = np.array(took)
             lanes = np.stack(drawn)
             text = batch.column(batch.schema.get_field_index("text")).take(pa.array(at))
-            yield from tokens.rows_of([{"id": ids[at], "text": text, "n": np.array(n, np.int64)} | {s: lanes[:, i] for i, s in enumerate(SKETCH)}], schema)
+            yield from tokens.rows_of([{"id": ids[at], "text": text, "fine": fine, "n": np.array(n, np.int64)} | {s: lanes[:, i] for i, s in enumerate(SKETCH)}], schema)
 
 
 def _differing(a: str, b: str) -> Column:
@@ -241,11 +257,20 @@ def _verified(batches: Iterable[pa.RecordBatch], size: int, percent: int) -> Ite
             yield batch.select(["a", "b"]).filter(pa.array(similar(both, size, percent)))
 
 
+def _possible(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose fine sketches (x of m elements, y of n) allow a link."""
+    for batch in batches:
+        sizes = (batch.column(4).to_numpy() + batch.column(5).to_numpy()).tolist()
+        keep = [pieces_differing(x, y) * (100 + percent) <= n * (100 - percent) for x, y, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), sizes, strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _links(pairs: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of a written table that are similar."""
-    x = held.select(F.col("id").alias("a"), F.col("text").alias("x"))
-    y = held.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(partial(_verified, size=size, percent=percent), "a long, b long")
+    """The pairs (a, b) that are similar: fine sketches go first, so that few pairs carry their texts."""
+    x, y = (held.select(F.col("id").alias(e), F.col("fine").alias(f), F.col("n").alias(m)) for e, f, m in (("a", "x", "m"), ("b", "y", "n")))
+    possible = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(partial(_possible, percent=percent), "a long, b long")
+    x, y = (held.select(F.col("id").alias(e), F.col("text").alias(f)) for e, f in (("a", "x"), ("b", "y")))
+    return possible.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(partial(_verified, size=size, percent=percent), "a long, b long")
 
 
 def _near(percent: int) -> Column:
@@ -264,7 +289,7 @@ def _linked_sets(live: DataFrame, held: DataFrame, size: int, percent: int) -> D
     """
     shared = live.groupBy("id").agg(F.count(F.lit(1)).alias("deg"))
     kept = ["sig", "id", "deg", "n", *SKETCH]
-    rows = table(live.join(shared, "id").join(held.drop("text"), "id").select(*kept, F.col("id").alias("c")), "buckets")
+    rows = table(live.join(shared, "id").join(held.drop("text", "fine"), "id").select(*kept, F.col("id").alias("c")), "buckets")
     labels, pivots = None, PIVOTS
     while not rows.isEmpty():
         order = W.partitionBy("sig").orderBy(F.desc("deg"), "id")
@@ -328,7 +353,7 @@ def near_links(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """
     rows, first = _different(docs, size)
     live, held = _candidates(docs, first, size, percent)
-    sides = live.join(held.drop("text"), "id")
+    sides = live.join(held.drop("text", "fine"), "id")
     both = sides.alias("p").join(sides.alias("q"), (F.col("p.sig") == F.col("q.sig")) & (F.col("p.id") < F.col("q.id")) & _near(percent))
     pairs = both.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
     links = table(_links(pairs, held, size, percent), "links")

@@ -131,10 +131,11 @@ def tokens_before(rows: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, repetition: float = REPETITION) -> DataFrame:
-    """The mixture with the columns of docs, in its order: a document stands once for each copy, at its place.
+    """The mixture with the columns of docs: a document stands once for each copy, at its place.
 
-    Rows are dealt to partitions by ranges of place and sorted there, so files written from them are the mixture.
+    Blocks are dealt at random to partitions, whose rows are in the order of their place: so each partition, and each
+    file written from one, is a mixture by weight, and the texts are shuffled once.
     """
     # the row goes along whole: a column of docs may be named place
     out = mix(docs.select(F.struct("*").alias("row"), "doc_id", "text", "source"), repetition=repetition)
-    return out.select("row", "place").repartitionByRange("place").sortWithinPartitions("place").select("row.*")
+    return out.sortWithinPartitions("place").select("row.*")

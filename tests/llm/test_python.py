@@ -89,6 +89,7 @@ def test_similar_sets_always_share_a_signature():
                 bits = np.stack([jaccard.sketch(s) for s in (x, y)])
                 pieces = sum(((int(a) ^ int(b)) >> (4 * k)) & 15 > 0 for a, b in bits.T for k in range(16))
                 assert pieces <= len(x) + len(y) - 2 * common
+                assert jaccard.pieces_differing(jaccard.fine_sketch(x), jaccard.fine_sketch(y)) <= len(x) + len(y) - 2 * common
 
 
 def test_odd_tables_of_the_join(spark):
