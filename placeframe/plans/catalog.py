@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from placeframe.plans import composite, more, places, scores, tables
+from placeframe.plans import composite, more, places, roads, scores, tables
 
 QUERIES, SQL = {}, {}
-for part in (scores, places, tables, more, composite):
+for part in (scores, places, tables, more, composite, roads):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
