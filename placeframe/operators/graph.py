@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -117,6 +117,11 @@ def thinned(rows: DataFrame, near: DataFrame) -> DataFrame:
     return rows.limit(0) if kept is None else rows.join(kept.select("id"), "id", "left_semi")
 
 
+def cell_of(component: Column) -> tuple[Column, Column]:
+    """Row and column of the cell that names a component of contiguous()."""
+    return F.shiftright(component, 32), component.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)
+
+
 def contiguous(cells: DataFrame, diagonal: bool = True) -> DataFrame:
     """row, col, component for cells(row, col): neighbours by edge, or corner too, share a component (its smallest id)."""
     # rows and columns are whole numbers of 32 bits

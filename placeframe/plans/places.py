@@ -168,6 +168,8 @@ SELECT component, count(*) AS pixels, sum(value)::BIGINT AS people, round(sum(va
 def r1_a4_contiguous_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = _pixels(spark, sf_dir).where("(row div 6 + col div 9) % 3 = 0 AND (row * 7 + col * 11) % 13 <> 0")
     px = px.join(graph.contiguous(px), ["row", "col"])
+    row, col = graph.cell_of(F.col("component"))
+    px = px.withColumn("component", row * 1_000_000 + col)
     centre = F.sum(F.col("value") * F.col("row")) / F.sum("value")
     return px.groupBy("component").agg(F.count(F.lit(1)).alias("pixels"), F.sum("value").alias("people"), F.round(centre, 6).alias("row_centre"))
 
