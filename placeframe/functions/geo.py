@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,3 +78,27 @@ def valid(lon: Column, lat: Column, box: tuple[float, float, float, float]) -> C
 
 def snapped(coords: Column, digits: int = 4) -> Column:
     return F.transform(coords, lambda p: F.struct(F.round(p["x"], digits).alias("x"), F.round(p["y"], digits).alias("y")))
+
+
+# The national conic projection of the public registry: two standard parallels, origin and offset in m.
+CONIC = (12.472955, 35.1728044444444, 24.0, 80.0, 4_000_000.0)
+
+
+def conic_terms(parallels: tuple[float, float, float, float, float] = CONIC) -> tuple[float, float, float, float]:
+    """n, scale, radius at the origin in m and eccentricity of a conformal conic projection of the ellipsoid."""
+    e = math.sqrt(FLATTENING * (2 - FLATTENING))
+    p1, p2, p0 = (math.radians(v) for v in parallels[:3])
+    m = lambda p: math.cos(p) / math.sqrt(1 - (e * math.sin(p)) ** 2)
+    t = lambda p: math.tan(math.pi / 4 - p / 2) / ((1 - e * math.sin(p)) / (1 + e * math.sin(p))) ** (e / 2)
+    n = math.log(m(p1) / m(p2)) / math.log(t(p1) / t(p2))
+    scale = AXIS_KM * 1000 * m(p1) / (n * t(p1) ** n)
+    return n, scale, scale * t(p0) ** n, e
+
+
+def conic(lon: Column, lat: Column, parallels: tuple[float, float, float, float, float] = CONIC) -> tuple[Column, Column]:
+    """East and north in m on a conformal conic projection."""
+    n, scale, origin, e = conic_terms(parallels)
+    p = F.radians(lat)
+    t = F.tan(F.lit(math.pi / 4) - p / 2) / F.pow((1 - e * F.sin(p)) / (1 + e * F.sin(p)), F.lit(e / 2))
+    r, turn = scale * F.pow(t, F.lit(n)), n * F.radians(lon - parallels[3])
+    return parallels[4] + r * F.sin(turn), parallels[4] + origin - r * F.cos(turn)

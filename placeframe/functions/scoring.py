@@ -89,3 +89,33 @@ def gaps(cfg: Scoring, preset: str, points: dict[str, Column], sub: dict[str, Co
         for f in cfg.names
     ]
     return F.transform(F.slice(F.array_sort(F.array_compact(F.array(*each))), 1, cfg.max_gaps), lambda e: e["factor"])
+
+
+def explanation(cfg: Scoring, kind: str, factor: Column, value: Column, share: Column) -> Column:
+    """struct(key, km, pct, pp): which sentence tells of a driver ('why') or gap ('gap'), and its numbers.
+
+    Factors with a headline distance: the share of residents within it ('none' if it rounds to 0), else near or, beyond the
+    last knot, far. Half rounds up.
+    """
+    half_up = lambda v, by: F.floor(v * by + 0.5) / by
+    name = lambda *end: F.concat_ws(".", F.lit(kind), factor, *[F.lit(x) for x in end])
+    out, empty = None, F.lit(None).cast("double")
+
+    def said(key: Column, km: Column = empty, pct: Column = empty, pp: Column = empty) -> Column:
+        return F.struct(key.alias("key"), km.cast("double").alias("km"), pct.cast("double").alias("pct"), pp.cast("double").alias("pp"))
+
+    unknown = said(name("unknown"))
+    for f in cfg.factors:
+        own = factor == f.name
+        if f.headline_km is not None:
+            last, near = F.lit(float(f.bands[-1][0])), F.lit(float(f.headline_km))
+            pct = half_up(share * 100, 1)
+            each = F.when(pct == 0, said(name("none"), km=near)).when(share.isNotNull(), said(name("share"), km=near, pct=pct))
+            each = each.when(value > last, said(name("far"), km=last)).when(value.isNotNull(), said(name("near"), km=half_up(value, 10)))
+        elif f.unit == "pp":
+            pp = half_up(value, 1)
+            each = F.when(F.abs(pp) == 1, said(name("one"), pp=pp)).when(value.isNotNull(), said(name(), pp=pp))
+        else:
+            each = F.when(value.isNotNull(), said(name(), km=half_up(value, 10)))
+        out = F.when(own, each.otherwise(unknown)) if out is None else out.when(own, each.otherwise(unknown))
+    return out.otherwise(unknown)

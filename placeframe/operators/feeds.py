@@ -50,3 +50,26 @@ def not_monotonic(times: DataFrame) -> DataFrame:
     w = W.partitionBy("trip_id").orderBy("ts", "stop_id")
     step = times.withColumn("_before", F.lag(F.col("stop_sequence").try_cast("int")).over(w))
     return step.where(F.col("stop_sequence").try_cast("int") <= F.col("_before")).select("trip_id").distinct()
+
+
+def accepted(feed: Feed, box: tuple[float, float, float, float], most_bad: float = 0.05) -> dict[str, DataFrame]:
+    """stops, routes, issues and summary of many feeds at once; each table has a column `feed`.
+
+    A feed with a repeated or empty id, without stops, or with a larger share of stops off the box than `most_bad` is left
+    out whole. issues: feed, check, count; summary: feed, stops, bad, share, accepted.
+    """
+    found = []
+    for name, key in (("stops", "stop_id"), ("routes", "route_id")):
+        each = feed[name].groupBy("feed", key).agg(F.count(F.lit(1)).alias("n"))
+        sums = each.groupBy("feed").agg(F.sum(F.col("n") - 1).alias(f"duplicate_{key}"), F.coalesce(F.sum(F.when(F.coalesce(key, F.lit("")) == "", F.col("n"))), F.lit(0)).alias(f"empty_{key}"))
+        checks = [x for c in (f"duplicate_{key}", f"empty_{key}") for x in (F.lit(c), F.col(c))]
+        found.append(sums.select("feed", F.explode(F.create_map(*checks)).alias("check", "count")).where("count > 0"))
+    issues_ = quality.all_of(*found)
+    bad = F.count_if(~geo.valid(F.col("stop_lon"), F.col("stop_lat"), box))
+    counts = feed["stops"].groupBy("feed").agg(F.count(F.lit(1)).alias("stops"), bad.alias("bad")).withColumn("share", F.col("bad") / F.col("stops"))
+    names = feed["routes"].select("feed").union(feed["stops"].select("feed")).distinct()
+    failed = issues_.select("feed").distinct().withColumn("failed", F.lit(True))
+    good = F.coalesce(F.col("share") <= most_bad, F.lit(False)) & F.col("failed").isNull()
+    summary = names.join(counts, "feed", "left").join(failed, "feed", "left").select("feed", F.coalesce("stops", F.lit(0)).alias("stops"), F.coalesce("bad", F.lit(0)).alias("bad"), "share", good.alias("accepted"))
+    kept = summary.where("accepted").select("feed")
+    return {"stops": feed["stops"].join(kept, "feed", "left_semi"), "routes": feed["routes"].join(kept, "feed", "left_semi"), "issues": issues_, "summary": summary}

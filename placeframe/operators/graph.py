@@ -132,3 +132,24 @@ def contiguous(cells: DataFrame, diagonal: bool = True) -> DataFrame:
     links = shifted.join(ids.withColumnRenamed("id", "b"), ["row", "col"]).select("a", "b")
     labels = components(links)
     return ids.join(labels, F.col("id") == F.col("v"), "left").select("row", "col", F.coalesce("c", "id").alias("component"))
+
+
+def circuity(links: DataFrame, nodes: DataFrame, cities: DataFrame, snap: float, span: tuple[float, float], width: float, flag: float = 1.5) -> DataFrame:
+    """a, b, straight, network, circuity, flagged for the pairs of cities(id, x, y) whose straight distance is in the span.
+
+    A city joins the network at the nearest node of its largest component, at most `snap` away; others are left out. The
+    way is both snaps and the shortest path, null beyond three times the span. nodes: node_id, x, y.
+    """
+    labels = table(components(links), "labels")
+    main = labels.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").limit(1)
+    there = nodes.join(labels.join(F.broadcast(main), "c").select(F.col("v").alias("node_id")), "node_id", "left_semi")
+    snapped = spatial.nearest(cities, there.select(F.col("node_id").alias("id"), "x", "y"), width, snap).where("target IS NOT NULL")
+    snapped = table(snapped.select("id", F.col("target").alias("node"), F.col("dist").alias("off")), "snapped")
+    joined = cities.join(snapped.select("id"), "id", "left_semi")
+    pairs = spatial.within(joined, joined, span[1]).where((F.col("id") < F.col("other")) & (F.col("dist") >= span[0]))
+    paths = shortest_paths(links, snapped.select(F.col("node").alias("node_id")).distinct(), 3 * span[1])
+    ends = [snapped.select(F.col("id").alias(i), F.col("node").alias(n), F.col("off").alias(o)) for i, n, o in (("id", "source", "oa"), ("other", "node", "ob"))]
+    ways = pairs.withColumnRenamed("dist", "straight").join(ends[0], "id").join(ends[1], "other").join(paths, ["source", "node"], "left")
+    network = F.col("oa") + F.col("dist") + F.col("ob")
+    ratio = network / F.col("straight")
+    return ways.select(F.col("id").alias("a"), F.col("other").alias("b"), "straight", network.alias("network"), ratio.alias("circuity"), (ratio > flag).alias("flagged"))

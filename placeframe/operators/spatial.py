@@ -87,3 +87,18 @@ def in_box(points: DataFrame, boxes: DataFrame, width: float) -> DataFrame:
     cut = boxes.select("*", F.explode(spread("x0", "x1")).alias("_bx")).select("*", F.explode(spread("y0", "y1")).alias("_by"))
     own = points.withColumns({"_bx": _bucket("x", width), "_by": _bucket("y", width)})
     return own.join(cut, ["_bx", "_by"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").select("box", "id")
+
+
+def nearest_polygon(points: DataFrame, polygons: DataFrame, most: float, width: float) -> DataFrame:
+    """id, name for points(id, x, y): the polygon that holds each, else the one with the nearest edge within `most`, else null.
+
+    Edges are cut into the buckets of their widened boxes, so a point meets only edges near it; ties go to the smaller name.
+    """
+    inside = in_polygon(points, polygons, width)
+    edges = polygons.select("name", F.posexplode("ring").alias("i", "a"), "ring").select("name", "a", F.get("ring", F.col("i") + 1).alias("b")).where("b IS NOT NULL")
+    span = lambda c: F.sequence(_bucket(F.least(F.col(f"a.{c}"), F.col(f"b.{c}")) - most, width), _bucket(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) + most, width))
+    cut = edges.select("*", F.explode(span("x")).alias("_bx")).select("*", F.explode(span("y")).alias("_by"))
+    out = points.join(inside.where("name IS NULL").select("id"), "id", "left_semi").withColumns({"_bx": _bucket("x", width), "_by": _bucket("y", width)})
+    dist = geo.to_segment(F.col("x"), F.col("y"), F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"))
+    near = out.join(cut, ["_bx", "_by"]).withColumn("dist", dist).where(F.col("dist") <= most).groupBy("id").agg(F.min(F.struct("dist", "name")).alias("best"))
+    return inside.join(near.select("id", F.col("best.name").alias("near")), "id", "left").select("id", F.coalesce("name", "near").alias("name"))

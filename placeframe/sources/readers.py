@@ -58,9 +58,9 @@ def _if_any(spark: SparkSession, folder: str, options: dict) -> DataFrame | None
     return raw if raw.columns else None
 
 
-def tolerant_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def tolerant_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """Rows of the schema's width; others are dropped."""
-    return spark.read.schema(schema).options(header=True, mode="DROPMALFORMED").csv(path)
+    return spark.read.schema(schema).options(header=header, mode="DROPMALFORMED").csv(path)
 
 
 def two_field_lines(spark: SparkSession, path: str, names: tuple[str, str]) -> DataFrame:
@@ -177,5 +177,5 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def changed(now: DataFrame, before: DataFrame) -> DataFrame:
-    """The files of a manifest that an earlier one does not list with the same size."""
-    return now.join(before.select("path", "bytes"), ["path", "bytes"], "left_anti")
+    """The files of a manifest that an earlier one does not list with the same content."""
+    return now.join(before.select("path", "sha256"), ["path", "sha256"], "left_anti")
