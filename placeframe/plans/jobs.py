@@ -156,7 +156,7 @@ def c13_release_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.classified(listed, own.where("page_id % 9 <> 0"), RULES)
 
 
-@query("""SELECT o_orderkey AS id, 'NH' || (1 + o_orderkey % 998) || ' NH' || (1 + o_custkey % 98) || ' NH7BB' AS refs,
+@query("""SELECT o_orderkey AS id, 'NH' || (1 + o_orderkey % 998) || CASE WHEN o_orderkey % 998 = o_custkey % 98 THEN '' ELSE ' NH' || (1 + o_custkey % 98) END || ' NH7BB' AS refs,
  CASE o_orderkey % 3 WHEN 0 THEN 'Kerala Odisha' WHEN 1 THEN 'Jammu and Kashmir Goa' ELSE 'Bihar' END AS states, CASE WHEN o_orderkey % 2 = 0 THEN 'EPC' ELSE 'HAM' END AS modes FROM orders""")
 def p28_fields_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")

@@ -28,22 +28,21 @@ def query(sql: str = ""):
 
 
 _NODES = f"""{with_("way_nodes")}, n AS (SELECT *, count(*) OVER (PARTITION BY node_id) AS shared, pos = 1 AS is_first, pos = max(pos) OVER (PARTITION BY way_id) AS is_last FROM way_nodes),
-cut AS (SELECT way_id, pos, node_id FROM n WHERE shared > 35 OR is_first OR is_last)"""
+cut AS (SELECT way_id, pos, node_id FROM n WHERE shared >= 2 OR is_first OR is_last)"""
 
 
 @query(f"""{_NODES}, e AS (SELECT way_id, pos AS start, node_id AS u, lead(node_id) OVER (PARTITION BY way_id ORDER BY pos) AS v FROM cut) SELECT * FROM e WHERE v IS NOT NULL""")
-def w6_junction_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ways cut into edges at their ends and at nodes that very many rows share; w6_junction_edges cuts at every junction."""
-    return _cut(views.way_nodes(spark, sf_dir), 36)
-
-
-@query(f"""{_NODES}, j AS (SELECT way_id, pos, node_id FROM n WHERE shared >= 2 OR is_first OR is_last),
-e AS (SELECT way_id, pos AS start, node_id AS u, lead(node_id) OVER (PARTITION BY way_id ORDER BY pos) AS v FROM j) SELECT * FROM e WHERE v IS NOT NULL""")
 def w6_junction_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ways cut into edges at their ends and at nodes used twice or more."""
     return _cut(views.way_nodes(spark, sf_dir), 2)
 
 
+@query(f"""SELECT way_id, count(*) AS edges FROM ({SQL["w6_junction_edges"]}) GROUP BY 1""")
+def w6_junction_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many edges each way is cut into."""
+    return w6_junction_edges(spark, sf_dir).groupBy("way_id").agg(F.count(F.lit(1)).alias("edges"))
+
+
 def _cut(nodes: DataFrame, least: int) -> DataFrame:
     busy = nodes.groupBy("node_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
     way = W.partitionBy("way_id")
@@ -120,16 +119,6 @@ def j12_fill_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(fill, "p_type", "left").select("p_partkey", F.coalesce(own, "brand").alias("brand"))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_size = 7), w AS (SELECT DISTINCT split_part(name, ' ', 1) AS word FROM n)
-SELECT p_partkey, word FROM part JOIN w ON regexp_matches(p_name, '(?i)\\b' || word || '\\b')""")
-def j14_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names as whole words in text: exploded words meet the names in an equi-join, so no pattern is tried on every pair."""
-    p = read(spark, sf_dir, "part")
-    names = p.where("p_size = 7").select(F.get(F.split("p_name", " "), 0).alias("word")).distinct()
-    words = p.select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), r"\W+"))).alias("k"))
-    return words.join(names.withColumn("k", F.lower("word")), "k").select("p_partkey", "word")
-
-
 @query(r"""WITH n AS (SELECT DISTINCT p_name AS name FROM part), a AS (SELECT name, unnest(list_concat([name], string_split(name, ' '))) AS said FROM n)
 SELECT DISTINCT p_partkey, name FROM part JOIN a ON regexp_matches(p_name, '(?i)\b' || regexp_escape(said) || '\b')""")
 def j14_name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +128,12 @@ def j14_name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), names).withColumnRenamed("id", "p_partkey")
 
 
+@query(f"""SELECT p_partkey, count(*) AS names FROM ({SQL["j14_name_mentions"]}) GROUP BY 1""")
+def j14_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many names each text mentions."""
+    return j14_name_mentions(spark, sf_dir).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("names"))
+
+
 @query(f"""{with_("points", "targets")}, c AS (SELECT id, floor(lon / 0.25) AS cx, floor(lat / 0.25) AS cy FROM points) SELECT DISTINCT c.id FROM c JOIN targets t ON abs(cx - floor(t.lon / 0.25)) <= 4 AND abs(cy - floor(t.lat / 0.25)) <= 4""")
 def j19_pixels_near_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-4, 5) for j in range(-4, 5)])

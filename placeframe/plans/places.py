@@ -91,15 +91,6 @@ def j9_box_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HAV = "2 * 6371.0088 * asin(sqrt(power(sin(radians(t.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(t.lat)) * power(sin(radians(t.lon - p.lon) / 2), 2)))"
 
 
-@query(f"""{_PT} SELECT p.id, round({_HAV}, 4) AS haversine, round(111.2 * sqrt(power((t.lon - p.lon) * cos(radians((p.lat + t.lat) / 2)), 2) + power(t.lat - p.lat, 2)), 4) AS flat
-FROM points p JOIN targets t ON t.id = p.id % 50""")
-def g1_g3_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = views.targets(spark, sf_dir).select(F.col("id").alias("k"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    both = views.points(spark, sf_dir).withColumn("k", F.col("id") % 50).join(t, "k")
-    ends = [F.col(c) for c in ("lon", "lat", "lon2", "lat2")]
-    return both.select("id", F.round(geo.haversine_km(*ends), 4).alias("haversine"), F.round(geo.flat_km(*ends), 4).alias("flat"))
-
-
 @query(f"""{_PT}, near AS (SELECT p.id, t.id AS target, row_number() OVER (PARTITION BY p.id ORDER BY {_D}, t.id) AS r FROM points p, targets t)
 SELECT p.id, near.target, round({_HAV}, 4) AS haversine, round(111.2 * sqrt(power((t.lon - p.lon) * cos(radians((p.lat + t.lat) / 2)), 2) + power(t.lat - p.lat, 2)), 4) AS flat
 FROM points p JOIN near ON near.id = p.id AND r = 1 JOIN targets t ON t.id = near.target""")
@@ -112,6 +103,11 @@ def g1_g3_nearest_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("id", "target", F.round(geo.haversine_km(*ends), 4).alias("haversine"), F.round(geo.flat_km(*ends), 4).alias("flat"))
 
 
+@query(f"SELECT id, haversine, flat FROM ({SQL['g1_g3_nearest_distances']})")
+def g1_g3_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g1_g3_nearest_distances(spark, sf_dir).drop("target")
+
+
 @query(f"""{with_("points")} SELECT id, CASE WHEN floor((lon - 70) / 0.25) BETWEEN 0 AND 79 THEN floor((lon - 70) / 0.25)::BIGINT END AS col,
  CASE WHEN floor((lat - 8) / 0.5) BETWEEN 0 AND 39 THEN floor((lat - 8) / 0.5)::BIGINT END AS "row" FROM points""")
 def g6_pixel_of_point(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +170,7 @@ def r1_a4_contiguous_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.groupBy("component").agg(F.count(F.lit(1)).alias("pixels"), F.sum("value").alias("people"), F.round(centre, 6).alias("row_centre"))
 
 
-_EDGES = f"""{with_("way_nodes")}, e AS (SELECT way_id, node_id AS a, lead(node_id) OVER (PARTITION BY way_id ORDER BY pos) AS b FROM way_nodes WHERE way_id % 50 = 0),
+_EDGES = f"""{with_("way_nodes")}, e AS (SELECT way_id, node_id AS a, lead(node_id) OVER (PARTITION BY way_id ORDER BY pos) AS b FROM way_nodes),
 link AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(1 + (a + b) % 7)::DOUBLE AS length FROM e WHERE b IS NOT NULL AND a <> b GROUP BY 1, 2),
 both_ways AS (SELECT a, b, length FROM link UNION ALL SELECT b, a, length FROM link)"""
 
@@ -185,11 +181,6 @@ def _links(way_nodes: DataFrame) -> DataFrame:
     return e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), length.alias("length")).groupBy("a", "b").agg(F.min("length").alias("length"))
 
 
-def _some_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of every fiftieth way: as many as DuckDB's recursion gets through. The whole network is in _all_links."""
-    return _links(views.way_nodes(spark, sf_dir).where("way_id % 50 = 0"))
-
-
 def _all_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(_links(views.way_nodes(spark, sf_dir)), "links")
 
@@ -209,24 +200,21 @@ def w5_s12_line_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.groupBy("way_id").agg(F.count(F.lit(1)).alias("nodes"), F.round(F.sum("step"), 6).alias("length"))
 
 
-@query(f"""{_EDGES} SELECT * FROM (WITH RECURSIVE c(id, r) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT c.id, b FROM c JOIN both_ways ON a = r)
-SELECT component, count(*) AS nodes FROM (SELECT id, min(r) AS component FROM c GROUP BY id) GROUP BY component)""")
+@query()
 def r3_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(_some_links(spark, sf_dir)).groupBy(F.col("c").alias("component")).agg(F.count(F.lit(1)).alias("nodes"))
+    """Components of all ways by their nodes. No SQL: recursion doesn't get through this network."""
+    return graph.components(_all_links(spark, sf_dir)).groupBy(F.col("c").alias("component")).agg(F.count(F.lit(1)).alias("nodes"))
 
 
 @query(f"""{_EDGES} SELECT a AS node_id FROM both_ways GROUP BY a HAVING count(DISTINCT b) = 1""")
 def r5_dead_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.dead_ends(_some_links(spark, sf_dir))
+    return graph.dead_ends(_all_links(spark, sf_dir))
 
 
-@query(f"""{_EDGES}, src AS (SELECT DISTINCT a AS s FROM both_ways WHERE a % 40 = 0)
-SELECT * FROM (WITH RECURSIVE p(source, node, dist) AS (SELECT s, s, 0::DOUBLE FROM src UNION SELECT source, b, dist + length FROM p JOIN both_ways ON a = node WHERE dist + length <= 14)
-SELECT source, node, min(dist) AS dist FROM p GROUP BY source, node)""")
+@query()
 def r6_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = _some_links(spark, sf_dir)
-    nodes = links.select(F.col("a").alias("node_id")).union(links.select("b")).distinct().where("node_id % 40 = 0")
-    return graph.shortest_paths(links, nodes, 14.0)
+    """Shortest paths over all ways from every twentieth node. No SQL, as for r3_components."""
+    return r6_network_paths(spark, sf_dir)
 
 
 @query()

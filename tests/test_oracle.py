@@ -12,7 +12,8 @@ from placeframe.plans import catalog
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHECKED = [
     "c2_area_scores", "c4_factor_summary", "w7_drivers_and_gaps", "q1_cities_of_a_state", "q2_search", "q6_compare_reasons",
-    "j4_nearest_target", "j6_within_distance", "j7_point_in_polygon", "g14_hexagon_cells", "r1_a4_contiguous_cells", "r6_shortest_paths",
+    "j4_nearest_target", "j6_within_distance", "j7_point_in_polygon", "g14_hexagon_cells", "r1_a4_contiguous_cells", "g1_g3_distances", "w6_junction_split", "j14_mentions", "p24_published_rounding",
+    "c5_weight_sensitivity", "j18_area_names", "c8_city_documents", "j8_nearest_polygon", "c15_feed_job", "p25_explanations", "g4_conic_projection", "s3_tolerant_rows",
     "a6_pivot", "a8_lower_weighted_median", "c12_project_flags", "a15_delay_table", "v1_feed_issues", "w18_route_lines", "p1_state_names", "st4_daily_counts",
     "p5_way_class", "g7_line_samples", "g10_clipped_lines", "g12_carriageways", "j15_corridors", "p10_p11_name_similarity", "w20_sorted_table", "c18_station_indicators",
 ]
