@@ -121,3 +121,39 @@ def matched(rows: DataFrame, codes: DataFrame, least: float) -> DataFrame:
         pairs = left
         if done:
             return first_per(pairs, ["id"], F.desc("score"), F.desc("code")).select("id", "code", "score")
+
+
+def stations(listed: DataFrame, mapped: DataFrame, twin: float, apart: float) -> DataFrame:
+    """id, mode, key, x, y, source: the stations of both tables (id, mode, key, x, y), each place once for its mode.
+
+    A listed station with a mapped one of its mode and key within `twin` is the same and goes. Of what is left, a walk
+    from the mapped ones on, by id, keeps a station and drops those of its mode within `apart`. Ids are unique in a table.
+    """
+    from placeframe.operators.graph import thinned
+
+    same = spatial.within(listed.select("id", "x", "y"), mapped.select("id", "x", "y"), twin)
+    names = [t.select(F.col("id").alias(i), F.col("mode").alias(f"m{i}"), F.col("key").alias(f"k{i}")) for t, i in ((listed, "id"), (mapped, "other"))]
+    twins = same.join(names[0], "id").join(names[1], "other").where("mid = mother AND kid = kother").select("id").distinct()
+    both = mapped.withColumn("source", F.lit("mapped")).unionByName(listed.join(twins, "id", "left_anti").withColumn("source", F.lit("listed")))
+    key = F.col("id") * 2 + (F.col("source") == "listed").cast("int")
+    own = both.withColumns({"_id": key, "priority": F.when(F.col("source") == "mapped", 1).otherwise(0)})
+    at = own.select(F.col("_id").alias("id"), "x", "y")
+    modes = [own.select(F.col("_id").alias(i), F.col("mode").alias(f"m{i}")) for i in ("id", "other")]
+    near = spatial.within(at, at, apart).where("id < other").join(modes[0], "id").join(modes[1], "other").where("mid = mother")
+    kept = thinned(own.select(F.col("_id").alias("id"), "priority"), near.select(F.col("id").alias("a"), F.col("other").alias("b")))
+    return own.join(kept.select(F.col("id").alias("_id")), "_id", "left_semi").select("id", "mode", "key", "x", "y", "source")
+
+
+def standard_columns(rows: DataFrame, missing: tuple[str, ...] = ("", "na", "n/a", "null", "none", "-")) -> DataFrame:
+    """Columns as text under plain names: lower case, letters and digits, _2, _3 on a repeated one; missing marks are null."""
+    import re
+
+    seen: dict[str, int] = {}
+    names = []
+    for c in rows.columns:
+        plain = re.sub("[^a-z0-9]+", "_", c.lower()).strip("_") or "column"
+        seen[plain] = seen.get(plain, 0) + 1
+        names.append(plain if seen[plain] == 1 else f"{plain}_{seen[plain]}")
+    out = rows.toDF(*[f"c{i}" for i in range(len(names))])
+    text = lambda i: F.trim(F.col(f"c{i}").cast("string"))
+    return out.select(*[F.when(~F.lower(text(i)).isin(*missing), text(i)).alias(n) for i, n in enumerate(names)])

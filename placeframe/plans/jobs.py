@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from placeframe.config import SCORING
 from placeframe.functions import geo, text
 from placeframe.functions import scoring as S
-from placeframe.operators import areas, events, feeds, graph, spatial
+from placeframe.operators import areas, events, feeds, graph, roads, spatial
 from placeframe.plans import places, scores, views
+from placeframe.plans.roads import _E, _elements
 from placeframe.plans.scores import _BANDS, _F, _case
 from placeframe.plans.views import read, with_
 from placeframe.sources import readers, writers
@@ -283,3 +284,50 @@ def s13_s14_pixel_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = 0.025  # the window's corners are centres of pixels
     own = readers.pixels(grid, (68.0, 37.0), (0.05, -0.05), (72 + half, 22 - half, 80 + half, 32 - half))
     return own.withColumns({c: F.round(c, 6) for c in ("lon", "lat")})
+
+
+@query(f"""{_E}, k AS (SELECT way_id, CASE highway WHEN 'motorway' THEN 'expressway' WHEN 'trunk' THEN 'highway' WHEN 'construction' THEN 'building' END AS kind, CASE WHEN length(ref) <= 6 THEN ref END AS ref FROM e WHERE highway <> 'residential'),
+f AS (SELECT l_orderkey AS way_id, 'NH' || min(l_suppkey) AS given FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), g AS ({SQL["g2_ellipsoid_lengths"]})
+SELECT way_id, kind, coalesce(ref, given) AS ref, km FROM k JOIN g USING (way_id) LEFT JOIN f USING (way_id)""")
+def c11_road_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _road_job(spark, sf_dir)["roads"].select("way_id", "kind", "ref", F.round("km", 4).alias("km"))
+
+
+@query()
+def c11_road_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ways have each fault."""
+    return _road_job(spark, sf_dir)["errors"].groupBy("reason").agg(F.count(F.lit(1)).alias("ways"))
+
+
+def _road_job(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    relations = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("relation_id"), F.concat(F.lit("NH"), F.col("l_suppkey").cast("string")).alias("ref"), F.col("l_orderkey").alias("way_id"))
+    return roads.road_job(_elements(spark, sf_dir), relations, views.way_nodes(spark, sf_dir), places._polygons(spark, sf_dir), _BOX, 0.05, 0.5, 1.0)
+
+
+@query()
+def c10_station_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as mapped stations, customers of one market as listed ones."""
+    t = views.targets(spark, sf_dir).select("id", F.col("kind").alias("mode"), (F.col("id") % 5).cast("string").alias("key"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    p = places._points(spark, sf_dir).select("id", F.when(F.col("id") % 2 == 0, "rail").otherwise("metro").alias("mode"), (F.col("id") % 5).cast("string").alias("key"), "x", "y")
+    return areas.stations(p, t, 1.2, 0.3)
+
+
+@query("""SELECT c_custkey::VARCHAR AS customer_no, nullif(c_mktsegment, 'BUILDING') AS segment, CASE WHEN c_nationkey % 4 <> 0 THEN 'N' || c_nationkey END AS segment_2 FROM customer""")
+def p16_standard_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    segment = F.when(F.col("c_mktsegment") == "BUILDING", " N/A ").otherwise(F.concat(F.lit(" "), "c_mktsegment"))
+    nation = F.when(F.col("c_nationkey") % 4 == 0, "-").otherwise(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")))
+    return areas.standard_columns(c.select(F.col("c_custkey").alias("Customer (No.)"), segment.alias("Segment"), nation.alias("SEGMENT ")))
+
+
+@query("""SELECT o_orderkey AS id, 'A' || o_orderkey AS name, o_custkey AS population FROM orders WHERE o_orderstatus = 'F' AND o_custkey >= 50""")
+def s4_gazetteer_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the lines of a tab-separated dump, read as places of one country."""
+    given = {"country": F.when(F.col("o_orderstatus") == "F", "IN").otherwise("XX"), "population": F.col("o_custkey").cast("string")}
+    columns = [c.strip().split()[0] for c in readers.GAZETTEER.split(",")]
+    number, name = F.col("o_orderkey").cast("string"), F.concat(F.lit("A"), F.col("o_orderkey").cast("string"))
+    line = F.concat_ws("\t", *[given.get(c, number if i == 0 else name if i == 1 else F.lit("")) for i, c in enumerate(columns)])
+    path = _folder(spark, "dump")
+    read(spark, sf_dir, "orders").select(line.alias("value")).write.text(path)
+    out = readers.gazetteer(spark, path, "IN", 50)
+    return out.select(F.col(columns[0]).cast("long").alias("id"), F.col(columns[1]).alias("name"), F.col("population").cast("long").alias("population"))

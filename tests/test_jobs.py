@@ -122,3 +122,28 @@ def test_scanned_rows(spark):
     assert tuple(row("12 Hill & Vale 1,2l3 4] O I| 7")) == ("Hill & Vale", [1213, 41, 0, 11])
     assert tuple(row("Total l0 20")) == ("Total", [10, 20])
     assert row("12 Hill 1 2 x 4 7") is None and row("") is None and row(None) is None
+
+
+def test_stations_once_for_each_place(spark):
+    mapped = spark.createDataFrame([(1, "rail", "a", 0.0, 0.0), (2, "rail", "b", 0.1, 0.0), (3, "metro", "b", 0.1, 0.0)], "id long, mode string, key string, x double, y double")
+    listed = spark.createDataFrame([(1, "rail", "a", 0.9, 0.0), (2, "rail", "c", 0.8, 0.0), (3, "metro", "d", 0.15, 0.0), (4, "rail", "z", 5.0, 5.0)], mapped.schema)
+    got = {(r["source"], r["id"]) for r in areas.stations(listed, mapped, 1.0, 0.2).collect()}
+    assert got == {("mapped", 1), ("mapped", 3), ("listed", 2), ("listed", 4)}
+
+
+def test_road_job_lists_every_fault(spark):
+    from placeframe.operators import roads
+
+    ways = spark.createDataFrame(
+        [(1, {"highway": "trunk", "ref": "NH 44"}), (2, {"highway": "trunk", "ref": "??"}), (3, {"highway": "motorway"}), (4, {"highway": "trunk"}), (5, {"highway": "path"})],
+        "way_id long, tags map<string,string>",
+    )
+    nodes = spark.createDataFrame([(w, p, 10 * w + p, x + p * 0.1, 0.5) for w, x in ((1, 0.2), (2, 0.4), (4, 50.0), (5, 0.1)) for p in (1, 2)] + [(3, 1, 31, 0.0, 0.0)], "way_id long, pos int, node_id long, lon double, lat double")
+    relations = spark.createDataFrame([(9, "NH7", 2), (8, None, 2)], "relation_id long, ref string, way_id long")
+    ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
+    states = spark.createDataFrame([("S", ring)], "name string, ring array<struct<x:double,y:double>>")
+    made = roads.road_job(ways, relations, nodes, states, (0.0, 0.0, 10.0, 10.0), 0.01, 0.5, 1.0)
+    rows = {r["way_id"]: r for r in made["roads"].collect()}
+    assert set(rows) == {1, 2, 4} and rows[1]["state"] == "S" and rows[1]["km"] == pytest.approx(11.13, abs=0.02)
+    assert (rows[1]["ref"], rows[2]["ref"], rows[2]["source"]) == ("NH44", "NH7", "relation")
+    assert {(r["way_id"], r["reason"]) for r in made["errors"].collect()} == {(2, "unparsed_ref"), (3, "incomplete_geometry"), (4, "outside_box"), (4, "no_state")}
