@@ -157,3 +157,19 @@ def standard_columns(rows: DataFrame, missing: tuple[str, ...] = ("", "na", "n/a
     out = rows.toDF(*[f"c{i}" for i in range(len(names))])
     text = lambda i: F.trim(F.col(f"c{i}").cast("string"))
     return out.select(*[F.when(~F.lower(text(i)).isin(*missing), text(i)).alias(n) for i, n in enumerate(names)])
+
+
+def below_header(lines: DataFrame, least: int = 3) -> DataFrame:
+    """file, line, values (header -> cell) of lines(file, line, cells) below each file's header.
+
+    The header is the first line with `least` cells or more that hold something, else the file's first line. Blank cells
+    are null; cells under a blank header, and of a repeated header all but the first, are left out.
+    """
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    own = lines.select("file", "line", F.transform("cells", blank).alias("cells"))
+    enough = F.when(F.size(F.filter("cells", lambda c: c.isNotNull())) >= least, F.col("line"))
+    at = own.groupBy("file").agg(F.coalesce(F.min(enough), F.min("line")).alias("at"))
+    header = own.join(at, "file").where("line = at").select("file", "at", F.col("cells").alias("header"))
+    below = own.join(header, "file").where("line > at")
+    named = F.filter(F.transform("header", lambda h, i: F.struct(h.alias("h"), F.get("cells", i).alias("c"), (F.array_position("header", h) == i + 1).alias("own"))), lambda p: p["h"].isNotNull() & p["own"])
+    return below.select("file", "line", F.map_from_entries(F.transform(named, lambda p: F.struct(p["h"], p["c"]))).alias("values"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from placeframe.functions import scoring as S
 from placeframe.functions import text
-from placeframe.operators import quality, spatial
+from placeframe.operators import centres, quality, spatial
 from placeframe.operators.rank import first_per
 from placeframe.plans import views
 from placeframe.plans.views import read, with_
@@ -145,12 +145,7 @@ def r2_fill_from_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An unknown state is that of its known neighbours where they agree; three rounds."""
     k = F.col("c_custkey")
     cells = read(spark, sf_dir, "customer").select(F.floor(k / 50).alias("row"), (k % 50).alias("col"), F.when(k % 5 != 0, F.concat(F.lit("S"), F.floor(k / 400))).alias("state"))
-    nine = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    for _ in range(3):
-        near = cells.where("state IS NOT NULL").withColumn("o", F.explode(nine)).select((F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), F.col("state").alias("s"))
-        told = near.join(cells.where("state IS NULL").select("row", "col"), ["row", "col"]).groupBy("row", "col").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo = hi")
-        cells = cells.join(told.select("row", "col", "lo"), ["row", "col"], "left").select("row", "col", F.coalesce("state", "lo").alias("state"))
-    return cells
+    return centres.filled_states(cells)
 
 
 @query("""WITH s AS (SELECT n_regionkey AS k, count(*) AS cities FROM nation GROUP BY 1), c AS (SELECT n_regionkey AS k, count(*) AS customers, round(avg(c_acctbal), 4) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 2 GROUP BY 1),

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from placeframe.config import SCORING
 from placeframe.functions import geo, text
 from placeframe.functions import scoring as S
-from placeframe.operators import areas, events, feeds, graph, roads, spatial
+from placeframe.operators import areas, centres, events, feeds, graph, roads, spatial
 from placeframe.plans import places, scores, views
+from placeframe.plans.composite import _FILL
 from placeframe.plans.roads import _E, _elements
 from placeframe.plans.scores import _BANDS, _F, _case
 from placeframe.plans.views import read, with_
@@ -331,3 +332,79 @@ def s4_gazetteer_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     read(spark, sf_dir, "orders").select(line.alias("value")).write.text(path)
     out = readers.gazetteer(spark, path, "IN", 50)
     return out.select(F.col(columns[0]).cast("long").alias("id"), F.col(columns[1]).alias("name"), F.col("population").cast("long").alias("population"))
+
+
+@query("""WITH l AS (SELECT c_nationkey AS file, c_custkey AS line, CASE WHEN c_custkey % 4 = 3 THEN c_name END AS a, CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS b, 'x' || c_custkey AS c FROM customer),
+h AS (SELECT file, coalesce(min(line) FILTER (a IS NOT NULL AND b IS NOT NULL), min(line)) AS top FROM l GROUP BY 1), n AS (SELECT file, top, a, b, c FROM l JOIN h USING (file) WHERE line = top)
+SELECT file, l.line, n.c AS header, l.c AS value, CASE WHEN n.b IS NOT NULL THEN l.b END AS segment FROM l JOIN n USING (file) WHERE l.line > top""")
+def p17_header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as the lines of a workbook's sheet for each nation, read below the first line that is full."""
+    k = F.col("c_custkey")
+    cells = F.array(F.when(k % 4 == 3, F.col("c_name")), F.when(k % 2 == 1, F.col("c_mktsegment")).otherwise(" "), F.concat(F.lit("x"), k.cast("string")))
+    lines = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("file"), k.alias("line"), cells.alias("cells"))
+    names = F.map_keys("values")
+    header, segment = F.element_at(names, -1), F.when(F.size(names) > 1, F.element_at(names, -2))
+    return areas.below_header(lines).select("file", "line", header.alias("header"), F.try_element_at("values", header).alias("value"), F.try_element_at("values", segment).alias("segment"))
+
+
+_ROW, _COL = "(c_custkey // 50)", "(c_custkey % 50)"
+_IS_DENSE = f"({_ROW} // 6 + {_COL} // 9) % 3 = 0 AND ({_ROW} * 7 + {_COL} * 11) % 13 <> 0"
+
+
+@query(f"""{_FILL.replace("WITH", "WITH RECURSIVE", 1).replace("FROM customer", f"FROM customer WHERE {_IS_DENSE}", 1)},
+px AS (SELECT c_custkey // 50 AS row, c_custkey % 50 AS col, (c_custkey // 50) * 1000000 + c_custkey % 50 AS id, (c_custkey * 37 % 5000 + 1) * 100 AS people FROM customer WHERE {_IS_DENSE}),
+r(id, o) AS (SELECT id, id FROM px UNION SELECT r.id, b.id FROM r JOIN px a ON a.id = r.o JOIN px b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1),
+k AS (SELECT id, min(o) AS component FROM r GROUP BY 1), own AS (SELECT px.*, component, s3 AS state, coalesce(s3, '') AS of FROM px JOIN k USING (id) JOIN c3 ON c3.row = px.row AND c3.col = px.col),
+pieces AS (SELECT component, of, min(id) AS label, min(state) AS state, sum(people)::BIGINT AS population, count(*) AS pixels FROM own GROUP BY 1, 2 HAVING sum(people) >= 500000),
+p AS (SELECT s_suppkey AS id, (s_suppkey * 15 + s_suppkey % 15) // 50 AS row, (s_suppkey * 15 + s_suppkey % 15) % 50 AS col, s_suppkey * 37 % 5000 AS population, 'City ' || s_suppkey % 7 AS name FROM supplier),
+i AS (SELECT p.*, component, of FROM p JOIN own USING (row, col) JOIN pieces USING (component, of)), a AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY component, of ORDER BY population DESC, id) = 1),
+n AS (SELECT a.name, a.id AS anchor, pieces.*, replace(lower(a.name), ' ', '-') AS base FROM pieces JOIN a USING (component, of) WHERE state IS NOT NULL),
+f AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY base) > 1 THEN base || '-' || lower(state) ELSE base END AS whole FROM n), g AS (SELECT *, row_number() OVER (PARTITION BY whole ORDER BY population DESC, label) AS i FROM f)
+SELECT whole || CASE WHEN i > 1 THEN '-' || i ELSE '' END AS id, name, state, population, pixels, anchor, CASE WHEN population >= 2500000 THEN 'metro' WHEN population >= 1000000 THEN 'large' ELSE 'emerging' END AS tier FROM g""")
+def c6_urban_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    row, col = F.floor(k / 50), k % 50
+    dense = F.expr("(c_custkey div 50 div 6 + c_custkey % 50 div 9) % 3 = 0 AND (c_custkey div 50 * 7 + c_custkey % 50 * 11) % 13 <> 0")
+    people = F.when(dense, (k * 37 % 5000 + 1) * 100).otherwise(0)
+    px = read(spark, sf_dir, "customer").select(row.alias("row"), col.alias("col"), row.alias("y"), col.alias("x"), people.alias("people"), F.when(k % 5 != 0, F.concat(F.lit("S"), F.floor(k / 400))).alias("state"))
+    at = s * 15 + s % 15
+    there = read(spark, sf_dir, "supplier").select(s.alias("id"), F.floor(at / 50).alias("row"), (at % 50).alias("col"), F.concat(F.lit("City "), (s % 7).cast("string")).alias("name"), (s * 37 % 5000).alias("population"))
+    made = centres.urban_centres(px, there, there.select("id", "name").limit(0), 1, 500_000, 4000)
+    return made["centres"].select("id", "name", "state", "population", "pixels", "anchor", "tier")
+
+
+def _city_boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as cities of one square, and a box around it."""
+    t = views.targets(spark, sf_dir).select(F.col("id").alias("city"), _square("lon", "lat").alias("cell"), F.floor("lon").alias("x0"), F.floor("lat").alias("y0"))
+    return t, t.select("city", *[(F.col(c) - 0.125).alias(c) for c in ("x0", "y0")], *[(F.col(c) + 1.125).alias(c.replace("0", "1")) for c in ("x0", "y0")])
+
+
+@query(f"""{with_("points", "targets")}, t AS (SELECT id AS city, floor(lon) AS x, floor(lat) AS y FROM targets), s AS (SELECT city, count(*) AS n FROM t JOIN points ON floor(points.lon) = x AND floor(points.lat) = y GROUP BY 1),
+z AS (SELECT city, count(*) AS plazas FROM t JOIN points ON lon BETWEEN x - 0.125 AND x + 1.125 AND lat BETWEEN y - 0.125 AND y + 1.125 GROUP BY 1)
+SELECT city, coalesce(n, 0) AS stations, coalesce(plazas, 0) AS plazas, coalesce(city % 10 = 0 AND n IS NOT NULL, false) AS mismatch FROM t LEFT JOIN s USING (city) LEFT JOIN z USING (city)""")
+def c9_city_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as stations and plazas; every tenth city's facts count one station too many."""
+    t, boxes = _city_boxes(spark, sf_dir)
+    p = places._points(spark, sf_dir)
+    stations = p.select("id", "x", "y", _square("x", "y").alias("cell"))
+    counted = t.join(stations.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell").select("city", (F.col("n") + (F.col("city") % 10 == 0).cast("int")).alias("stations"))
+    made = centres.layers(t, stations, counted, p.select("id", "x", "y"), boxes, 1.0)
+    n = [made[k].groupBy("city").agg(F.count(F.lit(1)).alias(k)) for k in ("stations", "plazas")]
+    out = views.targets(spark, sf_dir).select(F.col("id").alias("city")).join(n[0], "city", "left").join(n[1], "city", "left")
+    wrong = made["mismatches"].select("city", F.lit(True).alias("mismatch"))
+    return out.join(wrong, "city", "left").select("city", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("stations", "plazas")], F.coalesce("mismatch", F.lit(False)).alias("mismatch"))
+
+
+@query()
+def c9_city_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the merged and simplified road lines in each city's box."""
+    ways = roads.classified(_elements(spark, sf_dir)).where("kind IN ('highway', 'expressway') AND status = 'operational'")
+    steps = roads.segments(views.way_nodes(spark, sf_dir)).join(ways.select("way_id", F.get("refs", 0).alias("ref"), "status", "kind"), "way_id")
+    return centres.city_roads(steps.drop("length", "start"), _city_boxes(spark, sf_dir)[1], 0.001, 1.0)
+
+
+@query()
+def g11_merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the lines that all ways of one status make, from junction to junction."""
+    own = roads.segments(views.way_nodes(spark, sf_dir)).join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("way_id"), F.col("o_orderstatus").alias("status")), "way_id")
+    return roads.merged(own.withColumn("id", F.col("way_id") * 1_000_000 + F.col("pos")), ["status"], 0.01)

@@ -16,6 +16,7 @@ CHECKED = [
     "c5_weight_sensitivity", "j18_area_names", "c8_city_documents", "j8_nearest_polygon", "c15_feed_job", "p25_explanations", "g4_conic_projection", "s3_tolerant_rows",
     "a6_pivot", "a8_lower_weighted_median", "c12_project_flags", "a15_delay_table", "v1_feed_issues", "w18_route_lines", "p1_state_names", "st4_daily_counts",
     "p5_way_class", "g7_line_samples", "g10_clipped_lines", "g12_carriageways", "j15_corridors", "p10_p11_name_similarity", "w20_sorted_table", "c18_station_indicators",
+    "p17_header_rows", "c6_urban_centres", "c9_city_layers", "r2_fill_from_neighbours",
 ]
 
 
