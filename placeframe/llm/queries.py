@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeframe.llm import chat, jaccard, langid, linededup, lm, media, mixing, packing, phrases, quality
+from placeframe.llm import chat, jaccard, langid, linededup, lm, media, mixing, packing, phrases, quality, simhash, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -82,7 +82,34 @@ def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "copy", "block", "place")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_media_columns, op4_best_fit_packing, op5_preference_formatting, op9_temperature_mixing, op6_ngram_jaccard_join, op7_quality_rules, op8_line_dedup, op10_language_id, media_clips)}
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_near, for documents whose id is divisible by 20: how many documents have a fingerprint within the radius, itself included."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    made = simhash.against_edits(docs, simhash.weights(docs))
+    asking = F.col("id") % 20 == 0
+    near = simhash.near_counts(made.select("id", "hi", "lo"), asking)
+    hi, lo = F.col("d.hi"), F.col("d.lo")
+    same = (hi == F.col("s.hi")) & (lo == F.col("s.lo"))
+    return made.alias("d").join(near.alias("s"), same, "left").select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256",
+        simhash.hexadecimal("d.hi", "d.lo").alias("fingerprint"), simhash.hexadecimal("edited_hi", "edited_lo").alias("edited_fingerprint"),
+        simhash.likeness(hi, lo, F.col("edited_hi"), F.col("edited_lo")).alias("near_edited"),
+        simhash.likeness(hi, lo, F.col("next_hi"), F.col("next_lo")).alias("near_next"),
+        F.when(asking, F.col("n_near")).alias("n_near"),
+    )
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each vector and component. deviation is null where it doesn't fit in a long; deviation_digits always has it."""
+    made = whitening.whiten(_read(spark, sf_dir, "embeddings"))
+    each = made.select("*", F.posexplode("whitened").alias("at", "one"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", F.expr("try_cast(deviation AS long)").alias("deviation"),
+        F.col("one").alias("whitened"), F.get("explained", "at").alias("explained"), "identity_error", F.col("deviation").cast("string").alias("deviation_digits"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_media_columns, op4_best_fit_packing, op5_preference_formatting, op9_temperature_mixing, op6_ngram_jaccard_join, op7_quality_rules, op8_line_dedup, op10_language_id, op12_document_fingerprints, op13_embedding_whitening, media_clips)}
 
 _WS = "[\\x20\\x09-\\x0D]"
 
