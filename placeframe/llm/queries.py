@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeframe.llm import chat, jaccard, langid, linededup, lm, media, mixing, packing, phrases, quality, simhash, whitening
+from placeframe.llm import chat, jaccard, langid, linededup, lm, media, mixing, packing, phrases, quality, simhash, spelling, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -82,6 +82,10 @@ def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "copy", "block", "place")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.words(_read(spark, sf_dir, "documents"), damaged=97))
+
+
 def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_near, for documents whose id is divisible by 20: how many documents have a fingerprint within the radius, itself included."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -109,7 +113,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_media_columns, op4_best_fit_packing, op5_preference_formatting, op9_temperature_mixing, op6_ngram_jaccard_join, op7_quality_rules, op8_line_dedup, op10_language_id, op12_document_fingerprints, op13_embedding_whitening, media_clips)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_media_columns, op4_best_fit_packing, op5_preference_formatting, op9_temperature_mixing, op6_ngram_jaccard_join, op7_quality_rules, op8_line_dedup, op10_language_id, op11_spelling_variants, op12_document_fingerprints, op13_embedding_whitening, media_clips)}
 
 _WS = "[\\x20\\x09-\\x0D]"
 
