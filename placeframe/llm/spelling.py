@@ -173,7 +173,8 @@ def dictionary(found: DataFrame, rare: int = RARE, most: int = MOST_GRAMS) -> Gr
 
 # --- the index and its lists ---
 
-_ENTRIES = T.StructType([T.StructField("asks", T.BooleanType()), T.StructField("key", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), T.StructField("loose", T.IntegerType())])
+_ENTRIES = T.StructType([T.StructField("asks", T.BooleanType()), T.StructField("key", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), T.StructField("letters", T.LongType()), T.StructField("loose", T.IntegerType())])
+_KINDS = (pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32())
 
 
 def _key(kind: int, length: int, p: int, gram: str) -> str:
@@ -189,6 +190,33 @@ def _questions(kind: int, s: str, grams: list[tuple[int, int]], changed: int, wo
         yield _key(kind, len(s) + 1, p + 1, s[p:e])
 
 
+def _letters(word: str) -> int:
+    """Which letters a word has, by their last six bits. One edit takes one away and brings one in at most."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def _rows(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), _KINDS, strict=True)], names=_ENTRIES.names)
+
+
+def _short_grams(s: str) -> list[tuple[int, int]]:
+    return [(p, p + SHORT) for p in range(len(s) - SHORT + 1)]
+
+
+def _short_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each word a row for each of its grams of SHORT code points."""
+    for batch in batches:
+        out: list[tuple] = []
+        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            s, letters = padded(word), _letters(word)
+            out += [(False, _key(1, len(s), p, s[p:e]), word, n, letters, None) for p, e in _short_grams(s)]
+        yield from _rows(out)
+
+
 def _entries(batches: Iterable[pa.RecordBatch], grams: Grams) -> Iterator[pa.RecordBatch]:
     """For each word a row for each of its lists, and for each list it asks. A word all of whose grams one edit might
     change asks by grams of SHORT code points (kind 1), of which one edit changes two at most; loose is its length then."""
@@ -196,18 +224,15 @@ def _entries(batches: Iterable[pa.RecordBatch], grams: Grams) -> Iterator[pa.Rec
     for batch in batches:
         out: list[tuple] = []
         for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            s = padded(word)
+            s, letters = padded(word), _letters(word)
             own = taken_apart(s, grams.longer)
             changed = most_changed(s, own, openings, endings)
-            out += [(False, _key(0, len(s), p, s[p:e]), word, n, None) for p, e in own]
+            out += [(False, _key(0, len(s), p, s[p:e]), word, n, letters, None) for p, e in own]
             if len(own) > changed:
-                out += [(True, k, word, n, None) for k in _questions(0, s, own, changed, grams.words_with)]
+                out += [(True, k, word, n, letters, None) for k in _questions(0, s, own, changed, grams.words_with)]
             else:
-                plain = [(p, p + SHORT) for p in range(len(s) - SHORT + 1)]
-                out += [(True, k, word, n, len(word)) for k in _questions(1, s, plain, SHORT, grams.words_with)]
-        if out:
-            kinds = (pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=_ENTRIES.names)
+                out += [(True, k, word, n, letters, len(word)) for k in _questions(1, s, _short_grams(s), SHORT, grams.words_with)]
+        yield from _rows(out)
 
 
 def near_pairs(found: DataFrame, rare: int = RARE, most: int = MOST_GRAMS) -> DataFrame:
@@ -219,14 +244,13 @@ def near_pairs(found: DataFrame, rare: int = RARE, most: int = MOST_GRAMS) -> Da
     entries = table(found.mapInArrow(partial(_entries, grams=grams), _ENTRIES), "entries")
     # a word without a gram that is sure to stay has few grams, so few code points: fewer than 2 LONG * LONG
     loose = sorted(r.loose for r in entries.where("loose IS NOT NULL").select("loose").distinct().collect())
-    at = F.sequence(F.lit(0), F.length("s") - SHORT)
-    plain = found.where(F.length("word").isin([*loose, *(k + 1 for k in loose)])).select("word", "n", F.concat(F.lit(FIRST), "word", F.lit(LAST)).alias("s"))
-    plain = plain.select("word", "n", F.explode(F.transform(at, lambda p: F.concat(F.lit("1"), F.length("s"), F.lit("."), p, F.substring("s", p + 1, F.lit(SHORT))))).alias("key"))
-    lists = entries.where("NOT asks").select("word", "n", "key").unionByName(plain).select(F.col("word").alias("other"), F.col("n").alias("other_n"), "key")
-    asked = entries.where("asks").select("word", "n", "key")
+    short = found.where(F.length("word").isin([*loose, *(k + 1 for k in loose)])).select("word", "n").mapInArrow(_short_lists, _ENTRIES)
+    lists = entries.where("NOT asks").unionByName(short).select(F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("letters").alias("other_letters"), "key")
+    asked = entries.where("asks").select("word", "n", "letters", "key")
     # met and verified in one step: what is met goes nowhere
     once = (F.length("word") < F.length("other")) | (F.col("word") < F.col("other"))
-    met = asked.join(lists, (asked.key == lists.key) & once & (F.levenshtein("word", "other", 1) == 1))
+    alike = F.bit_count(F.col("letters").bitwiseXOR(F.col("other_letters"))) <= 2
+    met = asked.join(lists, (asked.key == lists.key) & alike & once & (F.levenshtein("word", "other", 1) == 1))
     out = table(met.select("word", "n", "other", "other_n").distinct(), "pairs")
     release(entries)
     return out
