@@ -13,22 +13,20 @@ LEAST_CHARS, LEAST_DOCUMENTS = 1, 10
 
 def _dropped(docs: DataFrame, least_documents: int, least_chars: int) -> DataFrame:
     """row (all columns of docs as one struct, so that none can clash with a name made here), lines, n_lines, n_dropped, kept."""
-    t1, t2 = digest(F.coalesce(F.col("text").cast("string"), F.lit("")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), t1.alias("t1"), t2.alias("t2"), text.alias("text"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), digest(text).alias("t"), text.alias("text"))
     key = ascii_lower(strip(F.col("line")))
-    k1, k2 = digest(F.col("key"))
-    lines = keyed.select("id", "t1", "t2", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("key", key)
-    lines = table(lines.where(F.length("key") >= least_chars).select("id", "t1", "t2", "at", k1.alias("k1"), k2.alias("k2")), "lines")
+    lines = keyed.select("id", "t", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("key", key)
+    lines = table(lines.where(F.length("key") >= least_chars).select("id", "t", "at", digest(F.col("key")).alias("k")), "lines")
     # once for each document, and then pre-aggregated by key before the shuffle: a line of many documents is no hot key
-    seen = lines.where("id IS NOT NULL").select("k1", "k2", "id").distinct()
-    common = seen.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_documents).drop("n")
+    seen = lines.where("id IS NOT NULL").select("k", "id").distinct()
+    common = seen.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_documents).drop("n")
     # written, so that its size decides how it is joined: broadcast, or by a shuffle whose hot keys can be split
     common = table(common, "common")
-    places = lines.join(common, ["k1", "k2"]).groupBy("id", "t1", "t2").agg(F.collect_set("at").alias("places"))
+    places = lines.join(common, "k").groupBy("id", "t").agg(F.collect_set("at").alias("places"))
     places = table(places, "places")
     release(lines, common)
-    same = F.col("m.id").eqNullSafe(F.col("p.id")) & (F.col("m.t1") == F.col("p.t1")) & (F.col("m.t2") == F.col("p.t2"))
+    same = F.col("m.id").eqNullSafe(F.col("p.id")) & (F.col("m.t") == F.col("p.t"))
     joined = keyed.alias("m").join(places.alias("p"), same, "left").select("row", F.split("text", "\n").alias("lines"), F.array_sort("places").alias("places"))
     kept = F.when(F.col("places").isNull(), F.col("lines")).otherwise(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "places"), lambda at: F.get("lines", at))

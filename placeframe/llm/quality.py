@@ -17,12 +17,13 @@ from placeframe.llm.scratch import release, table
 @dataclass(frozen=True)
 class Rules:
     """A line is boilerplate of a host if at least `least_documents` of its documents have it and more than `line_share`
-    of them. A document is depleted when, without such lines, it keeps fewer than `least_words` words or less than
-    `least_share` of its words."""
+    of them. A document is depleted when, without such lines, it keeps fewer than `least_words` words, less than
+    `least_share` of its words or less than `least_lines` of its lines (those with a word)."""
 
     least_documents: int = 5
     line_share: float = 0.05
     least_share: float = 0.2
+    least_lines: float = 0.5
     least_words: int = 50
     repeat_share: float = 0.5
 
@@ -31,10 +32,11 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def text_measures(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) to the rows of docs.
+    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) to the rows of docs, and n_text_lines:
+    lines with a word.
 
-    Null text counts as empty. n_repeat_words: words covered by three-word windows found twice or more; windows are
-    compared by their 64-bit hash within one text.
+    Null text counts as empty. n_repeat_words: words covered by three-word windows found twice or more. Where hashes of two
+    windows of a text are equal, the text's windows are compared by their words.
     """
     text = F.coalesce("text", F.lit(""))
     base = docs.withColumns({"_text": text, "_w": words(text)})
@@ -47,12 +49,12 @@ def text_measures(docs: DataFrame) -> DataFrame:
             "_lines": F.filter(F.split("_text", "\n"), lambda line: F.translate(line, SPACE, "") != ""),
         }
     )
-    # only texts with a repeated window pay for the sort
+    # only texts with a repeated hash pay for the sort; words hold no blank, so windows with one text have the same words
     base = base.withColumn(
         "_s",
         F.when(
             F.size(F.array_distinct("_h")) < F.size("_h"),
-            F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("at")))),
+            F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), F.concat_ws(" ", F.slice("_w", i + 1, 3)).alias("g"), i.alias("at")))),
         ),
     )
     base = base.withColumn("_at", F.sort_array(F.filter(F.transform("_s", _where_repeated), lambda at: at.isNotNull())))
@@ -68,41 +70,41 @@ def text_measures(docs: DataFrame) -> DataFrame:
             "n_symbols": (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
+            "n_text_lines": F.size("_lines").cast("long"),
         }
     ).drop("_text", "_w", "_h", "_lines", "_s", "_at")
 
 
 def _where_repeated(e: Column, j: Column) -> Column:
-    """The window's place if its neighbour in hash order is the same window."""
-    same = (F.get("_s", j - 1)["h"] == e["h"]) | (F.get("_s", j + 1)["h"] == e["h"])
+    """The window's place if its neighbour in the order of hashes and words is the same window."""
+    same = (F.get("_s", j - 1)["g"] == e["g"]) | (F.get("_s", j + 1)["g"] == e["g"])
     return F.when(same, e["at"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """row: all columns of docs as one struct, so that none can clash with a name made here; id, host, t1, t2, text."""
-    t1, t2 = digest(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    """row: all columns of docs as one struct, so that none can clash with a name made here; id, host, t, text."""
+    t = digest(F.coalesce(F.col("text").cast("string"), F.lit("")))
     host = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), host.alias("host"), t1.alias("t1"), t2.alias("t2"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), host.alias("host"), t.alias("t"), F.col("text").cast("string").alias("text"))
 
 
 def common_lines(keyed: DataFrame, rules: Rules) -> DataFrame:
-    """id, host, t1, t2, places and n_common: where the lines above the host's limit are, and how many words they hold.
+    """id, host, t, places and n_common: where the lines above the host's limit are, and how many words they hold.
 
-    keyed: id, host, t1, t2, text. A line counts once for each document (id) of the host; rows without id are no
+    keyed: id, host, t, text. A line counts once for each document (id) of the host; rows without id are no
     document of their own. Lines are hashed once, into a written table; counts are pre-aggregated before the shuffle by line.
     """
-    lines = keyed.where(F.col("text").isNotNull()).select("id", "host", "t1", "t2", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = keyed.where(F.col("text").isNotNull()).select("id", "host", "t", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     lines = lines.withColumn("key", ascii_lower(strip(F.col("line")))).where(F.col("key") != "")
-    l1, l2 = digest(F.col("key"))
-    lines = table(lines.select("id", "host", "t1", "t2", "at", l1.alias("l1"), l2.alias("l2"), F.size(words(F.col("line"))).alias("n")), "lines")
-    seen = lines.where("id IS NOT NULL").select("host", "l1", "l2", "id").distinct()
-    often = seen.groupBy("host", "l1", "l2").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= rules.least_documents)
+    lines = table(lines.select("id", "host", "t", "at", digest(F.col("key")).alias("l"), F.size(words(F.col("line"))).alias("n")), "lines")
+    seen = lines.where("id IS NOT NULL").select("host", "l", "id").distinct()
+    often = seen.groupBy("host", "l").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= rules.least_documents)
     hosts = table(keyed.where("id IS NOT NULL").select("host", "id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of")), "hosts")
     # written, so that its size decides how it is joined: broadcast, or by a shuffle whose hot keys can be split
     common = often.join(hosts, "host").where(F.col("documents") > rules.line_share * F.col("of"))
-    common = table(common.select("host", "l1", "l2"), "common")
-    places = lines.join(common, ["host", "l1", "l2"]).select("id", "host", "t1", "t2", "at", "n").distinct()
-    places = places.groupBy("id", "host", "t1", "t2").agg(F.collect_list("at").alias("places"), F.sum("n").alias("n_common"))
+    common = table(common.select("host", "l"), "common")
+    places = lines.join(common, ["host", "l"]).select("id", "host", "t", "at", "n").distinct()
+    places = places.groupBy("id", "host", "t").agg(F.collect_list("at").alias("places"), F.sum("n").alias("n_common"))
     places = table(places, "places")
     release(lines, common, hosts)
     return places
@@ -110,7 +112,7 @@ def common_lines(keyed: DataFrame, rules: Rules) -> DataFrame:
 
 def _same(a: str, b: str) -> Column:
     same = F.lit(True)
-    for c in ("id", "host", "t1", "t2"):
+    for c in ("id", "host", "t"):
         same &= F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
     return same
 
@@ -129,10 +131,11 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     failed = (F.col("n_words") < rules.least_words) | (F.col("n_repeat_words") > rules.repeat_share * F.col("n_words"))
     n_common = F.coalesce("p.n_common", F.lit(0)).cast("long")
     left = F.col("n_words") - n_common
-    depleted = (left < rules.least_words) | (left < rules.least_share * F.col("n_words"))
+    n_common_lines = F.coalesce(F.size("p.places"), F.lit(0)).cast("long")
+    depleted = (left < rules.least_words) | (left < rules.least_share * F.col("n_words")) | (F.col("n_text_lines") - n_common_lines < rules.least_lines * F.col("n_text_lines"))
     made = [
         *MEASURES,
-        F.coalesce(F.size("p.places"), F.lit(0)).cast("long").alias("n_common_lines"),
+        n_common_lines.alias("n_common_lines"),
         n_common.alias("n_common"),
         failed.alias("base_failed"),
         (~failed & ~depleted).alias("kept"),
@@ -158,7 +161,7 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     pushed into them and compute each measure again wherever it is named.
     """
     keyed = _keyed(docs)
-    narrow = keyed.select(F.col("id").alias("doc_id"), F.col("host").alias("source"), "text", "t1", "t2")
-    verdicts = table(judge(narrow, rules).select(F.col("doc_id").alias("id"), F.col("source").alias("host"), "t1", "t2", "kept"), "verdicts")
+    narrow = keyed.select(F.col("id").alias("doc_id"), F.col("host").alias("source"), "text", "t")
+    verdicts = table(judge(narrow, rules).select(F.col("doc_id").alias("id"), F.col("source").alias("host"), "t", "kept"), "verdicts")
     kept = verdicts.where("kept").drop("kept").distinct()
     return keyed.alias("m").join(kept.alias("p"), _same("m", "p"), "left_semi").select("row.*")

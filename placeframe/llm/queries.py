@@ -176,7 +176,7 @@ win AS (SELECT doc_id, i, w[i] || chr(1) || w[i+1] || chr(1) || w[i+2] AS g
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM rep, unnest([0, 1, 2]) AS o(k) GROUP BY doc_id),
 lines AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) AS n_text_lines FROM lines
         WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
 keyed AS (SELECT doc_id, host, text, translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)),
                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k,
@@ -189,11 +189,13 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words,
              length(regexp_replace(text, '{_WS}', '', 'g'))::BIGINT AS word_chars,
              (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-             coalesce(gone.lines, 0)::BIGINT AS n_common_lines, coalesce(gone.n, 0)::BIGINT AS n_common
+             coalesce(gone.lines, 0)::BIGINT AS n_common_lines, coalesce(gone.n, 0)::BIGINT AS n_common,
+             coalesce(n_text_lines, 0) AS n_text_lines
       FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_common_lines, n_common, base_failed,
-       NOT base_failed AND n_words - n_common >= 50 AND 10 * (n_words - n_common) >= 2 * n_words AS kept FROM f
+       NOT base_failed AND n_words - n_common >= 50 AND 10 * (n_words - n_common) >= 2 * n_words
+         AND 2 * (n_text_lines - n_common_lines) >= n_text_lines AS kept FROM f
 """,
     "op8_line_dedup": """
 WITH lines AS (SELECT doc_id, unnest(s) AS line, unnest(range(len(s))) AS pos

@@ -150,3 +150,25 @@ def test_mixture_of_odd_tables(spark):
     assert mixing.mixed(d).columns == d.columns and mixing.mixed(d).count() >= 3
     assert mixing.mixed(d.limit(0)).count() == 0
     assert mixing.mix(d, budget=0).count() == 0
+
+
+#: Two lines whose 64-bit xxHash is the same for the seeds 42 and that of hash("second", ...): found on purpose.
+COLLIDE = ["]>.c$#$\"~,[-]+2+s?krm6ds1y<0ro0`~~u6dth2^@k!9~s#$@\\;7_3:]b[t6hyp", "k<q$~=sz~,[-]+2+s?krm6ds1y<0ro0`.\"*?2!&y^@k!9~s#$@\\;7_3:]b[t6hyp"]
+
+
+def test_lines_and_windows_whose_hashes_meet_are_told_apart(spark):
+    x, y = COLLIDE
+    assert spark.range(1).select(F.xxhash64(F.lit(x)) == F.xxhash64(F.lit(y))).first()[0]
+    d = spark.createDataFrame([(i, x if i < 9 else y, "s") for i in range(10)], "doc_id long, text string, source string")
+    assert all(r.n_dropped == 0 for r in linededup.drop_common_lines(d).collect())
+    words = " ".join(f"w{k}" for k in range(60))
+    d = spark.createDataFrame([(0, f"{x} p q {words} {y} p q", "s"), (1, f"{x} p q {words} {y} p q {words} {x} p q", "s")], "doc_id long, text string, source string")
+    made = {r.doc_id: r.n_repeat_words for r in quality.text_measures(d).collect()}
+    assert made == {i: measures(r.text)[4] for i, r in enumerate(d.orderBy("doc_id").collect())} and made[0] == 0
+
+
+def test_documents_of_mostly_common_lines_are_depleted(spark):
+    body = " ".join(f"w{k}" for k in range(60))
+    texts = [f"{body} own{i}\nmenu\n" + (f"footer\n \nown{i}" if i % 2 else "footer\n ") for i in range(8)]
+    d = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {r.doc_id: r.kept for r in quality.judge(d).collect()} == {i: i % 2 == 1 for i in range(8)}
