@@ -28,3 +28,8 @@ def strip(text: Column) -> Column:
 def digest(text: Column) -> Column:
     """SHA-256 in 32 bytes: texts and lines with one digest are taken for the same, and nobody can make two that have one."""
     return F.unhex(F.sha2(text, 256))
+
+
+def hashes(*cols: Column) -> list[Column]:
+    """Two 64-bit hashes with fixed seeds, where a key is to be short and equal ones by design do no harm."""
+    return [F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols)]

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placeframe.llm import tokens
-from placeframe.llm.columns import digest
+from placeframe.llm.columns import hashes
 from placeframe.llm.graph import components
 from placeframe.llm.meeting import shared_counts, shared_keys
 from placeframe.llm.scratch import release, stored_bytes, table
@@ -323,7 +323,7 @@ def _texts(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _different(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Two written tables: a row for each of docs, and the different sets, each with an id and its first document."""
-    t1, t2 = digest(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    t1, t2 = hashes(F.coalesce(F.col("text").cast("string"), F.lit("")))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), F.col("text").cast("string").alias("text"))
     rows = table(docs.mapInArrow(partial(_sets, size=size), _SETS), "sets")
     first = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("v1", "v2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
@@ -413,7 +413,7 @@ def keep_one(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     kept = table(led.unionByName(bare), "kept")
     release(rows, named)
     # the row goes along whole, so that no column of docs can clash with a name made here
-    t1, t2 = digest(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    t1, t2 = hashes(F.coalesce(F.col("text").cast("string"), F.lit("")))
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"))
     few = stored_bytes(kept) <= BROADCAST_BYTES
     joined = whole.join(F.broadcast(kept) if few else kept, ["doc_id", "t1", "t2"])
