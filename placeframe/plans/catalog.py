@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from placeframe.plans import composite, jobs, more, places, roads, scores, tables
+from placeframe.plans import composite, jobs, more, places, roads, scores, streams, tables
 
 QUERIES, SQL = {}, {}
-for part in (scores, places, tables, more, composite, roads, jobs):
+for part in (scores, places, tables, more, composite, roads, jobs, streams):
     QUERIES |= part.QUERIES
     SQL |= part.SQL

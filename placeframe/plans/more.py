@@ -240,10 +240,3 @@ def s9_release_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from placeframe.sources import readers
 
     return readers.releases(read(spark, sf_dir, "pages"))
-
-
-@query()
-def st3_request_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from placeframe.streaming import jobs
-
-    return jobs.budget(read(spark, sf_dir, "events"), "user_id", 3, 86_400)

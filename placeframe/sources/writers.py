@@ -4,32 +4,49 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placeframe.sources.commits import Commits
+
 
 class TooLarge(ValueError):
     """What was to be published is larger than its budget."""
 
 
-def publish(tables: dict[str, DataFrame], folder: str, budget: int | None = None) -> None:
-    """Writes all tables, or none, as folder/<name>: first to a staging folder, checked for size, then renamed."""
+def publish(tables: dict[str, DataFrame], folder: str, budget: int | None = None) -> int:
+    """Publishes all tables, or none, and gives the number of the set; published() reads one.
+
+    A set is a folder of its own that nobody reads while it is written. Its size is checked, and one commit record, the last
+    step, makes it the set that is read. Whatever stops before that leaves the set before as it was. The set before stays for
+    readers that began with it; older sets and unfinished ones go. One publisher at a time: of two the second one fails.
+    """
     spark = next(iter(tables.values())).sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    staging = path(f"{folder}/.staging-{uuid.uuid4().hex}")
-    fs = staging.getFileSystem(conf)
+    commits = Commits(spark, folder)
+    number, before = commits.last()
+    name = f"sets/{number + 1}-{uuid.uuid4().hex}"
     try:
-        for name, df in tables.items():
-            df.write.parquet(f"{staging}/{name}")
-        size = fs.getContentSummary(staging).getLength()
+        for table, df in tables.items():
+            df.write.parquet(f"{commits.folder}/{name}/{table}")
+        size = commits.size(name)
         if budget is not None and size > budget:
             raise TooLarge(f"{size} bytes are more than {budget}")
-        for name in tables:
-            fs.delete(path(f"{folder}/{name}"), True)
-            fs.rename(path(f"{staging}/{name}"), path(f"{folder}/{name}"))
-    finally:
-        fs.delete(staging, True)
+        commits.add(number + 1, {"set": name, "tables": sorted(tables), "bytes": size})
+    except BaseException:
+        commits.delete(name)
+        raise
+    for old in commits.folders("sets"):
+        if f"sets/{old}" not in (name, before.get("set")):
+            commits.delete(f"sets/{old}")
+    commits.forget(number)
+    return number + 1
+
+
+def published(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the set published last, all of one set; none before the first."""
+    commits = Commits(spark, folder)
+    _, record = commits.last()
+    return {t: spark.read.parquet(f"{commits.folder}/{record['set']}/{t}") for t in record.get("tables", [])}
 
 
 def features(rows: DataFrame, kind: str, coordinates: str, *properties: str) -> DataFrame:

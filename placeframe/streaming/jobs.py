@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
-from placeframe.operators.rank import first_per
-
 
 def _timed(events: DataFrame) -> DataFrame:
     """A watermark needs a timestamp with a time zone."""
@@ -36,19 +35,37 @@ def unseen(docs: DataFrame, key: str = "doc_id", late: str = "1 day") -> DataFra
     return _timed(docs).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def upsert(batches: DataFrame, path: str, key: str, *order: F.Column, checkpoint: str) -> DataStreamWriter:
-    """Keeps, for each key, the first row in the order over all that has come: versions of a table under `path`.
+def arrivals(tables: list[DataFrame], folder: str, files: int = 1) -> DataFrame:
+    """A stream of the rows of tables that arrive one after the other, `files` files at a time."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        t.write.mode("append").parquet(folder)
+    return spark.readStream.schema(tables[0].schema).option("maxFilesPerTrigger", files).parquet(folder)
 
-    A batch writes version <id> from the one before it and its own rows, so that a repeated batch writes the same again.
-    """
 
-    def merge(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        if batch:
-            rows = spark.read.schema(rows.schema).parquet(f"{path}/version={batch - 1}").unionByName(rows)
-        first_per(rows, [key], *order).write.mode("overwrite").parquet(f"{path}/version={batch}")
+def finished(writer: DataStreamWriter) -> None:
+    """Runs a stream over all that has arrived, batch by batch, and ends."""
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def appended(rows: DataFrame, folder: str) -> DataFrame:
+    """What a stream, run over all that has arrived, appends: each row once, whatever is done again."""
+    finished(rows.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint"))
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
 
-    return batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which state by key needs."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
 
 
 class _Budget(StatefulProcessor):

@@ -3,7 +3,9 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from placeframe.sources.commits import Commits
 from placeframe.sources import readers, writers
 
 
@@ -60,14 +62,39 @@ def test_news_in_either_form(spark, tmp_path):
     assert made == [("u1", "a", "s", "d"), ("u2", "b", None, None)]
 
 
-def test_publish_is_all_or_nothing(spark, tmp_path):
+def test_publish_is_all_or_nothing(spark, tmp_path, monkeypatch):
     out = str(tmp_path / "out")
     df = spark.range(10).toDF("id")
-    writers.publish({"a": df, "b": df}, out)
-    assert spark.read.parquet(f"{out}/b").count() == 10
+    assert writers.published(spark, out) == {}
+    assert writers.publish({"a": df, "b": df}, out) == 0
     with pytest.raises(writers.TooLarge):
-        writers.publish({"a": df.limit(1)}, out, budget=1)
-    assert spark.read.parquet(f"{out}/a").count() == 10 and not list((tmp_path / "out").glob(".staging*"))
+        writers.publish({"a": df.limit(1), "b": df.limit(1)}, out, budget=1)
+    bad = df.select(F.raise_error(F.lit("stopped")).alias("id"))
+    with pytest.raises(Exception, match="stopped"):  # between two tables
+        writers.publish({"a": df.limit(1), "b": bad}, out)
+    with monkeypatch.context() as m:
+
+        def stops(*_):
+            raise RuntimeError("stopped")
+
+        m.setattr(writers.Commits, "add", stops)
+        with pytest.raises(RuntimeError):
+            writers.publish({"a": df.limit(1), "b": df.limit(1)}, out)
+    seen = writers.published(spark, out)
+    assert {k: t.count() for k, t in seen.items()} == {"a": 10, "b": 10} and len(list((tmp_path / "out/sets").iterdir())) == 1
+    for n in (3, 4, 5):
+        writers.publish({"a": df.limit(n), "c": df.limit(n)}, out)
+    assert {k: t.count() for k, t in writers.published(spark, out).items()} == {"a": 5, "c": 5}
+    assert len(list((tmp_path / "out/sets").iterdir())) == 2  # this one and the one before
+
+
+def test_of_two_publishers_one_fails(spark, tmp_path):
+    commits = Commits(spark, str(tmp_path / "c"))
+    assert commits.last() == (-1, {})
+    commits.add(0, {"x": "é"})
+    with pytest.raises(FileExistsError):
+        commits.add(0, {"x": 2})
+    assert commits.last() == (0, {"x": "é"})
 
 
 def test_manifest_and_changes(spark, tmp_path):

@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from placeframe.plans import streams
 from placeframe.streaming import jobs
+from placeframe.streaming.keyed import KeyedTable
 
 
 def streamed(spark, tmp_path, sf):
@@ -23,19 +27,91 @@ def test_windows_on_a_stream_are_those_of_the_table(spark, tmp_path, sf):
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, table.collect()))
 
 
-def test_upsert_keeps_the_best_and_repeats_itself(spark, tmp_path, sf):
-    out = str(tmp_path / "out")
-    q = jobs.upsert(streamed(spark, tmp_path, sf), out, "user_id", F.desc("value"), F.desc("event_id"), checkpoint=str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").glob("version=*"))
-    made = {(r.user_id, r.event_id) for r in spark.read.parquet(f"{out}/version={last}").collect()}
-    rows = spark.read.parquet(f"{sf}/events.parquet").collect()
+SCHEMA = "k long, v long, name string"
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_keyed_table_keeps_the_best_and_takes_each_batch_once(spark, tmp_path):
+    frame = lambda *rows: spark.createDataFrame(list(rows), SCHEMA)
+    kept = KeyedTable(spark, str(tmp_path / "t"), frame((1, 1, "")).schema, ["k"], ("v", "name"), buckets=4)
+    assert kept.read().count() == 0
+    kept.merge(frame((1, 5, "a"), (2, 5, "b"), (None, 1, "n"), (1, 5, "c"), (3, None, "x")), 0)
+    kept.merge(frame((1, 9, "d"), (2, 4, "e"), (None, 2, "m"), (3, None, "y")), 1)
+    want = sorted([(1, 9, "d"), (2, 5, "b"), (None, 2, "m"), (3, None, "y")], key=str)
+    assert rows_of(kept.read()) == want
+    kept.merge(frame((1, 99, "again")), 1)  # a batch that has its record is skipped, whatever it holds
+    kept.merge(frame((1, 99, "older")), 0)
+    assert rows_of(kept.read()) == want
+    kept.merge(frame((1, 99, "")).limit(0), 2)
+    assert rows_of(kept.read()) == want and kept.commits.numbers() == [1, 2]
+
+
+def test_a_batch_that_stops_before_its_record_changes_nothing(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(i, i % 7, f"n{i}") for i in range(200)], SCHEMA)
+    kept = KeyedTable(spark, str(tmp_path / "t"), rows.schema, ["k"], ("v", "name"))
+    kept.merge(rows, 0)
+    later = rows.where("k < 50").withColumn("v", F.col("v") + 10)
+
+    def stops(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(kept.commits, "add", stops)
+        with pytest.raises(RuntimeError):
+            kept.merge(later, 1)
+    assert rows_of(kept.read()) == rows_of(rows)
+    kept.merge(later, 1)
+    assert rows_of(kept.read()) == rows_of(later.unionByName(rows.where("k >= 50")))
+    assert len(kept.commits.folders("data")) == 2  # what the stopped batch wrote is gone
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i, "") for i in range(400)], SCHEMA)
+    kept = KeyedTable(spark, str(tmp_path / "t"), rows.schema, ["k"], ("v",), buckets=16)
+    kept.merge(rows, 0)
+    kept.merge(spark.createDataFrame([(7, 900, "")], SCHEMA), 1)
+    folders = set(kept.commits.read(1)["held"].values())
+    new = next(f for f in folders if f.startswith("data/1-"))
+    assert len(list((tmp_path / "t" / new).glob("_bucket=*"))) == 1
+    assert rows_of(kept.read()) == rows_of(rows.where("k <> 7").unionByName(spark.createDataFrame([(7, 900, "")], SCHEMA)))
+
+
+def test_intake_takes_unseen_keys_only(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, "first"), (2, 1, "first")], SCHEMA)
+    taken = KeyedTable(spark, str(tmp_path / "t"), rows.schema, ["k"])
+    taken.merge(rows, 0)
+    taken.merge(spark.createDataFrame([(2, 9, "second"), (3, 9, "second")], SCHEMA), 1)
+    assert rows_of(taken.read()) == [(1, 1, "first"), (2, 1, "first"), (3, 9, "second")]
+
+
+def test_a_stream_that_is_begun_again_goes_on(spark, tmp_path, sf):
+    """The same checkpoint and table, with files that arrive between two runs."""
+    events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", "value")
+    kept = KeyedTable(spark, str(tmp_path / "t"), events.schema, ["user_id"], ("value", "event_id"))
+    for part in (events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")):
+        stream = jobs.arrivals([part.repartition(2)], str(tmp_path / "in"))
+        jobs.finished(kept.sink(stream, str(tmp_path / "cp")))
     best = {}
-    for r in rows:
+    for r in events.collect():
         if r.user_id not in best or (r.value, r.event_id) > best[r.user_id]:
             best[r.user_id] = (r.value, r.event_id)
-    assert made == {(u, e) for u, (_, e) in best.items()}
+    assert {(r.user_id, (r.value, r.event_id)) for r in kept.read().collect()} == set(best.items())
+    assert kept.commits.last()[0] == 3
+
+
+@pytest.mark.parametrize("name", list(streams.QUERIES))
+def test_stream_queries_meet_their_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "events", "nation", "customer", "supplier"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    made = streams.QUERIES[name](spark, sf)
+    columns = sorted(made.columns)
+    names = ", ".join(f'"{c}"' for c in columns)
+    want = con.sql(f"SELECT {names} FROM ({streams.SQL[name]})").fetchall()
+    assert sorted(map(str, map(tuple, made.select(*columns).collect()))) == sorted(map(str, want)) and want
 
 
 def test_unseen_rows_come_once(spark, tmp_path, sf):
