@@ -98,31 +98,6 @@ def sensitivity(members: DataFrame, cfg: Scoring, weightings: list[tuple[str, in
     return stay.agg((F.count("own") / F.count(F.lit(1))).alias("share")).groupBy("preset").agg(F.avg("share").alias("retention"))
 
 
-def matched(rows: DataFrame, codes: DataFrame, least: float) -> DataFrame:
-    """id, code, score: each of rows(id, place, key, state), in the order of place, takes the best code not taken yet.
-
-    codes(code, key, state). Ties of score go to the larger code. All rows ask for their best code at once; a code keeps
-    the first in order and never takes a later one, whose pairs with it go. What is left when nothing goes is what the
-    walk in order gives, and no state is held by one task. All rows and codes of a state are compared: a state is a small
-    place, or its codes are blocked further.
-    """
-    from placeframe.functions.text import name_similarity
-    from placeframe.storage import release, table
-
-    there = codes.select("code", F.col("key").alias("ckey"), "state")
-    score = name_similarity(F.col("key"), F.col("ckey"))
-    pairs = table(rows.join(there, "state").select("id", "place", "code", score.alias("score")).where(F.col("score") >= least), "pairs")
-    while True:
-        best = first_per(pairs, ["id"], F.desc("score"), F.desc("code"))
-        holder = best.groupBy("code").agg(F.min(F.struct("place", "id")).alias("h"))
-        left = table(pairs.join(holder, "code", "left").where(F.col("h").isNull() | (F.struct("place", "id") <= F.col("h"))).drop("h"), "pairs")
-        done = left.count() == pairs.count()
-        release(pairs)
-        pairs = left
-        if done:
-            return first_per(pairs, ["id"], F.desc("score"), F.desc("code")).select("id", "code", "score")
-
-
 def stations(listed: DataFrame, mapped: DataFrame, twin: float, apart: float) -> DataFrame:
     """id, mode, key, x, y, source: the stations of both tables (id, mode, key, x, y), each place once for its mode.
 

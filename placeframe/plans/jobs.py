@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from placeframe.config import SCORING
 from placeframe.functions import geo, text
 from placeframe.functions import scoring as S
-from placeframe.operators import areas, centres, events, feeds, graph, roads, spatial
+from placeframe.operators import areas, centres, events, feeds, graph, names, roads, spatial
 from placeframe.plans import places, scores, views
 from placeframe.plans.composite import _FILL
 from placeframe.plans.roads import _E, _elements
@@ -117,10 +117,10 @@ def j8_nearest_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def j11_fuzzy_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even parts, in the order of their keys, take codes of odd parts with a like name, among 200 neighbours."""
-    p = read(spark, sf_dir, "part").select("p_partkey", text.name_key(F.col("p_name")).alias("key"), F.floor(F.col("p_partkey") / 200).alias("state"))
+    """Even parts, in the order of their keys, take codes of odd parts of their brand with a like name."""
+    p = read(spark, sf_dir, "part").select("p_partkey", text.name_key(F.col("p_name")).alias("key"), F.col("p_brand").alias("state"))
     rows = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("place"), "key", "state")
-    return areas.matched(rows, p.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("code"), "key", "state"), 0.82)
+    return names.matched(rows, p.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("code"), "key", "state"), 0.82)
 
 
 @query()

@@ -198,10 +198,18 @@ def w20_sorted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(rows.withColumn("o", F.coalesce("v", F.lit(-1.0))), "place", "o", "s_suppkey").drop("o")
 
 
-@query("""WITH k AS (SELECT p_partkey, lower(p_name) AS a, lower(p_type) || ' ' || string_split(lower(p_name), ' ')[1] AS b FROM part),
+# the longest block that both names have (of equal ones the first in the one, then in the other), and so on to its left and right
+@query("""WITH RECURSIVE k AS (SELECT p_partkey AS p, lower(p_name) AS a, lower(p_type) || ' ' || string_split(lower(p_name), ' ')[1] AS b FROM part),
 w AS (SELECT *, list_distinct(string_split(a, ' ')) AS x, list_distinct(string_split(b, ' ')) AS y FROM k),
-o AS (SELECT *, CASE WHEN len(x) <= len(y) THEN x ELSE y END AS s, CASE WHEN len(x) <= len(y) THEN y ELSE x END AS l FROM w)
-SELECT p_partkey, a AS name, CASE WHEN list_has_all(l, s) AND list_max(list_transform(s, lambda v: length(v))) >= 4 THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END::DOUBLE AS similarity FROM o""")
+o AS (SELECT *, CASE WHEN len(x) <= len(y) THEN x ELSE y END AS s, CASE WHEN len(x) <= len(y) THEN y ELSE x END AS l FROM w),
+c AS (SELECT p, i, j, i - row_number() OVER (PARTITION BY p, i - j ORDER BY i) AS g FROM k, unnest(range(1, length(a) + 1)) AS u(i), unnest(range(1, length(b) + 1)) AS v(j) WHERE a[i] = b[j]),
+runs AS (SELECT p, i, j, max(i) OVER (PARTITION BY p, i - j, g) - i + 1 AS run FROM c),
+spans AS (SELECT p, 1::BIGINT AS alo, length(a) + 1 AS ahi, 1::BIGINT AS blo, length(b) + 1 AS bhi, 0::BIGINT AS m FROM k
+ UNION ALL SELECT p, CASE WHEN side = 0 THEN alo ELSE i + n END, CASE WHEN side = 0 THEN i ELSE ahi END, CASE WHEN side = 0 THEN blo ELSE j + n END, CASE WHEN side = 0 THEN j ELSE bhi END, CASE WHEN side = 0 THEN n ELSE 0 END
+ FROM (SELECT t.*, i, j, least(run, ahi - i, bhi - j) AS n FROM spans t JOIN runs r ON r.p = t.p AND i >= alo AND i < ahi AND j >= blo AND j < bhi
+       QUALIFY row_number() OVER (PARTITION BY t.p, alo, ahi, blo, bhi ORDER BY least(run, ahi - i, bhi - j) DESC, i, j) = 1), (VALUES (0), (1)) AS e(side)),
+total AS (SELECT p, sum(m) AS m FROM spans GROUP BY p)
+SELECT p AS p_partkey, a AS name, CASE WHEN list_has_all(l, s) AND list_max(list_transform(s, lambda v: length(v))) >= 4 THEN 1.0 ELSE 2.0 * m / (length(a) + length(b)) END::DOUBLE AS similarity FROM o JOIN total USING (p)""")
 def p10_p11_name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
     own = text.name_key(F.col("p_name"))

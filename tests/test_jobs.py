@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import difflib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from placeframe.functions import geo, text
-from placeframe.operators import areas, events, graph
+from placeframe.operators import areas, events, graph, names
 
 
 def one(spark, expression, value):
@@ -75,23 +76,54 @@ def test_releases_get_one_class_each(spark):
     assert events.classified(listed.limit(0), pages, rules).collect() == []
 
 
+def plain_score(a, b):
+    x, y = set(a.split()), set(b.split())
+    short, other = (x, y) if len(x) <= len(y) else (y, x)
+    if short and short <= other and max(map(len, short)) >= 4:
+        return 1.0
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def keys_alike(rng, n):
+    """Keys of one to thirty letters, many of them copies of others with letters changed, swapped, doubled or cut, or with words more."""
+    out = ["", "a", "ab", "abc", "abd", "aabb", "karnal", "kharnal toll", "x" * 9, "x" * 10]
+    while len(out) < n:
+        k = rng.choice(out) if rng.random() < 0.7 else "".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 30)))
+        i = rng.randrange(len(k) + 1)
+        k = rng.choice([k[:i] + rng.choice("abcdef") + k[i:], k[:i] + k[i + 1 :], k[:i] + k[i + 1 : i + 2] + k[i : i + 1] + k[i + 2 :], k + " " + rng.choice(["sonipat", "east", "b"]), k[i:] + k[:i], k])
+        out.append(" ".join(k.split()))
+    return out
+
+
+@pytest.mark.parametrize("least", [0.801, 0.82, 0.9, 1.0])
+def test_no_candidate_is_lost(spark, least):
+    rng = random.Random(17)
+    keys = [(k, rng.choice("xy")) for k in keys_alike(rng, 170)] + [(None, "x"), ("karnal", None)]
+    codes = [(k, rng.choice("xy")) for k in keys_alike(rng, 170)]
+    made = names.candidates(spark.createDataFrame(keys, "key string, state string"), spark.createDataFrame(codes, "key string, state string"), least)
+    scored = made.select("*", text.name_similarity(F.col("key"), F.col("ckey")).alias("score")).collect()
+    assert all(r.score == plain_score(r.key, r.ckey) for r in scored)
+    want = {(s, a, b) for a, s in keys for b, t in codes if a and b and s == t and plain_score(a, b) >= least}
+    assert want == {(r.state, r.key, r.ckey) for r in scored if r.score >= least}
+    assert len(scored) == len({(r.state, r.key, r.ckey) for r in scored})
+
+
 def test_matching_is_the_walk_in_order(spark):
     rng = random.Random(5)
-    words = ["ambala", "amballa", "amballa toll", "karnal", "karnall", "kharnal", "sonipat", "sonipath"]
+    words = ["ambala", "amballa", "amballa toll", "karnal", "karnall", "kharnal", "sonipat", "sonipath", ""]
     rows = [(i, rng.randrange(50), rng.choice(words), rng.choice("xy")) for i in range(40)]
-    codes = [(i, rng.choice(words), rng.choice("xy")) for i in range(40)]
+    codes = [(i if i % 9 else None, rng.choice(words), rng.choice("xy")) for i in range(40)]
     r = spark.createDataFrame(rows, "id long, place long, key string, state string")
     c = spark.createDataFrame(codes, "code long, key string, state string")
-    scores = r.join(c.select("code", F.col("key").alias("ck"), "state"), "state").select("id", "code", text.name_similarity(F.col("key"), F.col("ck")).alias("s")).collect()
     taken, want = set(), {}
-    for i, _, _, _ in sorted(rows, key=lambda t: (t[1], t[0])):
-        free = [(x["s"], x["code"]) for x in scores if x["id"] == i and x["s"] >= 0.82 and x["code"] not in taken]
-        if free:
+    for i, _, key, state in sorted(rows, key=lambda t: (t[1], t[0])):
+        free = [(plain_score(key, k), code) for code, k, s in codes if key and s == state and code is not None and code not in taken]
+        if free and max(free)[0] >= 0.82:
             want[i] = max(free)[1]
             taken.add(want[i])
-    got = {x["id"]: x["code"] for x in areas.matched(r, c, 0.82).collect()}
+    got = {x["id"]: x["code"] for x in names.matched(r, c, 0.82).collect()}
     assert got == want and got
-    assert areas.matched(r.limit(0), c, 0.82).collect() == []
+    assert names.matched(r.limit(0), c, 0.82).collect() == []
 
 
 def test_circuity_of_a_square(spark):
