@@ -7,14 +7,15 @@ execution splits.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placeframe.functions import geo
-from placeframe.storage import table
+from placeframe.storage import release, table
 
 
-def _bucket(v: Column | str, width: float) -> Column:
-    return F.floor((F.col(v) if isinstance(v, str) else v) / F.lit(width))
+def _bucket(v: Column | str, width: float | Column) -> Column:
+    return F.floor((F.col(v) if isinstance(v, str) else v) / (width if isinstance(width, Column) else F.lit(width)))
 
 
 def _around(rows: DataFrame, width: float) -> DataFrame:
@@ -36,48 +37,165 @@ def nearest(points: DataFrame, targets: DataFrame, width: float, most: float | N
     """id, target, dist for each of points(id, x, y): its nearest of targets(id, x, y), the smaller id on a tie.
 
     Null where there is no target, none within `most`, or a coordinate is missing. Looks into the buckets around a
-    point; a best not farther than a bucket's width is final, as all others lie beyond. The rest go on with buckets
-    twice as wide. itself=False leaves out the target with the point's own id.
+    point first; a best not farther than a bucket's width is final, as all others lie beyond. A point without one goes
+    down a pyramid of occupied cells and meets only targets in cells that may hold its nearest: where the targets are far
+    or lie in one dense place, it still meets few. itself=False leaves out the target with the point's own id.
     """
-    good = "x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)"
-    left = table(points.select("id", "x", "y").where(good), "points")
-    there = targets.select(F.col("id").alias("target"), F.col("x").alias("ox"), F.col("y").alias("oy")).where("ox IS NOT NULL AND oy IS NOT NULL")
-    ends = [f(c) for c in ("x", "y") for f in (F.min, F.max)]
-    box = left.agg(*ends).first()[:] + there.select(F.col("ox").alias("x"), F.col("oy").alias("y")).agg(*ends).first()[:]
-    known = [v for v in box if v is not None]
-    span = 2 * (max(known) - min(known)) + width if known else width
-    found = None
-    while True:
-        last = width > span or (most is not None and width >= most)
-        near = _around(left, width).join(there.withColumns({"_bx": _bucket("ox", width), "_by": _bucket("oy", width)}), ["_bx", "_by"])
-        if not itself:
-            near = near.where("id <> target")
-        dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
-        near = near.withColumn("dist", F.sqrt(dx * dx + dy * dy))
-        best = near.groupBy("id").agg(F.min(F.struct("dist", "target")).alias("b")).select("id", "b.target", "b.dist")
-        if most is not None:
-            best = best.where(F.col("dist") <= most)
-        best = table(best if last else best.where(F.col("dist") <= width), "nearest")
-        found = best if found is None else found.unionByName(best)
-        if last:
-            break
-        left = table(left.join(best, "id", "left_anti"), "points")
-        if left.isEmpty():
-            break
-        width *= 2
+    left = table(points.select("id", "x", "y").where(_placed("x", "y")), "points")
+    there = table(targets.select(F.col("id").alias("target"), F.col("x").alias("ox"), F.col("y").alias("oy")).where(_placed("ox", "oy")), "targets")
+    at = there.withColumns({"_bx": _bucket("ox", width), "_by": _bucket("oy", width)})
+    best = _best(_around(left, width).join(at, ["_bx", "_by"]), itself)
+    if most is not None:
+        best = best.where(F.col("dist") <= most)
+    if most is not None and width >= most:
+        found = table(best, "nearest")
+    else:
+        found = table(best.where(F.col("dist") <= width), "nearest")
+        far = table(left.join(found, "id", "left_anti"), "far")
+        if not far.isEmpty():
+            near, found = found, table(found.unionByName(_from_afar(far, at, width, most, itself)), "nearest")
+            release(near)
+        release(far)
+    release(left, there)
     return points.select("id").join(found, "id", "left")
 
 
+def _placed(x: str, y: str) -> Column:
+    finite = lambda c: F.abs(F.col(c)) < float("inf")
+    return F.coalesce(finite(x) & finite(y), F.lit(False))
+
+
+def _best(met: DataFrame, itself: bool) -> DataFrame:
+    met = met if itself else met.where("id <> target")
+    met = met.withColumn("dist", _apart("ox", "oy"))
+    return met.groupBy("id").agg(F.min(F.struct("dist", "target")).alias("b")).select("id", "b.target", "b.dist")
+
+
+def _apart(x: str, y: str) -> Column:
+    dx, dy = F.col("x") - F.col(x), F.col("y") - F.col(y)
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def _from_afar(far: DataFrame, at: DataFrame, width: float, most: float | None, itself: bool) -> DataFrame:
+    """nearest for points that have no target in the buckets around them, or none that is final."""
+    open_, *tables = _open_cells(far, at, width, most, itself)
+    best = _best(open_.join(at, ["_bx", "_by"]), itself)
+    best = table(best if most is None else best.where(F.col("dist") <= most), "nearest")
+    release(*tables)
+    return best
+
+
+def _open_cells(far: DataFrame, at: DataFrame, width: float, most: float | None, itself: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """id, x, y, _bx, _by: the buckets of targets that may hold a point's nearest; and the tables it reads.
+
+    Each level's cells are four times as wide as those below and know two of their targets, by which a point bounds its
+    distance. It starts on the level whose cells are as wide as its bound, where nine hold all that may be nearer; each
+    level down tightens the bound and drops the cells beyond it.
+    """
+    ends = [f(c) for c in "xy" for f in (F.min, F.max)]
+    box = [v for d in (far, at.select(F.col("ox").alias("x"), F.col("oy").alias("y"))) for v in d.agg(*ends).first() if v is not None]
+    levels = 1
+    while width * 4.0**levels <= max(box) - min(box):
+        levels += 1
+    one = F.struct(F.col("target").alias("id"), F.col("ox").alias("x"), F.col("oy").alias("y"))
+    up = at.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    wide = F.pow(F.lit(4.0), F.col("level"))
+    up = up.groupBy("level", F.floor(F.col("_bx") / wide).alias("cx"), F.floor(F.col("_by") / wide).alias("cy"))
+    cells = table(up.agg(F.min(one).alias("lo"), F.max(one).alias("hi")), "cells")
+
+    bound = F.least(_told("lo", itself), _told("hi", itself))
+    asked = far.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels))))
+    asked = _nine(asked, width * F.pow(F.lit(4.0), F.col("level"))).join(cells, ["level", "cx", "cy"])
+    asked = asked.groupBy("id", "x", "y").agg(F.min(bound).alias("bound")).where("bound IS NOT NULL")
+    if most is not None:
+        asked = asked.withColumn("bound", F.least("bound", F.lit(float(most))))
+    starts = F.lit(levels)
+    for k in range(levels - 1, 0, -1):
+        starts = F.when(F.col("bound") <= width * 4.0**k, k).otherwise(starts)
+    asked = table(asked.withColumn("level", starts), "asked")
+
+    open_ = None
+    for k in range(levels, 0, -1):
+        size = width * 4.0**k
+        own = _nine(asked.where(F.col("level") == k), F.lit(size)).join(cells.where(F.col("level") == k).select("cx", "cy"), ["cx", "cy"])
+        own = own.select("id", "x", "y", "bound", "cx", "cy").where(_beyond(size) <= F.col("bound"))
+        open_ = own if open_ is None else open_.unionByName(own)
+        below = cells.where(F.col("level") == k - 1).select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "lo", "hi", F.floor(F.col("cx") / 4).alias("cx"), F.floor(F.col("cy") / 4).alias("cy"))
+        down = open_.join(below, ["cx", "cy"]).select("id", "x", "y", F.least("bound", bound).alias("bound"), F.col("_cx").alias("cx"), F.col("_cy").alias("cy"))
+        down = down.withColumn("bound", F.min("bound").over(W.partitionBy("id")))
+        open_ = down.where(_beyond(width * 4.0 ** (k - 1)) <= F.col("bound"))
+    return open_.select("id", "x", "y", F.col("cx").alias("_bx"), F.col("cy").alias("_by")), cells, asked
+
+
+def _told(c: str, itself: bool) -> Column:
+    """Distance of one of a cell's targets, null if it is the point itself."""
+    d = _apart(f"{c}.x", f"{c}.y")
+    return d if itself else F.when(F.col("id") != F.col(f"{c}.id"), d)
+
+
+def _nine(rows: DataFrame, width: Column) -> DataFrame:
+    nine = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    return rows.withColumn("_s", F.explode(nine)).withColumns({"cx": _bucket("x", width) + F.col("_s.i"), "cy": _bucket("y", width) + F.col("_s.j")}).drop("_s")
+
+
+def _beyond(size: float) -> Column:
+    """Distance of the cell cx, cy from the point, made a little smaller than it is, so that rounding drops no cell."""
+    off = lambda p, c: F.greatest(F.col(c) * size - F.col(p), F.col(p) - (F.col(c) + 1) * size, F.lit(0.0))
+    dx, dy = off("x", "cx"), off("y", "cy")
+    return F.sqrt(dx * dx + dy * dy) * (1 - 1e-9) - 1e-9 * size
+
+
+def _edges(polygons: DataFrame) -> DataFrame:
+    """name, a, b: the edges of closed rings, without the rings."""
+    n = F.greatest(F.size("ring") - 1, F.lit(0))
+    return polygons.select("name", F.explode(F.arrays_zip(F.slice("ring", 1, n).alias("a"), F.slice("ring", 2, n).alias("b"))).alias("e")).select("name", "e.a", "e.b")
+
+
+def cover(polygons: DataFrame, width: float) -> DataFrame:
+    """name, _bx, _by, corner, edges: the buckets that polygons(name, ring) meet, a ring's edges dealt to them.
+
+    corner: whether the bucket's right lower corner is inside. A bucket without edges lies wholly inside. Rings of one
+    name count together, by odd and even: a ring inside another is a hole.
+    """
+    e = _edges(polygons).where("a.x IS NOT NULL AND a.y IS NOT NULL AND b.x IS NOT NULL AND b.y IS NOT NULL")
+    low, high = F.least("a.y", "b.y"), F.greatest("a.y", "b.y")
+    e = e.withColumn("_by", F.explode(F.sequence(_bucket(low, width), _bucket(high, width))))
+    line = F.col("_by") * F.lit(width)
+    at = lambda y: F.col("a.x") + (F.col("b.x") - F.col("a.x")) * (y - F.col("a.y")) / F.nullif(F.col("b.y") - F.col("a.y"), F.lit(0.0))
+    flat = F.col("a.y") == F.col("b.y")
+    x0 = F.when(flat, F.col("a.x")).otherwise(at(F.greatest(low, line)))
+    x1 = F.when(flat, F.col("b.x")).otherwise(at(F.least(high, line + width)))
+    pad = width * 1e-6
+    met = e.withColumn("_bx", F.explode(F.sequence(_bucket(F.least(x0, x1) - pad, width), _bucket(F.greatest(x0, x1) + pad, width))))
+    cut = e.where((F.col("a.y") > line) != (F.col("b.y") > line)).withColumn("cx", at(line))
+    cut = cut.groupBy("name", "_by").agg(F.array_sort(F.collect_list("cx")).alias("c"))
+    cut = cut.select("name", "_by", F.col("c"), F.explode(F.sequence(F.lit(0), F.size("c") - 2, F.lit(2))).alias("i")).select("name", "_by", F.get("c", F.col("i")).alias("c0"), F.get("c", F.col("i") + 1).alias("c1"))
+    corner = (F.col("_bx") + 1) * width
+    full = cut.select("*", F.explode(F.sequence(_bucket("c0", width) - 1, _bucket("c1", width))).alias("_bx")).where((corner >= F.col("c0")) & (corner < F.col("c1")))
+    both = met.select("name", "_bx", "_by", F.struct("a", "b").alias("e"), F.lit(False).alias("in")).unionByName(full.select("name", "_bx", "_by", F.lit(None).alias("e"), F.lit(True).alias("in")))
+    return both.groupBy("name", "_bx", "_by").agg(F.max("in").alias("corner"), F.collect_list("e").alias("edges"))
+
+
 def in_polygon(points: DataFrame, polygons: DataFrame, width: float) -> DataFrame:
     """id, name for points(id, x, y): the first of polygons(name, ring) that holds each, null if none.
 
-    ring: closed array of structs x, y. A polygon's box is cut into buckets; points meet only the polygons of theirs.
+    ring: closed array of structs x, y. Points meet the polygons of their bucket and, of their edges, those in it: the
+    way from the point right and then down to the bucket's corner is inside at its end, or not, as `cover` says, and
+    changes at each edge it crosses.
     """
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    spread = lambda v: F.sequence(_bucket(F.array_min(v), width), _bucket(F.array_max(v), width))
-    cut = polygons.select("name", "ring", F.explode(spread(xs)).alias("_bx"), spread(ys).alias("_ys")).select("name", "ring", "_bx", F.explode("_ys").alias("_by"))
     own = points.withColumns({"_bx": _bucket("x", width), "_by": _bucket("y", width)})
-    hits = own.join(cut, ["_bx", "_by"]).where(geo.inside(F.col("ring"), F.col("x"), F.col("y")))
+    right, down = (F.col("_bx") + 1) * width, F.col("_by") * width
+
+    def crossed(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        cx = (b["x"] - a["x"]) * (F.col("y") - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"]
+        cy = (b["y"] - a["y"]) * (right - a["x"]) / F.nullif(b["x"] - a["x"], F.lit(0.0)) + a["y"]
+        along = ((a["y"] > F.col("y")) != (b["y"] > F.col("y"))) & ((cx > F.col("x")) != (cx > right))
+        falls = ((a["x"] > right) != (b["x"] > right)) & ((cy > F.col("y")) != (cy > down))
+        return F.coalesce(along, F.lit(False)) != F.coalesce(falls, F.lit(False))
+
+    odd = F.aggregate("edges", F.col("corner"), lambda at, e: at != crossed(e))
+    hits = own.join(cover(polygons, width), ["_bx", "_by"]).where(odd)
     return points.select("id").join(hits.groupBy("id").agg(F.min("name").alias("name")), "id", "left")
 
 
@@ -95,7 +213,7 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, most: float, width:
     Edges are cut into the buckets of their widened boxes, so a point meets only edges near it; ties go to the smaller name.
     """
     inside = in_polygon(points, polygons, width)
-    edges = polygons.select("name", F.posexplode("ring").alias("i", "a"), "ring").select("name", "a", F.get("ring", F.col("i") + 1).alias("b")).where("b IS NOT NULL")
+    edges = _edges(polygons)
     span = lambda c: F.sequence(_bucket(F.least(F.col(f"a.{c}"), F.col(f"b.{c}")) - most, width), _bucket(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) + most, width))
     cut = edges.select("*", F.explode(span("x")).alias("_bx")).select("*", F.explode(span("y")).alias("_by"))
     out = points.join(inside.where("name IS NULL").select("id"), "id", "left_semi").withColumns({"_bx": _bucket("x", width), "_by": _bucket("y", width)})

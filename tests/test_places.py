@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -31,6 +32,37 @@ def test_nearest_without_targets_or_coordinates_is_null(spark):
     assert {r.id: r.target for r in spatial.nearest(p, far, 1.0, most=3.0).collect()} == {1: None, 2: None, 3: None}
 
 
+def test_nearest_of_a_far_dense_place_meets_brute_force(spark):
+    r = random.Random(7)
+    p = [(i, r.uniform(-3, 3), r.uniform(-3, 3)) for i in range(40)] + [(100, 300.0, 0.0), (101, 0.1, 0.1)]
+    t = [(i, 200 + r.uniform(-1, 1), 90 + r.uniform(-1, 1)) for i in range(300)] + [(400, 300.0, 0.0), (401, 300.0, 0.0)]
+    left, right = spark.createDataFrame(p, POINT), spark.createDataFrame(t, POINT)
+    for most in (None, 219.0):
+        made = {r.id: (r.target, r.dist) for r in spatial.nearest(left, right, 0.05, most=most).collect()}
+        assert len(made) == len(p)
+        for i, x, y in p:
+            d, k = min((((x - a) ** 2 + (y - b) ** 2) ** 0.5, j) for j, a, b in t)
+            assert made[i] == ((k, pytest.approx(d)) if most is None or d <= most else (None, None))
+
+
+def test_nearest_other_than_itself_meets_brute_force(spark):
+    p = [*scattered(30, 8), (70, 500.0, 500.0), (71, 900.0, 500.0)]
+    df = spark.createDataFrame(p, POINT)
+    made = {r.id: r.target for r in spatial.nearest(df, df, 0.1, itself=False).collect()}
+    assert made == {i: min((((x - a) ** 2 + (y - b) ** 2) ** 0.5, j) for j, a, b in p if j != i)[1] for i, x, y in p}
+    assert spatial.nearest(df.limit(1), df.limit(1), 0.1, itself=False).first().target is None
+
+
+def test_points_of_a_far_place_meet_few_cells(spark):
+    """However many targets stand in one far place, a point meets those of a few of its cells only."""
+    near = [(i, 0.001 * i, 0.0) for i in range(50)]
+    dense = [(i, 100 + 0.02 * (i % 60), 100 + 0.02 * (i // 60)) for i in range(3600)]
+    p, t = spark.createDataFrame(near, POINT), spark.createDataFrame(dense, "target long, ox double, oy double")
+    at = t.withColumns({"_bx": F.floor(F.col("ox") / 0.1), "_by": F.floor(F.col("oy") / 0.1)})
+    met = spatial._open_cells(p, at, 0.1, None, True)[0].join(at, ["_bx", "_by"]).groupBy("id").count().agg(F.max("count")).first()[0]
+    assert 0 < met <= 100
+
+
 def test_within_meets_brute_force(spark):
     p = scattered(50, 3)
     df = spark.createDataFrame(p, POINT)
@@ -46,6 +78,44 @@ def test_point_in_ring_with_a_bite(spark):
     assert poly.select(geo.shoelace(F.col("ring")).alias("a")).first().a == pytest.approx(10.0)
 
 
+RING = "name string, ring array<struct<x:double,y:double>>"
+
+
+def test_cover_meets_the_plain_test(spark):
+    """Random stars and rings on the lines of the buckets, with points on corners, edges and lines."""
+    r = random.Random(5)
+    rings = []
+    for k in range(6):
+        cx, cy, n = r.uniform(2, 8), r.uniform(2, 8), 5 + 4 * k
+        ring = [(cx + r.uniform(0.3, 4) * math.cos(2 * math.pi * i / n), cy + r.uniform(0.3, 4) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+        rings.append((f"star {k}", [*ring, ring[0]]))
+    rings.append(("steps", [(1.0, 1.0), (6.0, 1.0), (6.0, 3.0), (4.0, 3.0), (4.0, 6.0), (1.0, 6.0), (1.0, 1.0)]))
+    poly = spark.createDataFrame([(n, [{"x": x, "y": y} for x, y in ring]) for n, ring in rings], RING)
+    p = spark.createDataFrame(scattered(400, 6) + [(1000 + 13 * i + j, i / 2, j / 2) for i in range(13) for j in range(13)], POINT)
+    plain = p.crossJoin(poly).where(geo.inside(F.col("ring"), F.col("x"), F.col("y"))).groupBy("id").agg(F.min("name").alias("name"))
+    want = {r.id: r.name for r in p.select("id").join(plain, "id", "left").collect()}
+    for width in (0.5, 1.0, 3.7):
+        assert {r.id: r.name for r in spatial.in_polygon(p, poly, width).collect()} == want
+
+
+def test_a_ring_of_many_corners_is_not_copied(spark):
+    n = 100_000
+    at = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.lit(2 * math.pi / n) * (i % n))
+    poly = spark.range(1).select(F.lit("disc").alias("name"), F.transform(at, lambda a: F.struct((5 + 4 * F.cos(a)).alias("x"), (5 + 4 * F.sin(a)).alias("y"))).alias("ring"))
+    made = spatial.cover(poly, 0.25).agg(F.sum(F.size("edges")), F.count_if((F.size("edges") == 0) & F.col("corner")), F.count(F.lit(1))).first()
+    assert n <= made[0] <= 1.1 * n
+    assert made[1] > made[2] / 2
+    hits = spatial.in_polygon(spark.createDataFrame(scattered(500, 9), POINT), poly, 0.25).where("name IS NOT NULL").collect()
+    assert {r.id for r in hits} == {i for i, x, y in scattered(500, 9) if math.hypot(x - 5, y - 5) < 4}
+
+
+def test_rings_of_one_name_make_holes(spark):
+    square = lambda a, b: [{"x": x, "y": y} for x, y in [(a, a), (b, a), (b, b), (a, b), (a, a)]]
+    poly = spark.createDataFrame([("p", square(0.0, 9.0)), ("p", square(3.0, 6.0)), ("empty", [])], RING)
+    p = spark.createDataFrame([(1, 1.0, 1.0), (2, 4.5, 4.5), (3, 8.0, 8.0), (4, None, 1.0)], POINT)
+    assert {r.id: r.name for r in spatial.in_polygon(p, poly, 1.0).collect()} == {1: "p", 2: None, 3: "p", 4: None}
+
+
 def test_hexagon_holds_its_points(spark):
     df = spark.createDataFrame(scattered(80, 4), POINT).withColumn("c", grid.cell(F.col("x"), F.col("y"), 0.8))
     cx, cy = grid.centre(F.col("c"), 0.8)
