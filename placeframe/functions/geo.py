@@ -102,3 +102,62 @@ def conic(lon: Column, lat: Column, parallels: tuple[float, float, float, float,
     t = F.tan(F.lit(math.pi / 4) - p / 2) / F.pow((1 - e * F.sin(p)) / (1 + e * F.sin(p)), F.lit(e / 2))
     r, turn = scale * F.pow(t, F.lit(n)), n * F.radians(lon - parallels[3])
     return parallels[4] + r * F.sin(turn), parallels[4] + origin - r * F.cos(turn)
+
+
+def conic_inverse(east: Column, north: Column, parallels: tuple[float, float, float, float, float] = CONIC) -> tuple[Column, Column]:
+    """Degrees of a place on `conic`: the conformal latitude, then its series to the ellipsoid's."""
+    n, scale, origin, e = conic_terms(parallels)
+    dx, dy = east - parallels[4], parallels[4] + origin - north
+    r = F.sqrt(dx * dx + dy * dy)
+    turn = F.atan2(dx * math.copysign(1, n), dy * math.copysign(1, n))
+    p = math.pi / 2 - 2 * F.atan(F.pow(r / abs(scale), F.lit(1 / n)))
+    e2, e4, e6, e8 = (e**k for k in (2, 4, 6, 8))
+    terms = [e2 / 2 + 5 * e4 / 24 + e6 / 12 + 13 * e8 / 360, 7 * e4 / 48 + 29 * e6 / 240 + 811 * e8 / 11520, 7 * e6 / 120 + 81 * e8 / 1120, 4279 * e8 / 161280]
+    return parallels[3] + F.degrees(turn) / n, F.degrees(_series(p, terms))
+
+
+def _series(p: Column, terms: list[float]) -> Column:
+    """p + a sin 2p + b sin 4p + ..."""
+    return sum((a * F.sin(2 * k * p) for k, a in enumerate(terms, 1)), p)
+
+
+# The equal-area conic projection of southern Asia: two standard parallels, origin.
+EQUAL_AREA = (7.0, -32.0, -15.0, 125.0)
+
+
+def equal_area_terms(parallels: tuple[float, float, float, float] = EQUAL_AREA) -> tuple[float, float, float, float]:
+    """n, constant, radius at the origin in km and eccentricity of an equal-area conic projection of the ellipsoid."""
+    e = math.sqrt(FLATTENING * (2 - FLATTENING))
+    p1, p2, p0 = (math.radians(v) for v in parallels[:3])
+    m2 = lambda p: math.cos(p) ** 2 / (1 - (e * math.sin(p)) ** 2)
+    q = lambda p: (1 - e * e) * (math.sin(p) / (1 - (e * math.sin(p)) ** 2) + math.atanh(e * math.sin(p)) / e)
+    n = (m2(p1) - m2(p2)) / (q(p2) - q(p1))
+    constant = m2(p1) + n * q(p1)
+    return n, constant, AXIS_KM * math.sqrt(constant - n * q(p0)) / n, e
+
+
+def equal_area(lon: Column, lat: Column, parallels: tuple[float, float, float, float] = EQUAL_AREA) -> tuple[Column, Column]:
+    """East and north in km on an equal-area conic projection: areas of rings on it are areas of the ellipsoid."""
+    n, constant, origin, e = equal_area_terms(parallels)
+    s = F.sin(F.radians(lat))
+    q = (1 - e * e) * (s / (1 - e * e * s * s) + F.atanh(e * s) / e)
+    r, turn = F.sqrt(constant - n * q) * (AXIS_KM / n), n * F.radians(lon - parallels[3])
+    return r * F.sin(turn), origin - r * F.cos(turn)
+
+
+def equal_area_inverse(east: Column, north: Column, parallels: tuple[float, float, float, float] = EQUAL_AREA) -> tuple[Column, Column]:
+    """Degrees of a place on `equal_area`: the authalic latitude, then its series to the ellipsoid's, to 1e-7 degrees (a centimetre)."""
+    n, constant, origin, e = equal_area_terms(parallels)
+    sign = math.copysign(1, n)
+    dx, dy = east * sign, (origin - north) * sign
+    q = (constant - (dx * dx + dy * dy) * (n / AXIS_KM) ** 2) / n
+    pole = 1 + (1 - e * e) * math.atanh(e) / e
+    e2, e4, e6 = (e**k for k in (2, 4, 6))
+    terms = [e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040, 23 * e4 / 360 + 251 * e6 / 3780, 761 * e6 / 45360]
+    beta = F.asin(F.least(F.greatest(q / pole, F.lit(-1.0)), F.lit(1.0)))
+    return parallels[3] + F.degrees(F.atan2(dx, dy)) / n, F.degrees(_series(beta, terms))
+
+
+def ring_km2(ring: Column) -> Column:
+    """Area in km2 of a closed ring of structs x (degrees east) and y (degrees north), its corners joined straight on `equal_area`."""
+    return shoelace(F.transform(ring, lambda p: F.struct(*[v.alias(c) for v, c in zip(equal_area(p["x"], p["y"]), "xy", strict=True)])))

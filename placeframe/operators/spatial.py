@@ -220,3 +220,32 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, most: float, width:
     dist = geo.to_segment(F.col("x"), F.col("y"), F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"))
     near = out.join(cut, ["_bx", "_by"]).withColumn("dist", dist).where(F.col("dist") <= most).groupBy("id").agg(F.min(F.struct("dist", "name")).alias("best"))
     return inside.join(near.select("id", F.col("best.name").alias("near")), "id", "left").select("id", F.coalesce("name", "near").alias("name"))
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, most: float, width: float, per: tuple[str, ...] = ()) -> DataFrame:
+    """id, segment, dist for points(id, x, y) that have one of segments(segment, a, b) within `most`: the nearest, the
+    smaller on a tie. a and b: structs x, y. per: columns of segments, for each of whose values there is a nearest.
+
+    A segment is dealt to the buckets it may be within `most` of, so a long one costs its length, not its box.
+    """
+    span = lambda c: F.sequence(_bucket(F.least(F.col(f"a.{c}"), F.col(f"b.{c}")) - most, width), _bucket(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) + most, width))
+    ends = [F.col(f"{e}.{c}") for e in "ab" for c in "xy"]
+    whole = segments.where(" AND ".join(f"{e}.{c} IS NOT NULL" for e in "ab" for c in "xy"))
+    cut = whole.select(*per, "segment", "a", "b", F.explode(span("x")).alias("_bx")).withColumn("_by", F.explode(span("y")))
+    middle = [(F.col(c) + 0.5) * width for c in ("_bx", "_by")]
+    cut = cut.where(geo.to_segment(*middle, *ends) <= most + width * 0.7072)
+    own = points.select("id", "x", "y").withColumns({"_bx": _bucket("x", width), "_by": _bucket("y", width)})
+    met = own.join(cut, ["_bx", "_by"]).withColumn("dist", geo.to_segment(F.col("x"), F.col("y"), *ends)).where(F.col("dist") <= most)
+    return met.groupBy("id", *per).agg(F.min(F.struct("dist", "segment")).alias("b")).select("id", *per, "b.segment", "b.dist")
+
+
+def overlaps(discs: DataFrame, step: float) -> DataFrame:
+    """radius, times, area for discs(id, x, y, radius): the area that is inside exactly `times` of the discs of a radius.
+
+    Measured on squares of edge `step`, each by its middle; a disc is dealt to its squares, so none meets another disc.
+    """
+    line = lambda c: F.sequence(_bucket(F.col(c) - F.col("radius"), step), _bucket(F.col(c) + F.col("radius"), step))
+    cut = discs.where(_placed("x", "y") & (F.col("radius") > 0)).select("x", "y", "radius", F.explode(line("x")).alias("_bx")).withColumn("_by", F.explode(line("y")))
+    dx, dy = (F.col("_bx") + 0.5) * step - F.col("x"), (F.col("_by") + 0.5) * step - F.col("y")
+    squares = cut.where(dx * dx + dy * dy <= F.col("radius") * F.col("radius")).groupBy("radius", "_bx", "_by").agg(F.count(F.lit(1)).alias("times"))
+    return squares.groupBy("radius", "times").agg((F.count(F.lit(1)) * F.lit(step * step)).alias("area"))
