@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from placeframe.plans import composite, jobs, land, more, places, roads, scores, streams, tables
+from placeframe.plans import composite, contracts, jobs, land, more, places, roads, scores, streams, tables
 
 QUERIES, SQL = {}, {}
-for part in (scores, places, tables, more, composite, roads, jobs, streams, land):
+for part in (scores, places, tables, more, composite, roads, jobs, streams, land, contracts):
     QUERIES |= part.QUERIES
     SQL |= part.SQL

@@ -62,7 +62,7 @@ def test_overlaps_of_discs(spark):
     discs = spark.createDataFrame([(1, 0.0, 0.0, 10.0), (2, 8.0, 0.0, 10.0), (3, 100.0, 0.0, 10.0), (4, None, 0.0, 10.0), (5, 0.0, 0.0, 2.0)], POINT + ", radius double")
     made = {(r.radius, r.times): r.area for r in spatial.overlaps(discs, 0.1).collect()}
     both = 2 * 100 * math.acos(0.4) - 4 * math.sqrt(400 - 64)
-    assert made == {(10.0, 1): pytest.approx(3 * math.pi * 100 - 2 * both, rel=0.005), (10.0, 2): pytest.approx(both, rel=0.005), (2.0, 1): pytest.approx(math.pi * 4, rel=0.005)}
+    assert made == {(10.0, 1): pytest.approx(3 * math.pi * 100 - 2 * both, rel=0.005), (10.0, 2): pytest.approx(both, rel=0.005), (2.0, 1): pytest.approx(math.pi * 4, rel=0.01)}
     assert spatial.overlaps(discs.limit(0), 1.0).count() == 0
 
 
@@ -76,7 +76,7 @@ def test_cell_in_rings_of_both_groups_counts_once(spark):
     assert (made["opened"].n_near, made["opened"].n_far, made["later"].n_near, made["later"].n_far) == (1, 1, 1, 2)  # cell 3 is in both
     assert made["later"].far == pytest.approx((9.0 + 0.25) / 2) and made["opened"].far_median == 1.0
     assert made["opened"].near_minus_far == pytest.approx(1.0) and made["later"].near_minus_far == pytest.approx(0.5 - 4.625)
-    assert {r.effect for r in made.values()} == {pytest.approx(1.0 - (0.5 - 4.625))}
+    assert [r.effect for r in made.values()] == [pytest.approx(1.0 - (0.5 - 4.625))] * 2
     empty = corridors.ring_effect(cells.limit(0), lines, 1.0, 3.0, "opened", 1.0).collect()
     assert [(r.n_near, r.near, r.effect) for r in empty] == [(0, None, None)] * 2
 
