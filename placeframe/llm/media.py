@@ -110,16 +110,24 @@ def decode_frame(jpeg: bytes) -> np.ndarray:
 
 
 class Scan:
-    """Bits of entropy-coded data without their stuffed bytes, a segment between restart markers at a time."""
+    """Bits of entropy-coded data without their stuffed bytes, a segment between restart markers at a time.
+
+    Bytes go into a small buffer as they are asked for, so that a scan costs its length.
+    """
 
     def __init__(self, data: bytes):
-        self.bits, self.at, self.size = int.from_bytes(data, "big"), 0, 8 * len(data)
+        self.data, self.next, self.held, self.left = data, 0, 0, 0
 
     def take(self, n: int) -> int:
-        if self.at + n > self.size:
-            raise ValueError("scan data end early")
-        self.at += n
-        return (self.bits >> (self.size - self.at)) & ((1 << n) - 1)
+        while self.left < n:
+            if self.next == len(self.data):
+                raise ValueError("scan data end early")
+            self.held = self.held << 8 | self.data[self.next]
+            self.next, self.left = self.next + 1, self.left + 8
+        self.left -= n
+        x = self.held >> self.left
+        self.held &= (1 << self.left) - 1
+        return x
 
     def symbol(self, codes: dict[tuple[int, int], int]) -> int:
         code = 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import hashlib
 import math
 import random
@@ -390,3 +391,19 @@ def test_colour_with_standard_tables_and_restarts():
         media.read_jpeg(frame[:-6])
     with pytest.raises(ValueError):
         media.read_jpeg(frame.replace(b"\xff\xc0", b"\xff\xc2"))
+
+
+def test_bits_of_a_long_scan_are_read_in_a_time_that_grows_with_it():
+    from placeframe.llm.media import Scan
+
+    rng = random.Random(4)
+    data = rng.randbytes(400_000)
+    scan, whole, at = Scan(data), "".join(f"{b:08b}" for b in data), 0
+    begun = time.process_time()
+    while at + 16 <= len(whole):
+        n = rng.randint(0, 16)
+        assert scan.take(n) == int(whole[at : at + n] or "0", 2)
+        at += n
+    assert time.process_time() - begun < 20
+    with pytest.raises(ValueError):
+        scan.take(17)
