@@ -87,6 +87,17 @@ def way_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def street_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """way_id, pos, node_id, lon, lat: short streets in neighbourhoods of four, with ends of their own, from lineitem."""
+    ways = way_nodes(spark, sf_dir)
+    block = F.floor(F.col("way_id") / 16)
+    at = F.col("way_id") * 7 % 23 + F.col("pos") * (F.col("way_id") % 3 + 1)
+    node = (block * 100 + at % 40).cast("long")
+    lon = F.lit(68.0) + (block * 7919 % 30000) / F.lit(1000.0) + node % 11 / F.lit(64.0)
+    lat = F.lit(6.0) + (block * 10473 % 31500) / F.lit(1000.0) + node % 5 / F.lit(64.0)
+    return ways.select("way_id", "pos", node.alias("node_id"), lon.alias("lon"), lat.alias("lat"))
+
+
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Project schedules as text columns, some unreadable or out of range, from orders."""
     o = read(spark, sf_dir, "orders")
@@ -132,6 +143,12 @@ SQL = {
   l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS pos, l_partkey AS node_id,
   68 + (l_partkey * 7919 % 30000) / 1000.0::DOUBLE AS lon, 6 + (l_partkey * 10473 % 31500) / 1000.0::DOUBLE AS lat FROM lineitem)""",
 }
+SQL["street_nodes"] = (
+    SQL["way_nodes"]
+    + """, street_nodes AS (SELECT way_id, pos, node_id, 68 + (way_id // 16 * 7919 % 30000) / 1000.0::DOUBLE + node_id % 11 / 64.0::DOUBLE AS lon,
+  6 + (way_id // 16 * 10473 % 31500) / 1000.0::DOUBLE + node_id % 5 / 64.0::DOUBLE AS lat
+  FROM (SELECT way_id, pos, (way_id // 16 * 100 + (way_id * 7 % 23 + pos * (way_id % 3 + 1)) % 40)::BIGINT AS node_id FROM way_nodes))"""
+)
 _date = """CASE WHEN o_orderkey % 11 = {0} THEN 'n/a' WHEN o_orderkey % 13 = {0} THEN '01-01-1955'
   ELSE strftime(o_orderdate::DATE + ({1})::INTEGER, '%d-%m-%Y') END"""
 SQL["projects"] = f"""projects AS (SELECT o_orderkey AS id,

@@ -17,7 +17,7 @@ CHECKED = [
     "a6_pivot", "a8_lower_weighted_median", "c12_project_flags", "a15_delay_table", "v1_feed_issues", "w18_route_lines", "p1_state_names", "st4_daily_counts",
     "p5_way_class", "g7_line_samples", "g10_clipped_lines", "g12_carriageways", "j15_corridors", "p10_p11_name_similarity", "w20_sorted_table", "c18_station_indicators",
     "p17_header_rows", "c6_urban_centres", "c9_city_layers", "r2_fill_from_neighbours",
-    "g4_conic_round_trip", "g5_equal_area_km2", "a3_a11_density_km2", "g13_overlaps", "a13_ring_effect", "a14_rates_per_100km", "v5_contract", "v2_unique_keys", "v4_geography_contract", "v6_export_contract",
+    "g4_conic_round_trip", "g5_equal_area_km2", "a3_a11_density_km2", "g13_overlaps", "a13_ring_effect", "a14_rates_per_100km", "v5_contract", "v2_unique_keys", "v4_geography_contract", "v6_export_contract", "r3_street_components", "r5_street_gaps", "r6_street_paths",
 ]
 
 
