@@ -12,15 +12,22 @@ def _words(text: Column) -> Column:
 
 
 def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """id, name: which names of names(name, aliases) a text of texts(id, text) holds, whole or by an alias.
+    """id, name: which names of names(name, aliases) a text of texts(id, text) holds, whole or by an alias."""
+    said = names.select(F.col("name").alias("key"), F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("said"))
+    return said_in(texts, said).withColumnRenamed("key", "name")
 
-    What is said meets the texts by its first word in an equi-join; then the whole of it is looked for, as it stands, with
-    word boundaries and in any case. What has no word meets all texts under the empty word.
+
+def said_in(texts: DataFrame, said: DataFrame) -> DataFrame:
+    """id, key: which keys of said(key, said) a text of texts(id, text) holds by anything that is said for them.
+
+    What is said meets the ids of texts by its first word in an equi-join, and only pairs that share it meet the text; then
+    the whole of it is looked for, as it stands, with word boundaries and in any case. What has no word meets all texts
+    under the empty word.
     """
-    said = names.select("name", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("said"))
     said = said.where("said <> ''").distinct()
     pattern = F.concat(F.lit(r"(?iU)\b\Q"), F.replace(F.col("said"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E\b"))
     keyed = said.select("said").distinct().select("said", pattern.alias("pattern"), F.coalesce(F.get(_words(F.col("said")), 0), F.lit("")).alias("k"))
-    words = texts.select("id", "text", F.explode(F.array_distinct(F.array_append(_words(F.col("text")), ""))).alias("k"))
-    found = words.join(keyed, "k").where(F.rlike(F.col("text"), F.col("pattern"))).select("id", "said")
-    return found.join(said, "said").select("id", "name").distinct()
+    words = texts.select("id", F.explode(F.array_distinct(F.array_append(_words(F.col("text")), ""))).alias("k"))
+    pairs = words.join(keyed, "k").select("id", "said", "pattern")
+    found = texts.select("id", "text").join(pairs, "id").where(F.rlike(F.col("text"), F.col("pattern"))).select("id", "said")
+    return found.join(said, "said").select("id", "key").distinct()

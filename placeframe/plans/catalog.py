@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from placeframe.plans import composite, contracts, jobs, land, more, places, roads, scores, streams, streets, tables
+from placeframe.plans import composite, contracts, jobs, land, more, news, places, roads, scores, streams, streets, tables
 
 QUERIES, SQL = {}, {}
-for part in (scores, places, tables, more, composite, roads, jobs, streams, land, contracts, streets):
+for part in (scores, places, tables, more, composite, roads, jobs, streams, land, contracts, streets, news):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
