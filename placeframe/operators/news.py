@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from placeframe.functions import text
 from placeframe.operators.mentions import said_in
 from placeframe.operators.rank import first_per
+from placeframe.storage import table
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,8 @@ def extracted(items: DataFrame, cities: DataFrame, desk: Desk) -> DataFrame:
 
     items(item, title, url, description, date, fetched_at): item is unique, fetched_at a date. cities(city, name, aliases).
     A row with a reason is an item left out, all else null; one without is a project, one for each city named. Figures
-    count only where the quoted sentence states them. Null texts are empty.
+    count only where the quoted sentence states them. Null texts are empty. Texts are read once; those of items that are
+    left out early go no further.
     """
     title, url, more = (F.trim(F.coalesce(c, F.lit(""))) for c in ("title", "url", "description"))
     said = F.trim(F.concat_ws("\n", title, more))
@@ -56,24 +58,27 @@ def extracted(items: DataFrame, cities: DataFrame, desk: Desk) -> DataFrame:
         early = early.when(F.datediff("fetched_at", "event_date") > desk.max_age_days, "stale")
     early = early.when(F.col("rule").isNull(), "no_stage_rule").when(F.col("stage") == "excluded", "not_upcoming")
     early = early.when(F.size("modes") == 0, "no_mode").when(F.size("modes") > 1, "ambiguous_mode")
-    rows = rows.withColumn("early", early)
-
-    spoken = cities.select(F.col("city").alias("key"), F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("said"))
-    named = said_in(rows.where("early IS NULL").select(F.col("item").alias("id"), "text"), spoken).select(F.col("id").alias("item"), F.col("key").alias("city"))
-    rows = rows.join(named, "item", "left")
-
     parts = F.split("text", r"\n|(?<=[.!?])\s+")
     with_ = lambda p: F.filter(parts, lambda s: F.rlike(s, F.lit(f"(?i){p}")))
     quote = F.coalesce(*[F.when(F.col("rule") == i, F.trim(F.get(with_(p), 0))) for i, (p, _) in enumerate(desk.stages)])
-    rows = rows.withColumn("evidence", quote)
+    going = lambda c: F.when(F.col("early").isNull(), F.col(c)).alias(c)
+    rows = rows.withColumn("early", early).select("item", "fetched_at", "event_date", "rule", "stage", "modes", "early", *[going(c) for c in ("title", "url", "text")], F.when(F.col("early").isNull(), quote).alias("evidence"))
+    rows = table(rows, "items")
+
+    spoken = cities.select(F.col("city").alias("key"), F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("said"))
+    named = said_in(rows.where("early IS NULL").select(F.col("item").alias("id"), "text"), spoken).select(F.col("id").alias("item"), F.col("key").alias("city"))
+    quoted = F.when(F.col("early").isNull(), text.quoted_in(F.col("evidence"), F.col("text")))
+    rows = rows.withColumn("quoted", F.coalesce(quoted, F.lit(False)))
     rows = rows.withColumns({"cost_crore": text.cost_crore(F.col("evidence")), "length_km": text.length_km(F.col("evidence"))})
+    rows = rows.drop("text").join(named, "item", "left")
+
     one = lambda c: c.cast("int")
     stated = F.col("cost_crore").isNotNull() | F.col("length_km").isNotNull()
     rows = rows.withColumn("confidence", F.round(desk.base + desk.dated * one(F.col("event_date").isNotNull()) + desk.stated * one(stated), 3))
     reason = F.coalesce(
         F.col("early"),
         F.when(F.col("city").isNull(), "no_configured_city"),
-        F.when(~F.coalesce(text.quoted_in(F.col("evidence"), F.col("text")), F.lit(False)), "quote_not_in_source"),
+        F.when(~F.col("quoted"), "quote_not_in_source"),
         F.when(F.col("confidence") < desk.review_below, "low_confidence"),
     )
     rows = rows.withColumn("reason", reason)

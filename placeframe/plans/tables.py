@@ -120,7 +120,8 @@ def c12_project_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_FLAGS} SELECT CASE WHEN grouping(state) = 1 THEN 'India' ELSE state END AS state, count(*) FILTER (flag IN ('overdue', 'scheduled_ahead', 'unknown')) AS under_construction,
- count(*) FILTER (flag = 'overdue') AS overdue, count(*) FILTER (flag = 'scheduled_ahead') AS scheduled_ahead, count(*) FILTER (flag = 'not_started') AS not_started,
+ count(*) FILTER (flag = 'overdue') AS overdue, count(*) FILTER (flag = 'scheduled_ahead') AS scheduled_ahead, count(*) FILTER (flag = 'not_started') AS not_started, count(*) FILTER (flag = 'unknown') AS unknown,
+ median(CASE WHEN flag = 'overdue' THEN physical_pct END)::DOUBLE AS median_physical_pct_overdue, sum(CASE WHEN flag IN ('overdue', 'scheduled_ahead', 'unknown') THEN capex END) AS capex_under_construction,
  round(count(*) FILTER (flag = 'overdue') / nullif(count(*) FILTER (flag IN ('overdue', 'scheduled_ahead')), 0)::DOUBLE, 3) AS overdue_share,
  median(CASE WHEN flag = 'overdue' THEN days_overdue END)::DOUBLE AS median_days_overdue, median(CASE WHEN flag = 'not_started' THEN days_since_loa END)::DOUBLE AS median_days_since_loa,
  sum(CASE WHEN flag = 'overdue' THEN capex END) AS capex_overdue FROM flags WHERE flag <> 'not_applicable' GROUP BY ROLLUP (state) HAVING grouping(state) = 1 OR state IS NOT NULL""")
