@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SHIFT = 1 << 20
+#: An id holds two axial steps of 32 bits.
+SHIFT = 1 << 32
 
 
 def cell(x: Column, y: Column, size: float) -> Column:
@@ -19,11 +20,11 @@ def cell(x: Column, y: Column, size: float) -> Column:
     dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
     q2 = F.when((dq > dr) & (dq > ds), -rr - rs).otherwise(rq)
     r2 = F.when((dq > dr) & (dq > ds), rr).when(dr > ds, -rq - rs).otherwise(rr)
-    return ((q2 + SHIFT // 2) * SHIFT + r2 + SHIFT // 2).cast("long")
+    return (q2.cast("long") * SHIFT + r2 + SHIFT // 2).cast("long")
 
 
 def axial(cell_id: Column) -> tuple[Column, Column]:
-    return F.floor(cell_id / SHIFT) - SHIFT // 2, cell_id % SHIFT - SHIFT // 2
+    return F.shiftright(cell_id, 32), cell_id.bitwiseAND(F.lit(SHIFT - 1)) - SHIFT // 2
 
 
 def centre(cell_id: Column, size: float) -> tuple[Column, Column]:

@@ -129,7 +129,7 @@ _SQ3 = math.sqrt(3)
 @query(f"""{with_("points")}, a AS (SELECT *, (lon * {_SQ3 / 3!r}::DOUBLE - lat / 3) / 0.7::DOUBLE AS q, lat * {2 / 3!r}::DOUBLE / 0.7::DOUBLE AS r FROM points),
 b AS (SELECT *, floor(q + 0.5) AS rq, floor(r + 0.5) AS rr, floor(-q - r + 0.5) AS rs FROM a),
 c AS (SELECT *, abs(rq - q) AS dq, abs(rr - r) AS dr, abs(rs + q + r) AS ds FROM b)
-SELECT ((CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END + 524288) * 1048576 + CASE WHEN dq > dr AND dq > ds THEN rr WHEN dr > ds THEN -rq - rs ELSE rr END + 524288)::BIGINT AS cell,
+SELECT ((CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END) * 4294967296 + CASE WHEN dq > dr AND dq > ds THEN rr WHEN dr > ds THEN -rq - rs ELSE rr END + 2147483648)::BIGINT AS cell,
  count(*) AS n, sum(w)::BIGINT AS people FROM c GROUP BY 1""")
 def g14_hexagon_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = views.points(spark, sf_dir).withColumn("cell", grid.cell(F.col("lon"), F.col("lat"), 0.7))

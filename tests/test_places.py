@@ -124,6 +124,13 @@ def test_hexagon_holds_its_points(spark):
     assert df.select(F.size(grid.disk(F.col("c"), 3)).alias("n")).first().n == 37
 
 
+def test_ids_of_far_hexagons_differ_and_give_their_steps_back(spark):
+    steps = [(-100_000, 524_298), (-99_999, -524_278), (0, 0), (-1, -1), (1 << 30, -(1 << 30)), (-3, 40_000_000)]
+    at = spark.createDataFrame([(math.sqrt(3) * q + math.sqrt(3) / 2 * r, 1.5 * r) for q, r in steps], "x double, y double")
+    made = at.select(grid.cell(F.col("x"), F.col("y"), 1.0).alias("c")).select("c", *grid.axial(F.col("c"))).collect()
+    assert [(r[1], r[2]) for r in made] == steps and len({r.c for r in made}) == len(steps)
+
+
 def test_ellipsoid_is_near_the_sphere(spark):
     ends = [F.lit(float(v)) for v in (77.2, 28.6, 72.8, 19.0)]
     r = spark.range(1).select(geo.ellipsoid_km(*ends).alias("e"), geo.haversine_km(*ends).alias("h")).first()
