@@ -366,7 +366,7 @@ def shots(counts: np.ndarray) -> list[tuple[int, int]]:
 
 def padded(text: str | None) -> tuple[bytes, int]:
     raw = (text or "").encode()
-    return raw + b"\x00" * (PAD - len(raw) % PAD), len(raw)
+    return raw + b"\x00" * (-len(raw) % PAD if raw else PAD), len(raw)
 
 
 def examine(media: bytes) -> tuple[bytes, np.ndarray, list[tuple[int, int]]]:

@@ -168,6 +168,14 @@ def test_plan_is_near_the_bound(capacity):
     assert len(placed) <= max(-(-sum(lengths) // capacity), sum(2 * x > capacity for x in lengths)) * 1.01 + 2
 
 
+def test_media_payload_is_padded_up_to_a_multiple(spark):
+    texts = ["", "a" * 63, "a" * 64, "é" * 64, "a" * 65]
+    made = {x.doc_id: x for x in media.round_trip(docs(spark, texts)).collect()}
+    assert [made[i].payload_bytes for i in range(5)] == [64, 64, 64, 128, 128]
+    assert made[2].payload_sha256 == hashlib.sha256(b"a" * 64).hexdigest() and made[2].tail_crc32 == zlib.crc32(b"a" * 64)
+    assert made[3].payload_sha256 == hashlib.sha256(("é" * 64).encode()).hexdigest()
+
+
 def test_media_round_trip_and_clips(spark):
     r = random.Random(2)
     for payload in (b"\x00" * 64, bytes(r.randrange(256) for _ in range(9000)), b"\xff" * 4000):
