@@ -39,6 +39,13 @@ def published(value: Column, digits: int) -> Column:
     return F.bround(value, digits) + F.lit(0.0)
 
 
+def half_away(value: Column, digits: int) -> Column:
+    """Half away from zero by the number as stored: 0.5005, which is held as a little less, gives 0.5 for three digits."""
+    size = F.abs(value) * 10.0**digits
+    whole = F.floor(size)
+    return F.signum(value) * (whole + (size - whole >= 0.5).cast("int")) / 10.0**digits
+
+
 def delta(value: Column) -> Column:
     """Half away from zero, one decimal."""
     return F.round(value, 1)
