@@ -171,3 +171,25 @@ def test_shortest_paths_stop_at_the_limit(spark):
     links = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0), (3, 4, 9.0)], "a long, b long, length double")
     made = graph.shortest_paths(links, spark.createDataFrame([(1,)], "node_id long"), 6.0)
     assert {(r.node, r.dist) for r in made.collect()} == {(1, 0.0), (2, 1.0), (3, 2.0)}
+
+
+def test_thinning_by_distance_is_the_walk(spark):
+    rnd = random.Random(5)
+    rows = [(i, rnd.randrange(40) / 10, rnd.randrange(30) / 10, rnd.choice("ab"), rnd.randrange(9)) for i in range(500)] + [(900, None, 1.0, "a", 9), (901, 1.0, 1.0, None, 9)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, mode string, priority long")
+    for per in ((), ("mode",)):
+        kept = []
+        for r in sorted(rows, key=lambda r: (-r[4], r[0])):
+            alone = r[1] is None or per and r[3] is None
+            if alone or not any(k[1] is not None and math.sqrt((r[1] - k[1]) ** 2 + (r[2] - k[2]) ** 2) <= 0.5 and (not per or r[3] == k[3]) for k in kept):
+                kept.append(r)
+        assert {r.id for r in graph.thinned_points(df, 0.5, per).collect()} == {r[0] for r in kept}
+
+
+def test_nearest_alike_meets_brute_force(spark):
+    rnd = random.Random(6)
+    side = lambda n: [(i, rnd.randrange(40) / 4, rnd.randrange(30) / 4, rnd.choice(["a", "b", None])) for i in range(n)]
+    p, t = side(200), side(60)
+    made = {r.id: r.other for r in spatial.nearest_alike(*(spark.createDataFrame(s, POINT + ", city string") for s in (p, t)), 1.5, ("city",)).collect()}
+    best = {i: min(((math.sqrt((x - a) ** 2 + (y - b) ** 2), -j) for j, a, b, d in t if c is not None and c == d), default=(9, 0)) for i, x, y, c in p}
+    assert made == {i: -j for i, (d, j) in best.items() if d <= 1.5}
