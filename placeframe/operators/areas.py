@@ -104,18 +104,13 @@ def stations(listed: DataFrame, mapped: DataFrame, twin: float, apart: float) ->
     A listed station with a mapped one of its mode and key within `twin` is the same and goes. Of what is left, a walk
     from the mapped ones on, by id, keeps a station and drops those of its mode within `apart`. Ids are unique in a table.
     """
-    from placeframe.operators.graph import thinned
+    from placeframe.operators.graph import thinned_points
 
-    same = spatial.within(listed.select("id", "x", "y"), mapped.select("id", "x", "y"), twin)
-    names = [t.select(F.col("id").alias(i), F.col("mode").alias(f"m{i}"), F.col("key").alias(f"k{i}")) for t, i in ((listed, "id"), (mapped, "other"))]
-    twins = same.join(names[0], "id").join(names[1], "other").where("mid = mother AND kid = kother").select("id").distinct()
+    twins = spatial.nearest_alike(listed.select("id", "x", "y", "mode", "key"), mapped.select("id", "x", "y", "mode", "key"), twin, ("mode", "key")).select("id")
     both = mapped.withColumn("source", F.lit("mapped")).unionByName(listed.join(twins, "id", "left_anti").withColumn("source", F.lit("listed")))
     key = F.col("id") * 2 + (F.col("source") == "listed").cast("int")
     own = both.withColumns({"_id": key, "priority": F.when(F.col("source") == "mapped", 1).otherwise(0)})
-    at = own.select(F.col("_id").alias("id"), "x", "y")
-    modes = [own.select(F.col("_id").alias(i), F.col("mode").alias(f"m{i}")) for i in ("id", "other")]
-    near = spatial.within(at, at, apart).where("id < other").join(modes[0], "id").join(modes[1], "other").where("mid = mother")
-    kept = thinned(own.select(F.col("_id").alias("id"), "priority"), near.select(F.col("id").alias("a"), F.col("other").alias("b")))
+    kept = thinned_points(own.select(F.col("_id").alias("id"), "x", "y", "mode", "priority"), apart, ("mode",))
     return own.join(kept.select(F.col("id").alias("_id")), "_id", "left_semi").select("id", "mode", "key", "x", "y", "source")
 
 
