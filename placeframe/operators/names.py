@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placeframe.functions.text import name_similarity, words_of
-from placeframe.operators.rank import first_per
 from placeframe.storage import release, table
 
 
@@ -57,7 +57,7 @@ def candidates(rows: DataFrame, codes: DataFrame, least: float) -> DataFrame:
     met = a.join(b, ["state", "kind", "part"])
     words = (F.col("kind") == "w") & (F.col("opening") | F.col("copening"))
     grams = (F.col("kind") == "g") & F.col("opening") & F.col("copening")
-    equal = rows.select("state", "key").join(codes.select("state", F.col("key").alias("ckey")), "state").where("key = ckey AND length(key) = 1")
+    equal = rows.select("state", "key").distinct().join(codes.select("state", F.col("key").alias("ckey")).distinct(), "state").where("key = ckey AND length(key) = 1")
     return met.where(words | grams).select("state", "key", "ckey").unionByName(equal.select("state", "key", "ckey")).distinct()
 
 
@@ -65,21 +65,40 @@ def matched(rows: DataFrame, codes: DataFrame, least: float) -> DataFrame:
     """id, code, score: each of rows(id, place, key, state), in the order of place, takes the best code not taken yet.
 
     codes(code, key, state). Ties of score go to the larger code, of place to the smaller id; rows or codes with an empty or
-    null key, and null codes, are left out. Candidates are compared, not all of a state. All rows ask for their best code at
-    once; a code keeps the first in order and never takes a later one, whose pairs with it go. What is left when nothing goes is what
-    the walk in order gives, and no state is held by one task.
+    null key, and null codes, are left out. Rows of one key share one list of codes, best first, so that no pairs of rows
+    and codes are written: the first of a key asks for its list's first code, the second for its second, as each finds those
+    before it taken. A code keeps the first in order, and the others of a key go on to places of the list that no row before
+    them holds; nobody asks beyond what the walk in order gives, so what is left when nobody goes on is the walk's result.
     """
+    group = ["state", "key"]
     near = candidates(rows, codes, least).withColumn("score", name_similarity(F.col("key"), F.col("ckey"))).where(F.col("score") >= least)
     near = table(near, "scores")
     there = codes.where("code IS NOT NULL").select("code", F.col("key").alias("ckey"), "state")
-    pairs = table(rows.join(near, ["state", "key"]).join(there, ["state", "ckey"]).select("id", "place", "code", "score"), "pairs")
+    best = near.join(there, ["state", "ckey"]).groupBy(*group, "code").agg(F.max("score").alias("score"))
+    lists = table(best.withColumn("at", F.row_number().over(W.partitionBy(*group).orderBy(F.desc("score"), F.desc("code"))).cast("long")), "lists")
     release(near)
+    asking = rows.select("id", "place", *group).join(lists.select(*group).distinct(), group)
+    asking = asking.withColumn("n", F.row_number().over(W.partitionBy(*group).orderBy("place", "id")).cast("long"))
+    asking = table(asking.withColumn("at", F.col("n")), "asking")
+    row, nowhere = F.struct("place", "id"), 1 << 40
+    in_list = W.partitionBy(*group).orderBy("at")
     while True:
-        best = first_per(pairs, ["id"], F.desc("score"), F.desc("code"))
-        holder = best.groupBy("code").agg(F.min(F.struct("place", "id")).alias("h"))
-        left = table(pairs.join(holder, "code", "left").where(F.col("h").isNull() | (F.struct("place", "id") <= F.col("h"))).drop("h"), "pairs")
-        done = left.count() == pairs.count()
-        release(pairs)
-        pairs = left
-        if done:
-            return first_per(pairs, ["id"], F.desc("score"), F.desc("code")).select("id", "code", "score")
+        asked = table(asking.join(lists, [*group, "at"]), "asked")
+        release(asking)
+        holder = table(asked.groupBy("code").agg(F.min(row).alias("h")), "holders")
+        beaten = table(asked.join(holder, "code").where(row > F.col("h")).select(*group, "id", "place", "at"), "beaten")
+        if beaten.isEmpty():
+            return asked.select("id", "code", "score")
+        first = beaten.groupBy(*group).agg(F.min(row).alias("f"), F.min("at").alias("after"))
+        free = lists.join(first, group).where("at > after").join(holder, "code", "left").where("h IS NULL OR h > f")
+        free = table(free.select(*group, "at", F.row_number().over(in_list).cast("long").alias("i")), "free")
+        # the first free place behind each one's own, and behind that of the row before it
+        both = beaten.select(*group, "at", "id", F.lit(0).alias("free")).unionByName(free.select(*group, "at", F.lit(None).cast("long").alias("id"), F.lit(1).alias("free")))
+        at = F.sum("free").over(W.partitionBy(*group).orderBy("at", F.desc("free")).rowsBetween(W.unboundedPreceding, W.currentRow)) + 1
+        going = both.withColumn("i", at).where("free = 0").withColumn("j", F.row_number().over(in_list))
+        going = going.withColumn("i", F.col("j") + F.max(F.col("i") - F.col("j")).over(in_list))
+        to = going.select(*group, "id", "i").join(free.withColumnRenamed("at", "to"), [*group, "i"], "left").select("id", F.coalesce("to", F.lit(nowhere)).alias("to"))
+        moved = asked.join(to, "id", "left").select("id", "place", *group, "n", F.coalesce("to", "at").alias("at"))
+        moved = moved.withColumn("at", F.col("n") + F.max(F.col("at") - F.col("n")).over(W.partitionBy(*group).orderBy("n")))
+        asking = table(moved.where(F.col("at") < nowhere // 2), "asking")
+        release(asked, holder, beaten, free)
