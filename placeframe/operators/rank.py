@@ -32,6 +32,24 @@ def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
     return dealt.join(F.broadcast(before), "_part").withColumn(name, place).drop("_part", "_before")
 
 
+def quantiles(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row: the exact quantiles of a column by their names, between two values in proportion; null where it has no value.
+
+    Equal values are counted first, and counted on within ranges of the order, so that no task holds all values.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = table(counts.repartitionByRange("v").withColumn("_part", F.spark_partition_id()), "dealt")
+    sums = dealt.groupBy("_part").agg(F.sum("n").alias("_n"))  # a row for each range
+    before = sums.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy()).alias("_all"))
+    upto = F.sum("n").over(W.partitionBy("_part").orderBy("v")) + F.col("_before")
+    placed = dealt.join(F.broadcast(before), "_part").withColumn("upto", upto)
+    at = {k: (F.col("_all") - 1) * F.lit(share) for k, share in shares.items()}
+    ends = [F.min(F.when(F.col("upto") > f(at[k]), F.col("v"))).alias(f"{k}_{i}") for k in shares for i, f in enumerate((F.floor, F.ceil))]
+    one = placed.agg(F.max("_all").alias("_all"), *ends)
+    between = lambda k: (F.ceil(at[k]) - at[k]) * F.col(f"{k}_0") + (at[k] - F.floor(at[k])) * F.col(f"{k}_1")
+    return one.select(*[F.when(F.col(f"{k}_0") == F.col(f"{k}_1"), F.col(f"{k}_0").cast("double")).otherwise(between(k)).alias(k) for k in shares])
+
+
 def competition_rank(rows: DataFrame, by: list[str], score: str) -> DataFrame:
     """rank: 1 + how many of the group score higher."""
     return rows.withColumn("rank", F.rank().over(W.partitionBy(*by).orderBy(F.desc(score))))

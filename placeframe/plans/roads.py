@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placeframe.functions import text
 from placeframe.operators import quality, roads, spatial
-from placeframe.operators.rank import first_per, numbered
+from placeframe.operators.rank import first_per, numbered, quantiles
 from placeframe.plans import views
 from placeframe.plans.views import read, with_
 
@@ -174,7 +174,7 @@ SELECT round(p90, 4) AS p90, round(p50, 4) AS median, count(*) AS segments, coun
 def a36_gap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds, counts and a flag of the network's gaps, in one row."""
     li = read(spark, sf_dir, "lineitem")
-    one = li.agg(F.percentile("l_extendedprice", 0.9).alias("p90"), F.median("l_extendedprice").alias("p50"))
+    one = quantiles(li, "l_extendedprice", {"p90": 0.9, "p50": 0.5})
     far = F.col("l_extendedprice") > F.col("p90")
     out = li.crossJoin(F.broadcast(one)).groupBy("p90", "p50").agg(F.count(F.lit(1)).alias("segments"), F.count_if(far).alias("long_gaps"), F.count_if(F.col("l_extendedprice") > 2 * F.col("p50")).alias("over_twice_median"))
     return out.select(F.round("p90", 4).alias("p90"), F.round("p50", 4).alias("median"), "segments", "long_gaps", "over_twice_median", (F.col("long_gaps") * 20 > F.col("segments")).alias("flagged"))

@@ -31,3 +31,19 @@ def test_a_group_without_cells_has_no_ring(spark, tmp_path):
     supplier = "SELECT i::BIGINT AS s_suppkey, (i % 2)::BIGINT AS s_nationkey FROM range(1, 4000) t(i)"
     ours, theirs = rows_of(spark, tmp_path, "a13_ring_effect", customer=customer, supplier=supplier)
     assert ours == theirs and len(ours) == 1
+
+
+def test_quantiles_are_exact_and_held_by_no_task(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from placeframe.operators.rank import quantiles
+
+    rows = spark.range(1000).select(F.when(F.col("id") % 7 > 0, (F.col("id") * 37 % 101) / 8.0).alias("v"))
+    want = rows.agg(F.percentile("v", 0.9), F.median("v"), F.percentile("v", 1.0)).first()
+    assert tuple(quantiles(rows, "v", {"a": 0.9, "b": 0.5, "c": 1.0}).first()) == tuple(want)
+    assert tuple(quantiles(rows.where("v IS NULL"), "v", {"a": 0.9}).first()) == (None,)
+    sql = "SELECT v::DOUBLE AS l_extendedprice FROM (VALUES (5.0), (5.0), (NULL), (1.25), (1000.5)) t(v)"
+    ours, theirs = rows_of(spark, tmp_path, "a36_gap_summary", lineitem=sql)
+    assert ours == theirs
+    plan = catalog.QUERIES["a36_gap_summary"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "median(" not in plan
