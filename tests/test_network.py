@@ -89,3 +89,33 @@ def test_paths_over_all_ways(spark, folder, links):
         want |= {(s, n): d for n, d in dist.items()}
     made = {(r.source, r.node): r.dist for r in catalog.QUERIES["r6_network_paths"](spark, folder).collect()}
     assert made == want
+
+
+def test_paths_through_blocks_of_a_large_part(spark, monkeypatch):
+    """Parts that are cut into blocks: the same distances as one block gives, also for a source without links."""
+    r = random.Random(5)
+    rows = [(a, b, float(r.randrange(1, 9)) / 4) for a, b in ((r.randrange(80), r.randrange(80)) for _ in range(160))] + [(i, i + 1, 1.0) for i in range(100, 110)] + [(7, 7, 1.0)]
+    links = spark.createDataFrame(rows, "a long, b long, length double")
+    sources = spark.createDataFrame([(0,), (11,), (100,), (107,), (999,), (0,)], "node_id long")
+    want = {}
+    for s in (0, 11, 100, 107, 999):
+        dist = {s: 0.0}
+        for _ in range(90):
+            for a, b, v in rows:
+                for u, w in ((a, b), (b, a)):
+                    if u in dist and dist[u] + v <= min(3.0, dist.get(w, 99.0)):
+                        dist[w] = dist[u] + v
+        want |= {(s, n): d for n, d in dist.items()}
+    for block in (1 << 20, 40):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        made = [(r.source, r.node, r.dist) for r in graph.shortest_paths(links, sources, 3.0).collect()]
+        assert len(made) == len(want) and {(s, n): d for s, n, d in made} == want
+
+
+def test_no_row_for_each_source_and_link(spark, monkeypatch):
+    """A part is walked through from its sources in one round, and only found ways are written."""
+    written = []
+    monkeypatch.setattr(graph, "table", lambda df, name, made=graph.table: written.append(name) or made(df, name))
+    links = spark.createDataFrame([(i, i + 1, 1.0) for i in range(60)], "a long, b long, length double")
+    made = graph.shortest_paths(links, spark.createDataFrame([(0,)], "node_id long"), 50.0)
+    assert made.count() == 51 and written.count("paths") == 1
