@@ -237,7 +237,7 @@ def j16_distance_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     from placeframe.operators import spatial
 
     t = views.targets(spark, sf_dir).select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return spatial.within(t, t, 4.0).where("id < other AND dist >= 2").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    return spatial.pairs(t, 4.0, 2.0).select("a", "b")
 
 
 _FEED = """e AS (SELECT *, user_id || '-' || strftime(ts, '%j') AS trip FROM events),

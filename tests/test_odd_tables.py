@@ -47,3 +47,34 @@ def test_quantiles_are_exact_and_held_by_no_task(spark, tmp_path):
     assert ours == theirs
     plan = catalog.QUERIES["a36_gap_summary"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan and "median(" not in plan
+
+
+def test_streets_of_ways_in_any_order(spark, tmp_path):
+    """Dead ends at the place of others, of their neighbour, and alone."""
+    sql = "SELECT (i // 3 * (CASE WHEN i % 7 = 0 THEN 3360000 ELSE 1 END))::BIGINT AS l_orderkey, 1::BIGINT AS l_linenumber, i::BIGINT AS l_partkey, 1::BIGINT AS l_suppkey, 1.0::DOUBLE AS l_quantity, 1.0::DOUBLE AS l_extendedprice, DATE '1995-01-01' AS l_shipdate FROM range(1, 300) t(i)"
+    for name in ("r5_street_gaps", "r3_street_components"):
+        ours, theirs = rows_of(spark, tmp_path, name, lineitem=sql)
+        assert ours == theirs and ours
+
+
+def test_places_with_many_ids_meet_once(spark, monkeypatch):
+    import random
+
+    from placeframe.operators import spatial
+
+    r = random.Random(3)
+    rows = [(i, r.randrange(12) / 4, r.randrange(12) / 4) for i in range(240)] + [(900, None, 1.0), (901, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    placed = rows[:240]
+    dist = {(a, b): ((x - u) ** 2 + (y - v) ** 2) ** 0.5 for a, x, y in placed for b, u, v in placed}
+    monkeypatch.setattr(spatial, "ALIKE", 2)
+    for dense in (20_000, 5):
+        monkeypatch.setattr(spatial, "DENSE", dense)
+        made = sorted((p.id, p.other) for p in spatial.within(df, df.where("id % 3 = 0"), 0.75).collect())
+        assert made == sorted(k for k, d in dist.items() if d <= 0.75 and k[1] % 3 == 0)
+        made = sorted((p.a, p.b) for p in spatial.pairs(df, 2.0, 1.0).collect())
+        assert made == sorted(k for k, d in dist.items() if k[0] < k[1] and 1.0 <= d <= 2.0)
+        made = sorted((p.a, p.b) for p in spatial.pairs(df, 0.5).collect())
+        assert made == sorted(k for k, d in dist.items() if k[0] < k[1] and d <= 0.5)
+    plan = spatial.within(df, df, 1.0, digits=6)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(_o") < plan.index("round(")  # once for two places, below the rows' making
