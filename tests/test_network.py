@@ -119,3 +119,21 @@ def test_no_row_for_each_source_and_link(spark, monkeypatch):
     links = spark.createDataFrame([(i, i + 1, 1.0) for i in range(60)], "a long, b long, length double")
     made = graph.shortest_paths(links, spark.createDataFrame([(0,)], "node_id long"), 50.0)
     assert made.count() == 51 and written.count("paths") == 1
+
+
+def test_only_open_parts_take_rounds(spark, monkeypatch):
+    """Parts whose links fall in several chunks are joined by their roots alone; the others take no round."""
+    r = random.Random(8)
+    rows = [(k * 20 + r.randrange(20), k * 20 + r.randrange(20)) for k in range(12) for _ in range(25)] + [(3, 230), (45, 101)]
+    root = {n: n for row in rows for n in row if row[0] != row[1]}
+    for _ in root:
+        for a, b in rows:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    links = spark.createDataFrame(rows, "a long, b long")
+    taken = []
+    monkeypatch.setattr(graph, "_rounds", lambda e, made=graph._rounds: taken.append(e.count()) or made(e))
+    assert {r.v: r.c for r in graph.components(links).collect()} == root and sum(taken) < 20
+    monkeypatch.setattr(graph, "_contracted", lambda batches: iter(batches))  # nothing contracted: rounds do it all
+    made = [(r.v, r.c) for r in graph.components(links).collect()]
+    assert dict(made) == root and len(made) == len(root)
