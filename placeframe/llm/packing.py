@@ -44,6 +44,27 @@ def _tokenizer(path: str):
     return _workers[path]
 
 
+def _encoded(chunks: list[bytes], tokenizer) -> Iterator[tuple[bytes, bytes]]:
+    """Each chunk and its ids. Chunks are encoded together, with a special token between them, which cuts a text before
+    anything else; those that may hold a special token, or all where there is none, apart."""
+    marks = [(i, t.content) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+    marks = [(i, c) for i, c in marks if c.startswith("<|")]
+    apart = [c for c in chunks if b"<|" in c or not marks]
+    for at in range(0, len(apart), 4000):  # an encoding holds far more than its ids
+        some = apart[at : at + 4000]
+        for c, e in zip(some, tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False), strict=True):
+            yield c, np.array(e.ids, "<u4").tobytes()
+    if marks:
+        mark, between = marks[0]
+        chunks = [c for c in chunks if b"<|" not in c] if apart else chunks
+        for at in range(0, len(chunks), 1000):
+            some = chunks[at : at + 1000]
+            ids = np.array(tokenizer.encode_batch_fast([between.encode().join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts, held = (4 * np.flatnonzero(ids == mark)).tolist(), ids.tobytes()
+            for c, a, b in zip(some, [0, *(x + 4 for x in cuts)], [*cuts, len(held)], strict=True):
+                yield c, held[a:b]
+
+
 def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
     """The ids of each text and the end id, as little-endian unsigned 32-bit numbers.
 
@@ -57,14 +78,11 @@ def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
         for text in texts[start : start + 200]:
             raw = text.encode()
             chunks.append((raw if b"<|" in raw else _MARK.sub(rb" \1", raw.lower())).split())
-        new = list({c for cs in chunks for c in cs if c not in known})
+        new = list(set().union(*chunks).difference(known))
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = list({c for cs in chunks for c in cs})
-        for at in range(0, len(new), 4000):  # an encoding holds far more than its ids
-            some = new[at : at + 4000]
-            for c, e in zip(some, tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
+            new = list(set().union(*chunks))
+        known.update(_encoded(new, tokenizer))
         for cs in chunks:
             yield b"".join(map(known.__getitem__, cs)) + end
 

@@ -415,3 +415,26 @@ def test_bits_of_a_long_scan_are_read_in_a_time_that_grows_with_it():
     assert time.process_time() - begun < 20
     with pytest.raises(ValueError):
         scan.take(17)
+
+
+def test_chunks_encoded_together_have_their_own_ids():
+    import public_tokenizers
+
+    from placeframe.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, _ = packing._tokenizer(path)
+    chunks = [c.encode() for c in ("don't", "é", "́", "a", "'", "s", "<|endoftext|>", "x<|", "|>", "'s", "12", "你好", "​", "<", "|endoftext|>", "\x00")]
+    chunks += [f"w{i}".encode() for i in range(2500)]
+    calls = []
+
+    class Counted:
+        get_added_tokens_decoder = staticmethod(tokenizer.get_added_tokens_decoder)
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            calls.append(len(texts))
+            return tokenizer.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    made = dict(packing._encoded(chunks, Counted()))
+    assert list(map(made.get, chunks)) == [b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(c.decode(), add_special_tokens=False).ids) for c in chunks]
+    assert sum(calls) < 10  # not an encoding for each chunk
