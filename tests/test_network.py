@@ -112,6 +112,35 @@ def test_paths_through_blocks_of_a_large_part(spark, monkeypatch):
         assert len(made) == len(want) and {(s, n): d for s, n, d in made} == want
 
 
+def test_wanted_ways_alone(spark, monkeypatch):
+    """Asked for pairs, the same distances, and no way to another node is written where parts are not cut."""
+    r = random.Random(6)
+    rows = [(a, b, float(r.randrange(1, 9)) / 4) for a, b in ((r.randrange(80), r.randrange(80)) for _ in range(200))] + [(100, 101, 1.0)]
+    links = spark.createDataFrame(rows, "a long, b long, length double")
+    pairs = sorted({(r.randrange(0, 80, 7), r.randrange(80)) for _ in range(150)} | {(100, 101), (100, 100), (100, 3), (999, 999), (999, 1)})
+    wanted, sources = spark.createDataFrame(pairs, "source long, node long"), spark.createDataFrame([(s,) for s in (*range(0, 80, 7), 79, 100, 999)], "node_id long")
+    want = {(x.source, x.node): x.dist for x in graph.shortest_paths(links, sources, 3.0).collect() if (x.source, x.node) in pairs}
+    assert (100, 101) in want and (999, 999) in want and (100, 3) not in want
+    written = []
+    monkeypatch.setattr(graph, "table", lambda df, name, made=graph.table: written.append((name, made(df, name))) or written[-1][1])
+    made = [(x.source, x.node, x.dist) for x in graph.shortest_paths(links, sources, 3.0, wanted).collect()]
+    assert len(made) == len(want) and {(s, n): d for s, n, d in made} == want
+    assert [t.count() for name, t in written if name == "paths"] == [len(want) - 1]  # 999 has no links and takes no walk
+    monkeypatch.setattr(graph, "BLOCK", 40)
+    made = [(x.source, x.node, x.dist) for x in graph.shortest_paths(links, sources, 3.0, wanted).collect()]
+    assert len(made) == len(want) and {(s, n): d for s, n, d in made} == want
+
+
+def test_circuity_writes_the_ways_of_its_pairs_alone(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "table", lambda df, name, made=graph.table: written.append((name, made(df, name))) or written[-1][1])
+    nodes = spark.createDataFrame([(i, float(i), 0.0) for i in range(60)], "node_id long, x double, y double")
+    links = spark.createDataFrame([(i, i + 1, 1.0) for i in range(59)], "a long, b long, length double")
+    cities = spark.createDataFrame([(1, 3.0, 0.1), (2, 5.0, 0.1), (3, 40.0, 0.1)], "id long, x double, y double")
+    rows = [(x.a, x.b, round(x.network, 6)) for x in graph.circuity(links, nodes, cities, 0.5, (0.5, 5.0), 1.0).collect()]
+    assert rows == [(1, 2, 2.2)] and [t.count() for name, t in written if name == "paths"] == [1]
+
+
 def test_no_row_for_each_source_and_link(spark, monkeypatch):
     """A part is walked through from its sources in one round, and only found ways are written."""
     written = []
