@@ -90,4 +90,4 @@ def _met(rows: DataFrame, keys_of: Keys, whole: bool) -> DataFrame:
     tests = rows.mapInArrow(partial(_tests, keys_of=keys_of, whole=whole), "key long, id long, m int")
     # answers go anywhere, so that no task gets all of a hot key
     place = F.when(F.col("m") > 0, F.xxhash64("key", "id")).otherwise(F.xxhash64("key"))
-    return tests.withColumn("place", place).repartition("place").drop("place").sortWithinPartitions("key", "m")
+    return tests.repartition(place).sortWithinPartitions("key", "m")

@@ -6,7 +6,8 @@
    rules its windows out.
 3. The other windows are confirmed by one shuffle of their 128-bit names, which finds for each later text an earlier
    owner of the window. The owner cuts the confirmed passages out of its text, as words.
-4. Texts are dealt to shards of about SHARD_BYTES. A shard's passages, as far as some of its texts may hold them, are
+4. Texts are dealt to shards of about SHARD_BYTES, by one shuffle, and kept in buckets of whole shards; each step reads
+   its shards there and only what it is told about them is shuffled. A shard's passages, as far as some of its texts may hold them, are
    compiled into one automaton of words, and all its texts, whole, are streamed through it. A passage is found where
    its words stand, whatever the names say: no name decides that a word goes.
 
@@ -23,22 +24,25 @@ from itertools import compress
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeframe.llm import tokens
 from placeframe.llm.meeting import shared_keys
-from placeframe.llm.scratch import release, stored_bytes, table
+from placeframe.llm.scratch import bucketed, release, table
 
 WIDTH, ANCHOR = 13, 5
-#: A written table of at most so many bytes may be broadcast; a larger one is joined by a shuffle.
-BROADCAST_BYTES = 8 << 20
 #: Text of a shard, in bytes; a longer text is a shard's whole. Its automaton takes some ten times as much.
 SHARD_BYTES = 1 << 20
+#: Shards are so small that their texts have at most so many times SHARD_BYTES with all copies, on average.
+COPIES = 16
+#: Text of a bucket of shards, in bytes.
+BUCKET_BYTES = 16 << 20
 
 _WINDOWS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("anchor", pa.int64()), ("id", pa.int64()), ("doc", pa.int64()), ("owner", pa.int64())])
 _FOUND = pa.schema([("id", pa.int64()), ("anchor", pa.int64()), ("owner", pa.int64()), ("w1", pa.int64())])
 _PASSAGES = pa.schema([("anchor", pa.int64()), ("owner", pa.int64()), ("first", pa.int64()), ("passage", pa.binary())])
+_TEXTS = pa.schema([("shard", pa.int64()), ("id", pa.int64()), ("doc", pa.int64()), ("t", pa.binary()), ("text", pa.string())])
 _LOCATED = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
@@ -57,6 +61,30 @@ class Windows:
         self.row, self.w1, self.w2, self.anchor = words.row[: len(w1)][inside], w1[inside], w2[inside], anchors[inside]
 
 
+def _firsts(rows: pa.Table, known: pa.Table) -> pa.Table:
+    """A shard's texts, each from one row of its first document; an id is the shard's number and one in it."""
+    own = set(zip(known.column("doc").to_pylist(), known.column("t").to_pylist(), strict=True))
+    at = []
+    for k, row in enumerate(zip(rows.column("doc").to_pylist(), rows.column("t").to_pylist(), strict=True)):
+        if row in own:
+            own.remove(row)
+            at.append(k)
+    met = rows.take(pa.array(at, pa.int64()))
+    shard = met.column("shard").to_numpy()
+    columns = pa.array(shard), pa.array((shard << 32) + np.arange(len(at))), *(met.column(c) for c in ("doc", "t", "text"))
+    return pa.Table.from_arrays([*columns], names=_TEXTS.names).cast(_TEXTS)
+
+
+def _told(texts: pa.Table, told: pa.Table, column: str) -> list[pa.RecordBatch]:
+    """The shard's texts that something is told of (id, column), with it."""
+    if not len(told):
+        return []
+    ids = texts.column("id").to_numpy()
+    order = np.argsort(ids)
+    at = order[np.searchsorted(ids[order], told.column("id").to_numpy())]
+    return texts.take(pa.array(at)).append_column(column, told.column(column)).combine_chunks().to_batches()
+
+
 def _anchors(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
     ids = batch.column(batch.schema.get_field_index("id")).to_numpy()
     for row, end, data, at in tokens.parts(batch):
@@ -68,9 +96,13 @@ def _anchors(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarra
                 yield ids[row + i], x[np.r_[True, x[1:] != x[:-1]]]
 
 
-def _candidates(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Windows whose anchor is shared, once for each text. Of those that several texts of the batch hold, the first
+def _candidates(texts: pa.Table, hits: pa.Table, width: int) -> pa.Table:
+    """Windows of a shard whose anchor is shared, once for each text. Of those that several of its texts hold, the first
     document's goes on; the others have it for an owner by now."""
+    return pa.Table.from_batches(_windows(_told(texts, hits, "anchors"), width), _WINDOWS)
+
+
+def _windows(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held = []
         ids, docs = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("id", "doc"))
@@ -118,8 +150,12 @@ def _owned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from tokens.rows_of(out, _FOUND)
 
 
-def _passages(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _passages(texts: pa.Table, names: pa.Table, width: int) -> pa.Table:
     """The words of each run of an owner's confirmed windows (names) that have one anchor."""
+    return pa.Table.from_batches(_cut(_told(texts, names, "names"), width), _PASSAGES)
+
+
+def _cut(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, docs = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("id", "doc"))
         names = batch.column(batch.schema.get_field_index("names"))
@@ -194,6 +230,12 @@ def _locate(texts: pa.Table, passages: pa.Table, width: int) -> pa.Table:
     return pa.Table.from_arrays([texts.column("id").combine_chunks(), pa.array([len(w) for w in split], pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)], schema=_LOCATED)
 
 
+def _judged(texts: pa.Table, passages: pa.Table, width: int) -> pa.Table:
+    """_locate() by the texts' digests and first documents."""
+    located = _locate(texts, passages, width)
+    return pa.Table.from_arrays([texts.column("t"), texts.column("doc"), *located.columns[1:]], names=["t", "least", *located.column_names[1:]])
+
+
 def _unowned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows without doc_id: nothing goes."""
     for batch in batches:
@@ -202,11 +244,6 @@ def _unowned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in held], pa.int64()), pa.array([0] * len(held), pa.int64()), pa.array(sha)], names=["doc_id", *_LOCATED.names[1:]])
 
 
-def _met(texts: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    """texts and the columns of a written table, by its key."""
-    return texts.join(F.broadcast(other) if stored_bytes(other) <= BROADCAST_BYTES else other, key)
-
-
 def drop_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for each row of docs(doc_id, text); other columns are ignored.
 
@@ -220,33 +257,37 @@ def drop_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.unhex(F.sha2(text, 256)).alias("t"), text.alias("text"))
     rows = table(own.where("doc IS NOT NULL").select("doc", "t", F.octet_length("text").alias("bytes")), "rows")
-    first = rows.groupBy("t").agg(F.min("doc").alias("doc"), F.max("bytes").alias("bytes")).withColumn("id", F.monotonically_increasing_id())
-    first = table(first, "first")
-    shards = max(1, -(-int(first.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
-    few = stored_bytes(first) <= BROADCAST_BYTES
-    known = first.select("doc", "t", "id")
-    texts = own.join(F.broadcast(known) if few else known, ["doc", "t"])
-    texts = table((texts.dropDuplicates(["id"]) if _repeated(rows) else texts).select("id", "doc", "text"), "texts")
-
-    hits = shared_keys(texts, partial(_anchors, width=width)).groupBy("id").agg(F.collect_list("key").alias("anchors"))
-    hits = table(hits, "hits")
-    windows = _met(texts, hits, "id").select("id", "doc", "text", "anchors").mapInArrow(partial(_candidates, width=width), "w1 long, w2 long, anchor long, id long, doc long, owner long")
+    first = table(rows.groupBy("t").agg(F.min("doc").alias("doc"), F.max("bytes").alias("bytes")), "first")
+    held, whole = (int(d.agg(F.sum("bytes")).first()[0] or 0) for d in (first, rows))
+    shards = max(1, -(-held // SHARD_BYTES), -(-whole // (COPIES * SHARD_BYTES)))
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // BUCKET_BYTES))
+    dealt = F.pmod(F.xxhash64("doc", "t"), F.lit(shards)).alias("shard")
+    known, all_rows = first.select(dealt, "doc", "t"), own.where("doc IS NOT NULL").select(dealt, "doc", "t", "text")
+    texts = all_rows.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_firsts, "shard long, id long, doc long, t binary, text string")
+    texts = bucketed(texts, "texts", "shard", buckets)
+    release(first)
+    sharded = texts.groupBy("shard")
+
+    def shard(c: str) -> Column:
+        return F.shiftright(c, 32).alias("shard")
+
+    hits = shared_keys(texts.select("id", "text"), partial(_anchors, width=width)).groupBy("id").agg(F.collect_list("key").alias("anchors"))
+    hits = table(hits.select(shard("id"), "id", "anchors"), "hits")
+    windows = sharded.cogroup(hits.groupBy("shard")).applyInArrow(partial(_candidates, width=width), "w1 long, w2 long, anchor long, id long, doc long, owner long")
     place = F.when(F.col("owner").isNotNull(), F.xxhash64("w1", "id")).otherwise(F.xxhash64("w1"))
-    windows = windows.withColumn("place", place).repartition("place").drop("place").sortWithinPartitions("w1", "w2", "doc", "id")
+    windows = windows.repartition(place).sortWithinPartitions("w1", "w2", "doc", "id")
     found = table(windows.mapInArrow(_owned, "id long, anchor long, owner long, w1 long"), "found")
     release(hits)
-    names = table(found.groupBy(F.col("owner").alias("id")).agg(F.collect_set("w1").alias("names")), "names")
-    passages = _met(texts, names, "id").select("id", "doc", "text", "names").mapInArrow(partial(_passages, width=width), "anchor long, owner long, first long, passage binary")
+    names = table(found.groupBy(F.col("owner").alias("id")).agg(F.collect_set("w1").alias("names")).select(shard("id"), "id", "names"), "names")
+    passages = sharded.cogroup(names.groupBy("shard")).applyInArrow(partial(_passages, width=width), "anchor long, owner long, first long, passage binary")
     passages = table(passages, "passages")
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards))
-    needs = found.select(shard.alias("shard"), "anchor", "owner").distinct()
+    release(names)
+    needs = found.select(shard("id"), "anchor", "owner").distinct()
     told = needs.join(passages, ["anchor", "owner"]).select("shard", "first", "passage")
-    located = texts.withColumn("shard", shard).groupBy("shard").cogroup(told.groupBy("shard"))
-    located = table(located.applyInArrow(partial(_locate, width=width), "id long, n_words long, n_removed long, kept_sha256 string"), "located")
-    release(found, names, passages, texts)
+    located = sharded.cogroup(told.groupBy("shard")).applyInArrow(partial(_judged, width=width), "t binary, least long, n_words long, n_removed long, kept_sha256 string")
+    judged = table(located, "located")
+    release(found, passages, texts)
 
-    judged = table(located.join(first.select("id", "t", F.col("doc").alias("least")), "id").drop("id"), "judged")
-    release(located, first)
     copy = (F.col("doc") > F.col("least")) & (F.col("n_words") >= width)
     out = rows.join(judged, "t").select(
         F.col("doc").alias("doc_id"),
@@ -256,8 +297,3 @@ def drop_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     )
     null = own.where("doc IS NULL").select(F.col("doc").alias("doc_id"), "text")
     return out.unionByName(null.mapInArrow(_unowned, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
-
-
-def _repeated(rows: DataFrame) -> bool:
-    """Whether a document and text stand in several rows."""
-    return not rows.groupBy("doc", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()

@@ -290,6 +290,31 @@ def test_passages_go_where_the_automaton_finds_them():
     assert len(shard) == 8 and len(list(shard.iter(read[0]))) == 8
 
 
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    """Only the table of texts is made by a shuffle of text: what reads it later plans no exchange of its rows."""
+    plans = {}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(phrases, "table", lambda df, name, made=phrases.table: plans.setdefault(name, plan(df)) and made(df, name))
+    monkeypatch.setattr(phrases, "bucketed", lambda df, name, key, n, made=phrases.bucketed: plans.setdefault(name, plan(df)) and made(df, name, key, n))
+    made = {r.doc_id: r.n_removed for r in phrases.drop_repeats(docs(spark)).collect()}
+    assert made and sum(made.values())
+    carried = {name: [line for line in p.splitlines() if re.search(r"Scan parquet.*\btext#", line)] for name, p in plans.items()}
+    for name in ("found", "passages", "located"):
+        lines = plans[name].splitlines()
+        scan = next(k for k, line in enumerate(lines) if re.search(r"Scan parquet.*\btext#", line))
+        depth = len(lines[scan]) - len(lines[scan].lstrip(" :+-"))
+        above = []
+        for line in reversed(lines[:scan]):
+            at = len(line) - len(line.lstrip(" :+-"))
+            if at < depth:
+                above.append(line)
+                depth = at
+            if "CoGroups" in line:
+                break
+        assert not any("Exchange" in line for line in above), (name, plans[name])
+    assert len(carried["found"]) == 1
+
+
 def test_clashing_columns_and_long_texts_are_ignored(spark):
     long = " ".join(f"v{i * i % 7919}" for i in range(60_000))
     own = docs(spark, [*TEXTS[:6], long, long + " end", None]).withColumn("lang", F.lit("en"))
