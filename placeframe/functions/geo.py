@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Mean radius of the earth in km, km of a degree, and the reference ellipsoid's axis and flattening.
@@ -36,6 +36,25 @@ def ellipsoid_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     return F.when(s == 0, 0.0).otherwise(2 * w * AXIS_KM * (1 + FLATTENING * (h1 * sin2(f) * cos2(g) - h2 * cos2(f) * sin2(g))))
 
 
+def with_ellipsoid_km(rows: DataFrame, name: str, *ends: str) -> DataFrame:
+    """rows with ellipsoid_km() of four columns. Each step is exploded, as an array of one: a column of its own, which is
+    worked out once and not wherever it is used."""
+    lon1, lat1, lon2, lat2 = (F.col(c) for c in ends)
+    halves = {"_f": lat1 + lat2, "_g": lat1 - lat2, "_l": lon1 - lon2}
+    for k, v in halves.items():
+        half = F.radians(v) / 2
+        for i, turn in (("s", F.sin), ("c", F.cos)):
+            rows = rows.withColumn(f"{k}{i}", F.explode(F.array(turn(half))))
+    sq = {c: F.col(c) * F.col(c) for c in ("_fs", "_fc", "_gs", "_gc", "_ls", "_lc")}
+    rows = rows.withColumn("_a", F.explode(F.array(sq["_gs"] * sq["_lc"] + sq["_fc"] * sq["_ls"])))
+    rows = rows.withColumn("_b", F.explode(F.array(sq["_gc"] * sq["_lc"] + sq["_fs"] * sq["_ls"])))
+    rows = rows.withColumn("_w", F.explode(F.array(F.atan2(F.sqrt("_a"), F.sqrt("_b")))))
+    rows = rows.withColumn("_r", F.explode(F.array(F.sqrt(F.col("_a") * F.col("_b")) / F.nullif(F.col("_w"), F.lit(0.0)))))
+    h1, h2 = (3 * F.col("_r") - 1) / (2 * F.col("_b")), (3 * F.col("_r") + 1) / (2 * F.col("_a"))
+    km = F.when(F.col("_a") == 0, 0.0).otherwise(2 * F.col("_w") * AXIS_KM * (1 + FLATTENING * (h1 * sq["_fs"] * sq["_gc"] - h2 * sq["_fc"] * sq["_gs"])))
+    return rows.withColumn(name, F.explode(F.array(km))).drop(*sq, "_a", "_b", "_w", "_r")
+
+
 def to_segment(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Planar distance of a point from a segment."""
     dx, dy = x2 - x1, y2 - y1
